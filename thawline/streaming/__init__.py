@@ -1,0 +1 @@
+"""Reserved. The inventory this library covers is batch only, so nothing lives here."""

@@ -1,3 +1,3 @@
 """Collects every registered query."""
-from thawline.plans import q_climate  # noqa: F401
+from thawline.plans import q_climate, q_readings  # noqa: F401
 from thawline.plans.registry import ORACLES, QUERIES  # noqa: F401

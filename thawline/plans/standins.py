@@ -53,3 +53,33 @@ DAYS_SQL = """days as (
 hyd as (
   select *, cast(year(date + 122) as integer) as y, cast(month(date) as integer) as m,
     cast(dayofyear(date) as integer) as doy from days)"""
+
+
+def day_table(spark, sf_dir) -> DataFrame:
+    """`days` with the coverage and code columns of a daily aggregate."""
+    q, air = F.col("l_quantity"), F.col("l_quantity") + 100 * F.col("l_discount")
+    site = F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string"))
+
+    def share(test):
+        return F.round(100.0 * F.count_if(test) / F.count(F.lit(1)), 1)
+
+    return (table(spark, sf_dir, "lineitem")
+            .groupBy(site.alias("site"), F.to_date("l_shipdate").alias("date"))
+            .agg(share(F.col("l_tax") > 0).alias("T1_prop"), share(F.col("l_discount") > 0).alias("T3_prop"),
+                 share(F.col("l_tax") < 0.08).alias("moist_prop"),
+                 (F.avg(q) - 25).alias("T1_mean"), (F.min(q) - 28).alias("T1_min"), (F.max(q) - 22).alias("T1_max"),
+                 (F.avg(air) - 30).alias("T3_mean"), (F.min(air) - 35).alias("T3_min"),
+                 (F.max(air) - 25).alias("T3_max"), (F.avg("l_tax") * 500).alias("moist_mean"),
+                 (F.max("l_linenumber") % 7).cast("int").alias("probl")))
+
+
+DAY_TABLE_SQL = """day_table as (
+  select 'S' || cast(l_suppkey % 10 as varchar) as site, cast(l_shipdate as date) as date,
+    round(100.0 * count(*) filter (l_tax > 0) / count(*), 1) as "T1_prop",
+    round(100.0 * count(*) filter (l_discount > 0) / count(*), 1) as "T3_prop",
+    round(100.0 * count(*) filter (l_tax < 0.08) / count(*), 1) as moist_prop,
+    avg(l_quantity) - 25 as "T1_mean", min(l_quantity) - 28 as "T1_min", max(l_quantity) - 22 as "T1_max",
+    avg(l_quantity + 100 * l_discount) - 30 as "T3_mean", min(l_quantity + 100 * l_discount) - 35 as "T3_min",
+    max(l_quantity + 100 * l_discount) - 25 as "T3_max", avg(l_tax) * 500 as moist_mean,
+    cast(max(l_linenumber) % 7 as integer) as probl
+  from lineitem group by 1, 2)"""

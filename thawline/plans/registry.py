@@ -29,7 +29,7 @@ def neutral(df: DataFrame, digits: int) -> DataFrame:
 
 
 def neutral_sql(sql: str, doubles: str, dates: str, stamps: str, digits: int) -> str:
-    items = [f'round("{c}", {digits}) + 0.0 as "{c}"' for c in doubles.split()]
+    items = [f'round("{c}"::double, {digits}) + 0.0 as "{c}"' for c in doubles.split()]
     items += [f"strftime(\"{c}\", '%Y-%m-%d') as \"{c}\"" for c in dates.split()]
     items += [f"strftime(\"{c}\", '%Y-%m-%d %H:%M:%S') as \"{c}\"" for c in stamps.split()]
     if not items:

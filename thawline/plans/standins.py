@@ -83,3 +83,62 @@ DAY_TABLE_SQL = """day_table as (
     max(l_quantity + 100 * l_discount) - 25 as "T3_max", avg(l_tax) * 500 as moist_mean,
     cast(max(l_linenumber) % 7 as integer) as probl
   from lineitem group by 1, 2)"""
+
+
+def cells(spark, sf_dir) -> DataFrame:
+    """A grid 50 cells wide with one row per part; `z` is rough ground on a slope."""
+    key = F.col("p_partkey")
+    return table(spark, sf_dir, "part").select(
+        F.floor(key / 50).cast("int").alias("row"), (key % 50).cast("int").alias("col"),
+        F.col("p_retailprice").alias("elev"), F.col("p_size").cast("double").alias("ndvi"),
+        (F.col("p_retailprice") + 0.2 * F.col("p_size")).alias("z"),
+        (F.col("p_type") == "ECONOMY").cast("int").alias("water"), F.col("p_brand").alias("brand"))
+
+
+CELLS_SQL = """cells as (
+  select cast(floor(p_partkey / 50.0) as integer) as row, cast(p_partkey % 50 as integer) as col, p_retailprice as elev,
+    cast(p_size as double) as ndvi, p_retailprice + 0.2 * p_size as z,
+    case when p_type = 'ECONOMY' then 1 else 0 end as water, p_brand as brand from part)"""
+
+
+def points(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "supplier").select(
+        F.concat(F.lit("S"), F.col("s_suppkey").cast("string")).alias("site"),
+        (F.col("s_acctbal") / 200 + 5).alias("x"), (F.col("s_nationkey") * 1.5 + 2.25).alias("y"))
+
+
+POINTS_SQL = """points as (select 'S' || s_suppkey as site, s_acctbal / 200 + 5 as x, s_nationkey * 1.5 + 2.25 as y from supplier)"""
+
+# A concave ring and a zigzag line, as offsets from each point.
+RING = [(-2.3, -1.1), (1.9, -1.7), (0.4, 0.2), (2.1, 2.6), (-1.6, 1.3)]
+ZIGZAG = [(0.0, 0.0), (3.1, 1.7), (1.2, -2.3)]
+
+
+def vertices(spark, sf_dir, shape) -> DataFrame:
+    corner = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in shape])
+    return points(spark, sf_dir).select("site", "x", "y", F.posexplode(corner).alias("seq", "o")).select(
+        F.col("site").alias("feature_id"), F.lit(0).alias("part_id"), "seq",
+        (F.col("x") + F.col("o.dx")).alias("x"), (F.col("y") + F.col("o.dy")).alias("y"))
+
+
+def vertices_sql(name: str, shape) -> str:
+    return f"{name} as (" + " union all ".join(
+        f"select site as feature_id, 0 as part_id, {i} as seq, x + ({dx}) as x, y + ({dy}) as y from points"
+        for i, (dx, dy) in enumerate(shape)) + ")"
+
+
+def edges_sql(name: str, src: str, closed: bool) -> str:
+    n = {"ring": len(RING), "zig": len(ZIGZAG)}[src]
+    nxt = f"(a.seq + 1) % {n}" if closed else "a.seq + 1"
+    return (f"{name} as (select a.feature_id, a.part_id, a.seq, a.x as x1, a.y as y1, b.x as x2, b.y as y2 from {src} a "
+            f"join {src} b on a.feature_id = b.feature_id and a.part_id = b.part_id and b.seq = {nxt})")
+
+
+def lidar(spark, sf_dir) -> DataFrame:
+    return table(spark, sf_dir, "lineitem").select(
+        (F.col("l_partkey") % 50 + F.col("l_discount") * 9).alias("x"), (F.col("l_suppkey") % 40 + F.col("l_tax") * 10).alias("y"),
+        (F.col("l_quantity") / 1.5).alias("z"), (F.col("l_linenumber") % 3).cast("int").alias("class"))
+
+
+LIDAR_SQL = """lidar as (select l_partkey % 50 + l_discount * 9 as x, l_suppkey % 40 + l_tax * 10 as y, l_quantity / 1.5 as z,
+  cast(l_linenumber % 3 as integer) as class from lineitem)"""

@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from thawline.functions import finite
-from thawline.operators.grid import CELL, TILE, invert, map_tiles
+from thawline.operators.grid import CELL, TILE, dense, invert, map_tiles
 from thawline.sources import cut_lineage
 
 # Neighbours in the order that decides equal slopes: row offset, column offset, distance.
@@ -135,31 +135,43 @@ def d8(dem: DataFrame, value: str = "value", tile: int = TILE) -> DataFrame:
                     (F.col("col") + table(1)).cast("int").alias("to_col"), table(2).alias("dist")))
 
 
-def _jump(ptr: DataFrame) -> DataFrame:
-    """The pointers under the names of their start, to be joined to other pointers' ends."""
-    return ptr.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"),
-                      *[F.col(c).alias(f"_{c}") for c in ptr.columns if c not in CELL])
+def _targets(a: dict[str, np.ndarray]) -> np.ndarray:
+    """Flat index each cell points to inside the array, its own index where it does not."""
+    n = a["dr"].shape[0]
+    r, c = np.indices((n, n))
+    r, c = r + a["dr"], c + a["dc"]
+    inside = ~np.isnan(r) & (r >= 0) & (r < n) & (c >= 0) & (c < n)
+    own = np.arange(n * n).reshape(n, n)
+    return np.where(inside, np.nan_to_num(r) * n + np.nan_to_num(c), own).astype(np.int64).ravel()
 
 
-def downslope_distance(ptr: DataFrame, flags: DataFrame, layers: list[str], cap: float = 100.0, cell_size: float = 1.0) -> DataFrame:
+def _offsets(ptr: DataFrame) -> DataFrame:
+    return ptr.withColumns({"dr": (F.col("to_row") - F.col("row")).cast("double"),
+                            "dc": (F.col("to_col") - F.col("col")).cast("double")})
+
+
+def downslope_distance(ptr: DataFrame, flags: DataFrame, layers: list[str], cap: float = 100.0, cell_size: float = 1.0,
+                       tile: int = TILE) -> DataFrame:
     """Distance along the pointers to the first flagged cell, for several flag layers at once.
 
-    Pointers are doubled: after k rounds a cell knows its first 2^k steps, so the rounds
-    are the logarithm of the capped path length. A flagged cell has distance 0; one that
-    meets none within the cap has null.
+    A path within the cap stays within cap / cell size cells of its start, so a halo of
+    that width makes each tile independent: one shuffle and no rounds. A flagged cell
+    has distance 0; one that meets none within the cap has null.
     """
-    state = (ptr.join(flags, CELL, "left")
-             .select(*CELL, "to_row", "to_col", (F.col("dist") * cell_size).alias("len"),
-                     *[F.when(F.col(c) == 1, F.lit(0.0)).alias(c) for c in layers]))
-    state = cut_lineage(state)
-    while state.filter("to_row is not null").limit(1).count():
-        ahead = _jump(state)
-        # Paths that reach the cap need no further steps.
-        longer = F.col("len") + F.col("_len")
-        state = cut_lineage(state.join(ahead, ["to_row", "to_col"], "left").select(
-            *CELL, *[F.when(longer <= cap, F.col(f"_{c}")).alias(c) for c in ("to_row", "to_col")], longer.alias("len"),
-            *[F.coalesce(F.col(c), F.col("len") + F.col(f"_{c}")).alias(c) for c in layers]))
-    return state.select(*CELL, *[F.when(F.col(c) <= cap, F.col(c)).alias(c) for c in layers])
+    halo = int(np.ceil(cap / cell_size))
+
+    def kernel(a):
+        to, shape = _targets(a), a["dr"].shape
+        still = to == np.arange(len(to))
+        length = np.where(still, np.inf, np.nan_to_num(a["dist"]).ravel() * cell_size)
+        best = [np.where(a[c].ravel() == 1, 0.0, np.inf) for c in layers]
+        for _ in range(halo.bit_length() + 1):  # 2^k steps known after k rounds
+            best = [np.where(np.isinf(b), length + b[to], b) for b in best]
+            length, to = length + length[to], to[to]
+        return {c: np.where(b <= cap, b, np.nan).reshape(shape) for c, b in zip(layers, best)}
+
+    both = _offsets(ptr).select(*CELL, "dr", "dc", "dist").join(flags.select(*CELL, *layers), CELL, "left")
+    return map_tiles(both, ["dr", "dc", "dist", *layers], {c: "double" for c in layers}, halo, kernel, tile)
 
 
 def snow_effect(cells: DataFrame, dem: str = "dem", snow: str = "snow", thresholds: tuple[int, ...] = SNOW_THRESHOLDS,
@@ -169,7 +181,7 @@ def snow_effect(cells: DataFrame, dem: str = "dem", snow: str = "snow", threshol
     ptr = d8(invert(known.select(*CELL, F.col(dem).alias("value"))), tile=tile)
     names = [f"t{t}" for t in thresholds]
     flags = cells.select(*CELL, *[(F.col(snow) >= t).cast("int").alias(n) for t, n in zip(thresholds, names)])
-    dist = downslope_distance(ptr, flags, names, cap, cell_size)
+    dist = downslope_distance(ptr, flags, names, cap, cell_size, tile)
     # Unreached counts as the cap; the snow itself does not count.
     part = {n: F.when(F.coalesce(F.col(n), F.lit(cap)) != 0, F.least(F.coalesce(F.col(n), F.lit(cap)), F.lit(cap))) for n in names}
     total = reduce(lambda a, b: a + b, [F.coalesce(p, F.lit(0.0)) for p in part.values()])
@@ -178,25 +190,100 @@ def snow_effect(cells: DataFrame, dem: str = "dem", snow: str = "snow", threshol
     return invert(cut_lineage(summed)).select(*CELL, F.col("value").alias("snow_effect"))
 
 
-def d8_area(ptr: DataFrame, cell_size: float = 1.0) -> DataFrame:
+def _drain(to: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Sum of the weights upstream of every cell, itself included (pointer doubling)."""
+    acc, at = weight.copy(), np.flatnonzero(to != np.arange(len(to)))
+    end = to[at]
+    stop = to == np.arange(len(to))
+    jump = to.copy()
+    while len(at):
+        inflow = np.bincount(end, weights=acc[at], minlength=len(acc))
+        nxt = np.where(stop[jump], -1, jump[jump])
+        nxt[stop] = -1
+        acc = acc + inflow
+        keep = nxt[at] >= 0
+        at, end = at[keep], nxt[at[keep]]
+        stop, jump = nxt < 0, np.where(nxt < 0, np.arange(len(to)), nxt)
+    return acc
+
+
+def _last_in_tile(to: np.ndarray) -> np.ndarray:
+    end = to
+    while True:
+        further = end[end]
+        if np.array_equal(further, end):
+            return end
+        end = further
+
+
+def d8_area(ptr: DataFrame, cell_size: float = 1.0, tile: int = TILE) -> DataFrame:
     """Contributing area of every cell, itself included, of a sink-free grid.
 
-    Doubling again: each round adds the areas of the cells whose pointer ends here and
-    moves every pointer to its pointer's end. Finished cells leave the work, so an
-    outlet that a third of the grid drains to is added up round by round and never
-    becomes one large group.
+    Tiles are drained on their own first. What matters between tiles is only how much
+    leaves at which cell and where it leaves the next tile, a graph of border cells
+    that is small against the grid; its flows are summed by pointer doubling. A second
+    pass drains each tile again with what enters it. An outlet that a third of the grid
+    drains to receives sums, never the cells themselves.
     """
-    area = ptr.select(*CELL, F.lit(1.0).alias("acc"))
-    moving = ptr.filter("to_row is not null").select(*CELL, "to_row", "to_col")
-    area, moving = cut_lineage(area), cut_lineage(moving)
+    moves = _offsets(ptr).select(*CELL, "dr", "dc", F.floor(F.col("row") / tile).cast("int").alias("_tr"),
+                                 F.floor(F.col("col") / tile).cast("int").alias("_tc"))
+
+    def grids(key, pdf, cols):
+        r0, c0 = key[0] * tile, key[1] * tile
+        return dense(pdf, cols, r0, c0, tile), (pdf["row"].to_numpy() - r0) * tile + pdf["col"].to_numpy() - c0
+
+    def leaving(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        # Border cells with the cell where their path leaves the tile, and what each exit collects.
+        a, at = grids(key, pdf, ["dr", "dc"])
+        to = _targets(a)
+        last = _last_in_tile(to)
+        weight = np.zeros(tile * tile)
+        weight[at] = 1.0
+        acc = _drain(to, weight)
+        r, c = at // tile, at % tile
+        border = (r == 0) | (c == 0) | (r == tile - 1) | (c == tile - 1)
+        dr, dc = a["dr"].ravel(), a["dc"].ravel()
+        out = ~np.isnan(dr) & (to == np.arange(len(to)))  # points out of the tile
+        b, e = at[border], last[at[border]]
+        exits = out[b] & (e == b)
+        r0, c0 = key[0] * tile, key[1] * tile
+        null = lambda ok, v: pd.array(np.where(ok, np.nan_to_num(v), 0), dtype="Int32").copy()
+        frame = pd.DataFrame({"row": b // tile + r0, "col": b % tile + c0, "flow": np.where(exits, acc[b], 0.0), "exits": exits})
+        for name, ok, v in (("exit_row", out[e], e // tile + r0), ("exit_col", out[e], e % tile + c0),
+                            ("next_row", exits, b // tile + r0 + dr[b]), ("next_col", exits, b % tile + c0 + dc[b])):
+            column = null(ok, v)
+            column[~ok] = pd.NA
+            frame[name] = column
+        return frame
+
+    border = cut_lineage(moves.groupBy("_tr", "_tc").applyInPandas(
+        leaving, "row int, col int, flow double, exits boolean, exit_row int, exit_col int, next_row int, next_col int"))
+    entry = border.select(F.col("row").alias("next_row"), F.col("col").alias("next_col"),
+                          F.col("exit_row").alias("to_row"), F.col("exit_col").alias("to_col"))
+    exits = border.filter("exits").select(*CELL, "flow", "next_row", "next_col")
+    flow = cut_lineage(exits.select(*CELL, "flow"))
+    moving = cut_lineage(exits.join(entry, ["next_row", "next_col"]).filter("to_row is not null").select(*CELL, "to_row", "to_col"))
     while moving.limit(1).count():
-        inflow = (moving.join(area, CELL).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col"))
-                  .agg(F.sum("acc").alias("_in")))
-        area = cut_lineage(area.join(inflow, CELL, "left")
-                           .select(*CELL, (F.col("acc") + F.coalesce("_in", F.lit(0.0))).alias("acc")))
-        moving = cut_lineage(moving.join(_jump(moving), ["to_row", "to_col"])
-                             .select(*CELL, F.col("_to_row").alias("to_row"), F.col("_to_col").alias("to_col")))
-    return area.select(*CELL, F.col("acc").alias("cells"), (F.col("acc") * cell_size).alias("specific_area"))
+        inflow = (moving.join(flow, CELL).groupBy(F.col("to_row").alias("row"), F.col("to_col").alias("col"))
+                  .agg(F.sum("flow").alias("_in")))
+        ahead = moving.select(F.col("row").alias("to_row"), F.col("col").alias("to_col"),
+                              F.col("to_row").alias("_r"), F.col("to_col").alias("_c"))
+        flow = cut_lineage(flow.join(inflow, CELL, "left")
+                           .select(*CELL, (F.col("flow") + F.coalesce("_in", F.lit(0.0))).alias("flow")))
+        moving = cut_lineage(moving.join(ahead, ["to_row", "to_col"])
+                             .select(*CELL, F.col("_r").alias("to_row"), F.col("_c").alias("to_col")))
+    entering = (exits.drop("flow").join(flow, CELL).groupBy(F.col("next_row").alias("row"), F.col("next_col").alias("col"))
+                .agg(F.sum("flow").alias("inflow")))
+
+    def drained(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        a, at = grids(key, pdf, ["dr", "dc", "inflow"])
+        weight = np.zeros(tile * tile)
+        weight[at] = 1.0 + np.nan_to_num(a["inflow"].ravel()[at])
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "cells": _drain(_targets(a), weight)[at]})
+
+    area = (moves.join(entering, CELL, "left").groupBy("_tr", "_tc")
+            .applyInPandas(drained, "row int, col int, cells double"))
+    return area.select(*CELL, "cells", (F.col("cells") * cell_size).alias("specific_area"))
 
 
 def wetness(area: DataFrame, slope: DataFrame, flat_fill: float | None = None) -> DataFrame:

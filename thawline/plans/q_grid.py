@@ -123,7 +123,7 @@ def line_cells_q(spark, d):
 
 
 _PTS = """hits as (select distinct c_custkey from (select c_custkey, feature_id, count(*) as n from
-  (select c_custkey, c_acctbal / 200 + 5 as x, c_nationkey * 1.5 + 2.6 as y from customer) p
+  (select c_custkey, c_acctbal / 200 + 5 as x, c_nationkey * 1.5::double + 2.6::double as y from customer) p
   join edge on (y1 <= y) <> (y2 <= y) and x1 + (y - y1) * (x2 - x1) / (y2 - y1) > x group by 1, 2) where n % 2 = 1)"""
 
 
@@ -299,7 +299,7 @@ def rec(body, *ctes):
   _NEAR, _d8("cells", "z"), _WALK.format(cap=6)), "water")
 def d8_distance(spark, d):
     c = cells(spark, d)
-    return R.downslope_distance(R.d8(layer(spark, d, "z"), tile=SMALL_TILE), c.select(*CELL, "water"), ["water"], 6.0)
+    return R.downslope_distance(R.d8(layer(spark, d, "z"), tile=SMALL_TILE), c.select(*CELL, "water"), ["water"], 6.0, tile=SMALL_TILE)
 
 
 _AREA = "area as (select r as row, c as col, count(*)::double as cells from walk group by 1, 2)"
@@ -308,7 +308,7 @@ _AREA = "area as (select r as row, c as col, count(*)::double as cells from walk
 @query("d8_accumulation", rec("select row, col, cells, cells * 2.0 as specific_area from area", _NEAR, _d8("cells", "z"),
                               _WALK.format(cap=1e9), _AREA), "cells specific_area")
 def d8_accumulation(spark, d):
-    return R.d8_area(R.d8(layer(spark, d, "z"), tile=SMALL_TILE), 2.0)
+    return R.d8_area(R.d8(layer(spark, d, "z"), tile=SMALL_TILE), 2.0, SMALL_TILE)
 
 
 @query("wetness", rec("""select a.row, a.col, case when tan(radians(slope)) > 0 then ln(cells * 2.0 / tan(radians(slope))) end as twi
@@ -316,7 +316,7 @@ def d8_accumulation(spark, d):
   "gaps as (select row, col, z as value from cells)", _SLOPE), "twi")
 def wetness_q(spark, d):
     z = layer(spark, d, "z")
-    return R.wetness(R.d8_area(R.d8(z, tile=SMALL_TILE), 2.0), G.slope(z, 2.0, tile=SMALL_TILE))
+    return R.wetness(R.d8_area(R.d8(z, tile=SMALL_TILE), 2.0, SMALL_TILE), G.slope(z, 2.0, tile=SMALL_TILE))
 
 
 _T = R.SNOW_THRESHOLDS

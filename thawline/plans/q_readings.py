@@ -443,7 +443,7 @@ _DAILY_SQL = "select site, cast(datetime as date) as date, " + ", ".join(
 _DAILY_COLS = "T1_prop T3_prop moist_prop T1_mean T1_min T1_max T3_mean T3_min T3_max moist_mean"
 
 
-@query("daily_aggregate", with_(*_GRID, CTE["filled"], body=_DAILY_SQL), _DAILY_COLS + " probl", dates="date")
+@query("daily_aggregate", with_(*_GRID, CTE["filled"], body=_DAILY_SQL), _DAILY_COLS + " probl", dates="date", digits=9)
 def daily_aggregate(spark, d):
     out = D.daily(D.interpolate(grid(spark, d)).withColumnRenamed("probl_seed", "probl"))
     return out.withColumn("probl", F.col("probl").cast("double"))

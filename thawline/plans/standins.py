@@ -97,7 +97,7 @@ def cells(spark, sf_dir) -> DataFrame:
 
 CELLS_SQL = """cells as (
   select cast(floor(p_partkey / 50.0) as integer) as row, cast(p_partkey % 50 as integer) as col, p_retailprice as elev,
-    cast(p_size as double) as ndvi, p_retailprice + 0.2 * p_size as z,
+    cast(p_size as double) as ndvi, p_retailprice + 0.2::double * p_size as z,
     case when p_type = 'ECONOMY' then 1 else 0 end as water, p_brand as brand from part)"""
 
 
@@ -107,7 +107,7 @@ def points(spark, sf_dir) -> DataFrame:
         (F.col("s_acctbal") / 200 + 5).alias("x"), (F.col("s_nationkey") * 1.5 + 2.25).alias("y"))
 
 
-POINTS_SQL = """points as (select 'S' || s_suppkey as site, s_acctbal / 200 + 5 as x, s_nationkey * 1.5 + 2.25 as y from supplier)"""
+POINTS_SQL = """points as (select 'S' || s_suppkey as site, s_acctbal / 200 + 5 as x, s_nationkey * 1.5::double + 2.25::double as y from supplier)"""
 
 # A concave ring and a zigzag line, as offsets from each point.
 RING = [(-2.3, -1.1), (1.9, -1.7), (0.4, 0.2), (2.1, 2.6), (-1.6, 1.3)]
@@ -123,7 +123,7 @@ def vertices(spark, sf_dir, shape) -> DataFrame:
 
 def vertices_sql(name: str, shape) -> str:
     return f"{name} as (" + " union all ".join(
-        f"select site as feature_id, 0 as part_id, {i} as seq, x + ({dx}) as x, y + ({dy}) as y from points"
+        f"select site as feature_id, 0 as part_id, {i} as seq, x + ({dx})::double as x, y + ({dy})::double as y from points"
         for i, (dx, dy) in enumerate(shape)) + ")"
 
 

@@ -72,6 +72,7 @@ def _block_peers(pdf: pd.DataFrame) -> pd.DataFrame:
         # A constant series leaves rounding noise in place of a zero variance.
         flat = (vx <= 1e-12 * np.maximum(n * sxx, 1e-300)) | (vy <= 1e-12 * np.maximum(n * syy, 1e-300))
         cor = np.where(unknown | flat | (n < 2), np.nan, (n * sxy - sx * sy) / np.sqrt(vx * vy))
+    cor = np.round(cor, 12)  # equal correlations must not be told apart by the last bits
     rank = np.where(np.isnan(cor), -2.0, cor)
     rank[(n == 0) | (a_sites[:, None] == b_sites[None, :])] = -np.inf
     best = rank.argmax(axis=1)  # the first of equals: peers are in name order
@@ -200,7 +201,8 @@ def dilate_flags(flagged: DataFrame) -> DataFrame:
     total = F.col("flag") + F.lead("flag", 1).over(w)
     for k in range(1, 5):
         total = total + F.lag("flag", k).over(w)
-    return flagged.withColumn("error", F.least(total, F.lit(1)))
+    # Not least(): it would skip the unknown.
+    return flagged.withColumn("error", F.when(total > 1, F.lit(1)).otherwise(total))
 
 
 def fill_spikes(flagged: DataFrame) -> DataFrame:

@@ -62,7 +62,7 @@ def chain_sql(field: str) -> list[str]:
           from enough o join (select * replace (case when {_allowed_sql('spike_peer')} then value end as value) from everyrow) e
           on o.datetime = e.datetime and o.sensor = e.sensor and o.site <> e.site group by 1, 2, 3, 4)""",
         """peers as (select * exclude (rn) from (select *, row_number() over (partition by site, my, sensor
-          order by cor desc nulls last, peer) as rn from cors) where rn = 1)""",
+          order by round(cor, 12) desc nulls last, peer) as rn from cors) where rn = 1)""",
         """paired as (select o.*, p.peer, e.value as peer_value, o.value - e.value as me from enough o
           left join peers p using (site, my, sensor)
           left join everyrow e on e.site = p.peer and e.sensor = o.sensor and e.datetime = o.datetime)""",
@@ -77,8 +77,9 @@ def chain_sql(field: str) -> list[str]:
           step_before / roll_change as rel_before, step_after / roll_change as rel_after from f3)""",
         "flags as (select *, cast(case sensor " + " ".join(f"when '{s}' then {rule(s)}" for s in S.SENSORS)
         + " end as integer) as flag from features)",
-        f"""wide as (select *, least(flag + lag(flag, 1) over w + lag(flag, 2) over w + lag(flag, 3) over w
-          + lag(flag, 4) over w + lead(flag) over w, 1) as error from flags window w as ({g}))""",
+        f"""spread as (select *, flag + lag(flag, 1) over w + lag(flag, 2) over w + lag(flag, 3) over w
+          + lag(flag, 4) over w + lead(flag) over w as total from flags window w as ({g}))""",
+        "wide as (select *, case when total > 1 then 1 else total end as error from spread)",
         f"""filled as (select *, case when error = 1 then avg(case when error = 1 then null else me end) over
           ({g} rows between 5 preceding and 5 following) + peer_value else value end as corrected from wide)""",
         """corrected as (select site, my, sensor, datetime, corrected from filled union all

@@ -163,9 +163,13 @@ def test_trimmed_mean_equals_a_plain_loop(spark, n):
     np.testing.assert_allclose(got, [trimmed(x, p) for p in range(n)], rtol=0, atol=1e-12)
 
 
-def every_rows(spark, data):
-    rows = [(s, stamps([i])[0], 1, p, "T1", v) for s, p, vs in data for i, v in enumerate(vs)]
-    return spark.createDataFrame(rows, "site string, datetime timestamp_ntz, my int, probl int, sensor string, value double")
+def all_readings(spark, data):
+    rows = [(s, stamps([i])[0], p, v, v, v) for s, p, vs in data for i, v in enumerate(vs)]
+    return spark.createDataFrame(rows, "site string, datetime timestamp_ntz, probl int, T1 double, T2 double, T3 double")
+
+
+def soil_rows(readings, where):
+    return S.sensor_rows(readings.filter(where)).filter("sensor = 'T1' and value is not null")
 
 
 @pytest.mark.parametrize("blocks", [1, 2, 5])
@@ -173,17 +177,16 @@ def test_best_peer_order(spark, blocks):
     base = [1.0, 2.0, 4.0, 3.0, 7.0]
     data = [("A", 0, base), ("B", 0, [2 * v for v in base]), ("C", 0, [3 * v for v in base]), ("D", 0, [1.0, 2.0, 4.0, None, 7.0]),
             ("E", 1, base), ("F", 0, [5.0] * 5), ("G", 0, [-v for v in base])]
-    every = every_rows(spark, data)
-    own = every.filter("site in ('A', 'D')").filter("value is not null")
-    out = {r["site"]: (r["peer"], r["cor"]) for r in S.best_peer(own, every, "oulu", blocks).collect()}
+    every = all_readings(spark, data)
+    out = {r["site"]: (r["peer"], r["cor"]) for r in S.best_peer(soil_rows(every, "site in ('A', 'D')"), every, "oulu", blocks).collect()}
     # Equal correlations: the first name; a null, a bad code or a constant series comes last.
     assert out["A"][0] == "B" and out["A"][1] == pytest.approx(1.0)
     assert out["D"][0] == "A" and out["D"][1] == pytest.approx(1.0)
 
 
 def test_unknown_correlations_still_choose_by_name(spark):
-    every = every_rows(spark, [("A", 0, [1.0, 2.0, 3.0]), ("C", 0, [None, 1.0, 2.0]), ("B", 1, [1.0, 2.0, 3.0])])
-    out = S.best_peer(every.filter("site = 'A'"), every, "oulu", 3).first()
+    every = all_readings(spark, [("A", 0, [1.0, 2.0, 3.0]), ("C", 0, [None, 1.0, 2.0]), ("B", 1, [1.0, 2.0, 3.0])])
+    out = S.best_peer(soil_rows(every, "site = 'A'"), every, "oulu", 3).first()
     assert (out["peer"], out["cor"]) == ("B", None)
 
 
@@ -193,10 +196,10 @@ def test_spike_is_found_spread_and_filled(spark):
     a = [v + rng.normal(0, 0.02) for v in wave]
     b = [v + 1 for v in wave]
     a[200] += 15
-    rows = [(s, T0 + dt.timedelta(minutes=15 * i), 1, 0, "T1", float(v)) for s, vs in (("A", a), ("B", b)) for i, v in enumerate(vs)]
-    every = spark.createDataFrame(rows, "site string, datetime timestamp_ntz, my int, probl int, sensor string, value double")
-    every = every.withColumn("my", F.lit(1))
-    out = S.correct_spikes(every.filter("site = 'A'"), every, "oulu", 1).orderBy("datetime").toPandas()
+    t0 = dt.datetime(2021, 1, 2)
+    rows = [(s, t0 + dt.timedelta(minutes=15 * i), 0, float(v), float(v), float(v)) for s, vs in (("A", a), ("B", b)) for i, v in enumerate(vs)]
+    every = spark.createDataFrame(rows, "site string, datetime timestamp_ntz, probl int, T1 double, T2 double, T3 double")
+    out = S.correct_spikes(soil_rows(every, "site = 'A'"), every, "oulu", 1).orderBy("datetime").toPandas()
     changed = [i for i in range(480) if abs(out["corrected"][i] - a[i]) > 1e-9]
     # The spike and its two neighbours differ from the peer; the flag reaches one before and four after.
     assert 200 in changed and set(changed) <= set(range(198, 206))

@@ -5,6 +5,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from thawline.functions.joins import salted_join
 from thawline.operators.grid import CELL, Grid
 
 
@@ -73,7 +74,8 @@ def canopy(points: DataFrame, tile: float = 3000.0, halo: float = 10.0, res: flo
             .select("tile_row", "tile_col"))
     at = points.select(F.floor(F.col("y") / tile).cast("int").alias("tile_row"), F.floor(F.col("x") / tile).cast("int").alias("tile_col"),
                        F.floor(F.col("y") / res).cast("int").alias("row"), F.floor(F.col("x") / res).cast("int").alias("col"),
-                       "z", "class").join(full, ["tile_row", "tile_col"], "left_semi")
+                       "z", "class")
+    at = salted_join(at, full, ["tile_row", "tile_col"], ["row", "col", "z"], "left_semi")
     heights = at.groupBy(*CELL, "z").agg(F.bool_or(F.col("class") == ground_class).alias("_g"))
     ground = heights.groupBy(*CELL).agg(F.min(F.when(F.col("_g"), F.col("z"))).alias("_ground"))
     above = F.col("z") - F.col("_ground")

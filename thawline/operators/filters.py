@@ -6,6 +6,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from thawline.functions import clock_seconds, finite, month_index
+from thawline.functions.joins import salted_join
 from thawline.functions.ordered import home, with_halo
 from thawline.functions.tables import LIMITS, OTHER_AREAS, PLOT_DROP_CODES, keep_codes_for
 from pyspark.sql import Window as W
@@ -56,7 +57,7 @@ def supported(df: DataFrame, keys: list[str], stamp: str = "datetime", min_days:
     daily = df.groupBy(*keys, F.to_date(stamp).alias("_day")).agg(F.count(F.lit(1)).alias("_n"))
     good = (daily.groupBy(*keys).agg(F.count(F.lit(1)).alias("_days"), F.sum("_n").alias("_rows"))
             .filter((F.col("_days") > min_days) & (F.col("_rows") > min_rows)))
-    return df.join(good.select(*keys), keys, "left_semi")
+    return salted_join(df, good.select(*keys), keys, [stamp], "left_semi")
 
 
 def _with_spacing(df: DataFrame, keys: list[str], order: list[str], stamp: str) -> DataFrame:
@@ -83,7 +84,7 @@ def regular_spacing(df: DataFrame, minutes: tuple[int, ...] = (10, 15), keys: tu
     again = _with_spacing(kept, keys, order, stamp)
     tight = again.groupBy(*keys).agg((F.min("_before") < shortest).alias("_tight"))
     both = F.col("_before") + F.col("_after")
-    return (again.join(tight, keys)
+    return (salted_join(again, tight, keys, order)
             .filter(~F.coalesce("_tight", F.lit(False)) | both.isNull() | (both >= 2 * shortest))
             .select(*cols))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from thawline.functions import (
     clock_seconds, if_known, logger_key, month_index, round_even, safe_corr, strict, strict_mean,
 )
+from thawline.functions.joins import salted_join
 from thawline.functions.ordered import home, last_per_key, step, with_halo
 
 SENSORS = ("T1", "T2", "T3")
@@ -34,13 +35,13 @@ def mask_visits(readings: DataFrame, visits: DataFrame) -> DataFrame:
     before the shuffle, so no ordered pass over a site is needed.
     """
     stamp = F.col("datetime")
-    near = (readings.join(visits.select("site", "maxdt"), "site")
+    near = (salted_join(readings.select("site", "tomst_id", "datetime"), visits.select("site", "maxdt"), ["site"], ["datetime"])
             .groupBy("site", "tomst_id", "maxdt")
             .agg(F.bool_or(stamp == F.col("maxdt")).alias("_hit"),
                  F.max(F.when(stamp < F.col("maxdt"), stamp)).alias("_prev"),
                  F.min(F.when(stamp > F.col("maxdt"), stamp)).alias("_next"))
             .filter("_hit").drop("_hit"))
-    known = readings.join(near, ["site", "tomst_id"], "left")
+    known = salted_join(readings, near, ["site", "tomst_id"], ["datetime"], "left")
     touched = (stamp == F.col("maxdt")) | (stamp == F.col("_prev")) | (stamp == F.col("_next"))
     clear = ~F.coalesce(touched, F.lit(False))
     return known.withColumns({c: F.when(clear, F.col(c)) for c in VALUES}).drop("maxdt", "_prev", "_next")
@@ -83,7 +84,7 @@ def apply_quality(diag: DataFrame, rules: DataFrame) -> DataFrame:
                 & (r["date_to"].isNull() | (r["date_to"] >= day)))
 
     hit = F.try_element_at(F.filter("_rules", holds), F.lit(-1))["code"]
-    return (diag.join(by_site, "site", "left")
+    return (salted_join(diag, by_site, ["site"], ["date"], "left")
             .withColumn("probl", F.coalesce(hit, F.lit(0)).cast("int")).drop("_rules"))
 
 
@@ -149,7 +150,7 @@ def sensor_offsets(readings: DataFrame, diag: DataFrame, max_step: float = 0.125
 def apply_offsets(readings: DataFrame, offsets: DataFrame) -> DataFrame:
     """Subtract the offsets; a logger without one is left as it is."""
     off = offsets.select("site", "tomst_id", *[F.col(s).alias(f"_o{s}") for s in SENSORS])
-    return (readings.join(off, ["site", "tomst_id"], "left")
+    return (salted_join(readings, off, ["site", "tomst_id"], ["datetime"], "left")
             .withColumns({s: F.col(s) - F.coalesce(F.col(f"_o{s}"), F.lit(0.0)) for s in SENSORS})
             .drop(*[f"_o{s}" for s in SENSORS]))
 

@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from thawline.functions import if_known, month_index
+from thawline.functions import clock_seconds, if_known, month_index
 from thawline.functions.ordered import roll, step
 from thawline.functions.tables import (
     SPIKE_HUGE, SPIKE_QUIET, SPIKE_RATIO_RULES, SPIKE_STEP_LIMIT, keep_codes_for,
@@ -41,65 +41,79 @@ def own_rows(rows: DataFrame, network: str) -> DataFrame:
 
 
 def _block_peers(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Best peer of each own site among one block of sites, by matrix products."""
+    """Best peer of each own site among one block of sites, per sensor, by matrix products."""
+    columns = ["site", "my", "sensor", "peer", "cor"]
     own, peer = pdf[pdf["own"]], pdf[~pdf["own"]]
-    cols = ["site", "my", "sensor", "peer", "cor"]
     if own.empty or peer.empty:
-        return pd.DataFrame(columns=cols)
-    stamps = pd.Index(own["datetime"].unique())
-    peer = peer[peer["datetime"].isin(stamps)]
-    if peer.empty:
-        return pd.DataFrame(columns=cols)
-
-    def dense(part: pd.DataFrame):
-        sites = np.sort(part["site"].unique())
-        r, c = stamps.get_indexer(part["datetime"]), np.searchsorted(sites, part["site"].to_numpy())
-        here, x = np.zeros((len(stamps), len(sites))), np.full((len(stamps), len(sites)), np.nan)
-        here[r, c], x[r, c] = 1.0, part["value"].to_numpy(dtype=float)
-        known = here * ~np.isnan(x)
-        # Centred on the site's mean so that the sums of products keep their digits.
-        mean = np.nansum(x, axis=0) / np.maximum(known.sum(axis=0), 1)
-        return sites, here, known, np.where(known > 0, x - mean, 0.0)
-
-    a_sites, a_here, _, a = dense(own)
-    b_sites, b_here, b_known, b = dense(peer)
-    n = a_here.T @ b_here
-    unknown = a_here.T @ (b_here - b_known) > 0
-    sx, sy, sxy = a.T @ b_here, a_here.T @ b, a.T @ b
-    sxx, syy = (a * a).T @ b_here, a_here.T @ (b * b)
-    with np.errstate(all="ignore"):
-        vx, vy = n * sxx - sx * sx, n * syy - sy * sy
-        # A constant series leaves rounding noise in place of a zero variance.
-        flat = (vx <= 1e-12 * np.maximum(n * sxx, 1e-300)) | (vy <= 1e-12 * np.maximum(n * syy, 1e-300))
-        cor = np.where(unknown | flat | (n < 2), np.nan, (n * sxy - sx * sy) / np.sqrt(vx * vy))
-    cor = np.round(cor, 12)  # equal correlations must not be told apart by the last bits
-    rank = np.where(np.isnan(cor), -2.0, cor)
-    rank[(n == 0) | (a_sites[:, None] == b_sites[None, :])] = -np.inf
-    best = rank.argmax(axis=1)  # the first of equals: peers are in name order
-    i = np.flatnonzero(np.isfinite(rank[np.arange(len(a_sites)), best]))
-    return pd.DataFrame({"site": a_sites[i], "my": pdf["my"].iloc[0], "sensor": pdf["sensor"].iloc[0],
-                         "peer": b_sites[best[i]], "cor": cor[i, best[i]]}, columns=cols)
+        return pd.DataFrame(columns=columns)
+    stamp = pd.Index(own["stamp"].unique())
+    peer_row = stamp.get_indexer(peer["stamp"])
+    peer, peer_row = peer[peer_row >= 0], peer_row[peer_row >= 0]
+    own_row = stamp.get_indexer(own["stamp"])
+    own_col, a_sites = pd.factorize(own["site"], sort=True)
+    peer_col, b_sites = pd.factorize(peer["site"], sort=True)
+    if len(b_sites) == 0:
+        return pd.DataFrame(columns=columns)
+    found = []
+    for sensor in SENSORS:
+        def dense(row, col, width, values, present):
+            here, x = np.zeros((len(stamp), width)), np.full((len(stamp), width), np.nan)
+            here[row[present], col[present]] = 1.0
+            x[row, col] = values
+            known = here * ~np.isnan(x)
+            # Centred on the site's mean so that the sums of products keep their digits.
+            mean = np.nansum(x, axis=0) / np.maximum(known.sum(axis=0), 1)
+            return here, known, np.where(known > 0, x - mean, 0.0)
+
+        mine = own[sensor].to_numpy(dtype=float)
+        a_here, _, a = dense(own_row, own_col, len(a_sites), mine, ~np.isnan(mine))
+        theirs = peer[sensor].to_numpy(dtype=float)
+        b_here, b_known, b = dense(peer_row, peer_col, len(b_sites), theirs, np.ones(len(theirs), dtype=bool))
+        n = a_here.T @ b_here
+        unknown = a_here.T @ (b_here - b_known) > 0
+        sx, sy, sxy = a.T @ b_here, a_here.T @ b, a.T @ b
+        sxx, syy = (a * a).T @ b_here, a_here.T @ (b * b)
+        with np.errstate(all="ignore"):
+            vx, vy = n * sxx - sx * sx, n * syy - sy * sy
+            # A constant series leaves rounding noise in place of a zero variance.
+            flat = (vx <= 1e-12 * np.maximum(n * sxx, 1e-300)) | (vy <= 1e-12 * np.maximum(n * syy, 1e-300))
+            cor = np.where(unknown | flat | (n < 2), np.nan, (n * sxy - sx * sy) / np.sqrt(vx * vy))
+        cor = np.round(cor, 12)  # equal correlations must not be told apart by the last bits
+        rank = np.where(np.isnan(cor), -2.0, cor)
+        rank[(n == 0) | (np.asarray(a_sites)[:, None] == np.asarray(b_sites)[None, :])] = -np.inf
+        best = rank.argmax(axis=1)  # the first of equals: peers are in name order
+        i = np.flatnonzero(np.isfinite(rank[np.arange(len(a_sites)), best]))
+        found.append(pd.DataFrame({"site": a_sites[i], "my": pdf["my"].iloc[0], "sensor": sensor,
+                                   "peer": b_sites[best[i]], "cor": cor[i, best[i]]}, columns=columns))
+    return pd.concat(found)
 
 
 def best_peer(own: DataFrame, every: DataFrame, network: str, n_blocks: int | None = None) -> DataFrame:
     """The other site whose readings correlate best, per site, month and sensor.
 
-    A pair's correlation uses the stamps of the own readings the peer has too and is
-    unknown if the peer has an unknown or unusable value there; unknown ones come
-    last, equal ones by name. Every site is compared with every other, but no pair of
-    readings is ever formed: sites are cut into blocks, each task multiplies two
-    blocks' (stamp x site) matrices of one month and returns the best per own site.
-    A reading is copied once per block, and a task holds two blocks of logger months.
+    `own` holds the sensor rows to screen, `every` the readings of all sites. A pair's
+    correlation uses the stamps of the own readings the peer has too and is unknown if
+    the peer has an unknown or unusable value there; unknown ones come last, equal ones
+    by name. Every site is compared with every other, but no pair of readings is ever
+    formed: sites are cut into blocks, each task multiplies two blocks' (stamp x site)
+    matrices of one month and returns the best per own site. A reading is copied once
+    per block, and a task holds two blocks of logger months.
     """
     if n_blocks is None:
         n_blocks = max(1, -(-every.select("site").distinct().count() // BLOCK_SITES))
-    usable = every.withColumn("value", F.when(_allowed("spike_peer", network), F.col("value")))
+    codes = {s: keep_codes_for("spike_peer", network, s) for s in SENSORS}
     blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    mine = F.pmod(F.xxhash64("site"), F.lit(n_blocks)).cast("int")
-    cols = ["my", "sensor", "_a", "_b", "own", "site", "datetime", "value"]
-    both = (own.withColumns({"own": F.lit(True), "_a": mine, "_b": blocks}).select(*cols)
-            .unionByName(usable.withColumns({"own": F.lit(False), "_b": mine, "_a": blocks}).select(*cols)))
-    found = both.groupBy("my", "sensor", "_a", "_b").applyInPandas(
+    block = F.pmod(F.xxhash64("site"), F.lit(n_blocks)).cast("int")
+    theirs = every.select("site", F.lit(False).alias("own"), month_index("datetime").alias("my"), "datetime",
+                          *[F.when(F.col("probl").isin(*codes[s]), F.col(s)).alias(s) for s in SENSORS],
+                          block.alias("_b"), blocks.alias("_a"))
+    # One row per reading again: its three sensors share the stamp.
+    mine = own.groupBy("site", "my", "datetime").agg(
+        *[F.max(F.when(F.col("sensor") == s, F.col("value"))).alias(s) for s in SENSORS])
+    mine = mine.select("site", F.lit(True).alias("own"), "my", "datetime", *SENSORS, block.alias("_a"), blocks.alias("_b"))
+    both = mine.unionByName(theirs)
+    both = both.select("my", "_a", "_b", "own", "site", clock_seconds("datetime").alias("stamp"), *SENSORS)
+    found = both.groupBy("my", "_a", "_b").applyInPandas(
         _block_peers, "site string, my int, sensor string, peer string, cor double")
     found = found.withColumn("cor", F.nanvl("cor", F.lit(None).cast("double")))
     order = F.struct((-F.coalesce("cor", F.lit(-2.0))).alias("k"), "peer", "cor")
@@ -121,39 +135,47 @@ def trimmed_means(df: DataFrame, cols: dict[str, str], back: int = 71, ahead: in
 
     A frame of even length gives its plain mean, one of odd length leaves out its
     five centre rows. Full frames are even; odd ones occur near the ends of a group.
-    Groups must have more than `ahead` rows and no null input.
+    Groups must have more than 100 rows, as screened ones do, and no null input.
 
     The frame sum is a difference of running sums, so its cost does not grow with the
     frame. Centres of odd frames lie within `ahead` rows of an end; the five-row sums
-    there are collected once per group into two arrays of back // 2 + 1 values.
+    there are collected into one short array per end.
     """
     assert ahead == back + 1
-    w, whole = W.partitionBy(*GROUP).orderBy("datetime"), W.partitionBy(*GROUP)
+    w = W.partitionBy(*GROUP).orderBy("datetime")
+    group = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     near, far = ahead // 2, ahead  # an end's possible centres: [near, far) rows from it
-    out = df.withColumns({"_p": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(whole).cast("int"),
+    out = df.withColumns({"_p": F.row_number().over(w) - 1, "_n": F.count(F.lit(1)).over(group).cast("int"),
                           **{f"_run_{c}": F.sum(c).over(w.rowsBetween(W.unboundedPreceding, 0)) for c in cols},
-                          **{f"_five_{c}": F.sum(c).over(w.rowsBetween(-2, 2)) for c in cols}})
-    left = F.col("_p").between(near, far - 1)
-    right = (F.col("_n") - 1 - F.col("_p")).between(near, far - 1)
+                          **{f"_all_{c}": F.sum(c).over(group) for c in cols}})
     window = {}
     for c in cols:
-        window[f"_hi_{c}"] = F.coalesce(F.lead(f"_run_{c}", ahead).over(w), F.sum(c).over(whole))
-        window[f"_lo_{c}"] = F.coalesce(F.lag(f"_run_{c}", back + 1).over(w), F.lit(0.0))
-        ordered = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-        window[f"_left_{c}"] = F.collect_list(F.when(left, F.col(f"_five_{c}"))).over(ordered)
-        window[f"_right_{c}"] = F.collect_list(F.when(right, F.col(f"_five_{c}"))).over(ordered)
+        run = f"_run_{c}"
+        window[f"_hi_{c}"] = F.coalesce(F.lead(run, ahead).over(w), F.col(f"_all_{c}"))
+        window[f"_lo_{c}"] = F.coalesce(F.lag(run, back + 1).over(w), F.lit(0.0))
+        window[f"_five_{c}"] = F.lead(run, 2).over(w) - F.lag(run, 3).over(w)
     out = out.withColumns(window)
+    # Both ends are windows of their own, so that the many rows between carry no arrays.
+    # In a group shorter than two ends, one window holds all and the ranges adjoin.
+    from_end = F.col("_n") - 1 - F.col("_p")
+    short = F.col("_n") < 2 * far
+    out = out.withColumn("_zone", F.when(short | (F.col("_p") < far), 0).when(from_end < far, 2).otherwise(1))
+    zone = W.partitionBy(*GROUP, "_zone").orderBy("datetime").rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    centres = F.when(short, (F.col("_p") >= near) & (from_end >= near)).otherwise(
+        ((F.col("_zone") == 0) & F.col("_p").between(near, far - 1))
+        | ((F.col("_zone") == 2) & from_end.between(near, far - 1)))
+    out = out.withColumns({f"_ends_{c}": F.collect_list(F.when(centres, F.col(f"_five_{c}"))).over(zone) for c in cols})
     lo = F.greatest(F.col("_p") - back, F.lit(0))
     hi = F.least(F.col("_p") + ahead, F.col("_n") - 1)
     size, mid = hi - lo + 1, F.floor((lo + hi) / 2).cast("int")
     means = {}
     for c, name in cols.items():
         frame = F.col(f"_hi_{c}") - F.col(f"_lo_{c}")
-        centre = F.when(lo == 0, F.try_element_at(f"_left_{c}", mid - near + 1)).otherwise(
-            F.try_element_at(f"_right_{c}", mid - (F.col("_n") - far) + 1))
+        first = F.when(F.col("_zone") == 0, near).otherwise(F.col("_n") - far)
+        centre = F.try_element_at(f"_ends_{c}", mid - first + 1)
         means[name] = F.when(size % 2 == 0, frame / size).otherwise((frame - centre) / (size - 5))
-    temp = [f"_{k}_{c}" for k in ("run", "five", "hi", "lo", "left", "right") for c in cols]
-    return out.withColumns(means).drop("_p", "_n", *temp)
+    temp = [f"_{k}_{c}" for k in ("run", "all", "five", "hi", "lo", "ends") for c in cols]
+    return out.withColumns(means).drop("_p", "_n", "_zone", *temp)
 
 
 def spike_features(paired: DataFrame) -> DataFrame:
@@ -171,28 +193,44 @@ def spike_features(paired: DataFrame) -> DataFrame:
         "rel_after": F.try_divide("step_after", "roll_change")}).drop("_rd", "_rc")
 
 
-def _rule_chain(sensor: str) -> Column:
-    """The sensor's rules in order; an unknown test makes the flag unknown."""
+def _acting_rules(sensor: str) -> list[tuple]:
+    """The ratio rules that can matter: a rule that resets the flag overrides all before it."""
+    rules = SPIKE_RATIO_RULES[sensor]
+    last = max(i for i, r in enumerate(rules) if r[4])
+    return rules[last:]
+
+
+def spike_flags(features: DataFrame) -> DataFrame:
+    """Flag 0 or 1 by the sensor's rules in order; an unknown test makes the flag unknown.
+
+    Every test is a column first, so the chain of choices stays small compiled code.
+    """
     def beyond(c: str, bound):
         return F.lit(True) if bound is None else (F.col(c) > bound if bound > 0 else F.col(c) < bound)
 
+    def ratio_test(rule) -> Column:
+        diff, change, before, after, _ = rule
+        return ((F.col("rel_diff") > diff) & (F.col("rel_change") > change)
+                & beyond("rel_before", before) & beyond("rel_after", after))
+
+    def by_sensor(make) -> Column:
+        out = F.lit(None)
+        for s in SENSORS:
+            out = F.when(F.col("sensor") == s, make(s)).otherwise(out)
+        return out
+
+    rules = {s: _acting_rules(s) for s in SENSORS}
+    count = max(len(r) for r in rules.values())
+    limit = by_sensor(lambda s: F.lit(SPIKE_STEP_LIMIT[s]))
+    tests = {f"_t{i}": by_sensor(lambda s, i=i: ratio_test(rules[s][i]) if i < len(rules[s]) else F.lit(False)) for i in range(count)}
+    tests |= {"_up": (F.col("step_before") > limit) & (F.col("step_after") > limit),
+              "_down": (F.col("step_before") < -limit) & (F.col("step_after") < -limit)}
     flag = F.lit(0)
-    for diff, change, before, after, reset in SPIKE_RATIO_RULES[sensor]:
-        hit = ((F.col("rel_diff") > diff) & (F.col("rel_change") > change)
-               & beyond("rel_before", before) & beyond("rel_after", after))
-        flag = if_known(hit, F.lit(1), F.lit(0) if reset else flag)
-    limit = SPIKE_STEP_LIMIT[sensor]
-    flag = if_known((F.col("step_before") > limit) & (F.col("step_after") > limit), F.lit(1), flag)
-    flag = if_known((F.col("step_before") < -limit) & (F.col("step_after") < -limit), F.lit(1), flag)
+    for name in tests:
+        flag = if_known(F.col(name), F.lit(1), flag)
     flag = if_known(F.col("diff") < SPIKE_QUIET, F.lit(0), flag)
-    return if_known((F.col("diff") > SPIKE_HUGE) | (F.col("change") > SPIKE_HUGE), F.lit(1), flag)
-
-
-def spike_flags(features: DataFrame) -> DataFrame:
-    flag = F.lit(None).cast("int")
-    for s in SENSORS:
-        flag = F.when(F.col("sensor") == s, _rule_chain(s)).otherwise(flag)
-    return features.withColumn("flag", flag)
+    flag = if_known((F.col("diff") > SPIKE_HUGE) | (F.col("change") > SPIKE_HUGE), F.lit(1), flag)
+    return features.withColumns(tests).withColumn("flag", flag).drop(*tests)
 
 
 def dilate_flags(flagged: DataFrame) -> DataFrame:
@@ -215,10 +253,13 @@ def fill_spikes(flagged: DataFrame) -> DataFrame:
 
 
 def correct_spikes(own: DataFrame, every: DataFrame, network: str, n_blocks: int | None = None) -> DataFrame:
-    """Corrected value per own reading; groups too small to screen pass unchanged."""
+    """Corrected value per own sensor row, given all sites' readings.
+
+    Groups too small to screen pass unchanged.
+    """
     enough = supported(own, GROUP)
     peers = best_peer(enough, every, network, n_blocks)
-    screened = fill_spikes(dilate_flags(spike_flags(spike_features(with_peer(enough, every, peers)))))
+    screened = fill_spikes(dilate_flags(spike_flags(spike_features(with_peer(enough, sensor_rows(every), peers)))))
     keys = [*GROUP, "datetime"]
     small = own.join(enough.select(*GROUP).distinct(), GROUP, "left_anti")
     return (screened.select(*keys, "corrected")

@@ -5,6 +5,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from thawline.functions.joins import salted_join
+
 
 def select_as(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
     return df.select(*[F.col(old).alias(new) for old, new in mapping.items()])
@@ -59,9 +61,11 @@ def exact_median(df: DataFrame, by: list[str], col: str, accuracy: int = 10000)
     bounds = ok.groupBy(*by).agg(
         F.percentile_approx("_x", [0.5 - slack, 0.5 + slack], accuracy).alias("_b"), F.count(F.lit(1)).alias("_n"))
     bounds = bounds.select(*by, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    counts = (ok.join(bounds, by).filter(F.col("_x") <= F.col("_hi"))
+    # Equal values are merged first, so neither a hot group nor a hot value is moved row by row.
+    merged = ok.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_m"))
+    counts = (salted_join(merged, bounds, by, ["_x"]).filter(F.col("_x") <= F.col("_hi"))
               .groupBy(*by, "_n", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_x"))
-              .agg(F.count(F.lit(1)).alias("_k")))
+              .agg(F.sum("_m").alias("_k")))
     w = W.partitionBy(*by).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
     counts = counts.withColumn("_c", F.sum("_k").over(w))
 

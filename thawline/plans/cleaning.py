@@ -31,7 +31,6 @@ def cleaned_readings(readings: DataFrame, rules: DataFrame, network: str, window
         work = Q.apply_offsets(work, Q.sensor_offsets(df, diag, max_step))
     field = cut_lineage(Q.mask_incomplete_days(Q.drop_office(work, diag)))
     base = cut_lineage(FL.regular_spacing(field.filter(F.col("probl") != 1), spacing))
-    every = S.sensor_rows(field)
     own = S.own_rows(S.sensor_rows(base), network)
-    corrected = S.correct_spikes(own, every, network, n_blocks)
+    corrected = S.correct_spikes(own, field, network, n_blocks)
     return FL.apply_limits(S.assemble_clean(base, corrected), network)

@@ -5,6 +5,8 @@ from pyspark.sql import DataFrame, functions as F
 from thawline.operators import impute as I, model as M, report as R, tabular as T
 from thawline.operators.daily import MEASURES
 from thawline.plans.q_readings import usable_sql
+from thawline.plans.climate import climate_variables
+from thawline.plans.mapping import model_inputs, screen_predictors
 from thawline.plans.registry import query
 from thawline.plans.standins import DAY_TABLE_SQL, day_table, days, table
 
@@ -333,3 +335,24 @@ def correlation_difference(spark, d):
 @query("correlation_difference_center", f"{_DIFF} select avg(abs(r)) as mean, median(abs(r)) as median from dif", "mean median")
 def correlation_difference_center(spark, d):
     return T.center(correlation_difference(spark, d).withColumn("r", F.abs("r")), "r")
+
+
+@query("model_inputs", f"""with {DAY_TABLE_SQL}, v as (select site, avg("T1_mean") as "T1_mean" from day_table group by 1),
+  a as (select 'S' || s_suppkey as site, round_even(s_acctbal / 10, 0) as dem from supplier),
+  b as (select 'S' || n_nationkey as site, n_regionkey::double as region from nation)
+  select * from v full join a using (site) full join b using (site)""", "T1_mean dem region")
+def model_inputs_q(spark, d):
+    v = day_table(spark, d).groupBy("site").agg(F.avg("T1_mean").alias("T1_mean"))
+    a = table(spark, d, "supplier").select(F.concat(F.lit("S"), "s_suppkey").alias("site"), F.col("s_acctbal").alias("dem"))
+    b = table(spark, d, "nation").select(F.concat(F.lit("S"), "n_nationkey").alias("site"), F.col("n_regionkey").cast("double").alias("region"))
+    return model_inputs(v, a, b)
+
+
+@query("screen_predictors")
+def screen_predictors_q(spark, d):
+    return _names(spark, screen_predictors(model_rows(spark, d), XS, 0.1))
+
+
+@query("climate_variables")
+def climate_variables_q(spark, d):
+    return climate_variables(day_table(spark, d), trees=3, depth=3, max_sweeps=1, parallelism=8)

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from thawline import functions as X
 from thawline.operators import daily as D, filters as FL, quality as Q
+from thawline.plans.climate import study_days
 from thawline.plans.registry import query
 from thawline.plans.standins import DAY_TABLE_SQL, DAYS_SQL, day_table, days, readings, readings_sql, table
 from thawline.sources import pack_cells, path_keys, pending, select_layers, union_networks
@@ -325,7 +326,7 @@ _DIAG_COLS = ("soil_sd air_sd soil_mean air_mean soil_min soil_max surf_max air_
 _DIAG = (CTE["readings"], CTE["dedup"], CTE["diag"])
 
 
-@query("daily_diagnostics", with_(*_DIAG, body="select * from diag"), _DIAG_COLS, dates="date", digits=8)
+@query("daily_diagnostics", with_(*_DIAG, body="select * from diag"), _DIAG_COLS, dates="date")
 def daily_diagnostics_q(spark, d):
     return Q.daily_diagnostics(dedup(spark, d))
 
@@ -431,7 +432,7 @@ CTE["filled"] = "filled as (select site, datetime, probl_seed, " + ", ".join(map
 
 
 @query("interpolate", with_(*_GRID, CTE["filled"], body="select site, datetime, \"T1\", \"T2\", \"T3\", moist from filled"),
-       VALS, stamps="datetime", digits=9)
+       VALS, stamps="datetime")
 def interpolate_q(spark, d):
     return D.interpolate(grid(spark, d)).select("site", "datetime", "T1", "T2", "T3", "moist")
 
@@ -443,7 +444,7 @@ _DAILY_SQL = "select site, cast(datetime as date) as date, " + ", ".join(
 _DAILY_COLS = "T1_prop T3_prop moist_prop T1_mean T1_min T1_max T3_mean T3_min T3_max moist_mean"
 
 
-@query("daily_aggregate", with_(*_GRID, CTE["filled"], body=_DAILY_SQL), _DAILY_COLS + " probl", dates="date", digits=9)
+@query("daily_aggregate", with_(*_GRID, CTE["filled"], body=_DAILY_SQL), _DAILY_COLS + " probl", dates="date")
 def daily_aggregate(spark, d):
     out = D.daily(D.interpolate(grid(spark, d)).withColumnRenamed("probl_seed", "probl"))
     return out.withColumn("probl", F.col("probl").cast("double"))
@@ -486,3 +487,17 @@ _AV = [f"""a{i} as (select date, count(value)::double / (select count(distinct s
                                for i, v in enumerate(("T1", "T3", "moist")))), "proportion", dates="date")
 def availability_q(spark, d):
     return D.availability(day_table(spark, d))
+
+
+# The way from cleaned readings to days: half hours, calibration, short gaps, daily values.
+_STUDY = (CTE["quarter"], CTE["quarter_dedup"], limits_sql("quarter_dedup", "limited"),
+          f"""grid as (select site, datetime, "T1", "T2", "T3", case when not ("T1" < 1 or probl_seed = 1) then moist end as moist,
+  probl_seed from (select * replace ({_CAL} as moist) from limited where minute(datetime) in (0, 30)
+  and cast(datetime as date) between date '2024-01-02' and date '2024-01-29'))""", CTE["filled"])
+
+
+@query("study_days", with_(*_STUDY, body=_DAILY_SQL), _DAILY_COLS + " probl", dates="date")
+def study_days_q(spark, d):
+    cleaned = FL.apply_limits(dedup(spark, d, sites=4, minutes=15), "oulu").withColumnRenamed("probl_seed", "probl")
+    out = study_days(cleaned, period=(dt.date(2024, 1, 2), dt.date(2024, 1, 29)))
+    return out.withColumn("probl", F.col("probl").cast("double"))

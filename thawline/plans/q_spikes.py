@@ -102,13 +102,13 @@ def field_rows(spark, d):
 def parts(spark, d):
     field = cut_lineage(field_rows(spark, d))
     base = cut_lineage(FL.regular_spacing(field.filter(F.col("probl") != 1), HOURLY))
-    every, own = S.sensor_rows(field), S.own_rows(S.sensor_rows(base), NET)
-    return base, every, own, FL.supported(own, S.GROUP)
+    own = S.own_rows(S.sensor_rows(base), NET)
+    return base, field, own, FL.supported(own, S.GROUP)
 
 
 def paired(spark, d):
     _, every, _, enough = parts(spark, d)
-    return S.with_peer(enough, every, S.best_peer(enough, every, NET))
+    return S.with_peer(enough, S.sensor_rows(every), S.best_peer(enough, every, NET))
 
 
 FEATS = "diff change roll_diff roll_change rel_diff rel_change rel_before rel_after"
@@ -122,7 +122,7 @@ def best_peer_q(spark, d):
     return S.best_peer(enough, every, NET)
 
 
-@query("spike_features", with_(*_CHAIN, body=f"select {KEYS}, {FEATS.replace(' ', ', ')} from features"), FEATS, digits=8,
+@query("spike_features", with_(*_CHAIN, body=f"select {KEYS}, {FEATS.replace(' ', ', ')} from features"), FEATS,
        stamps="datetime")
 def spike_features_q(spark, d):
     return S.spike_features(paired(spark, d)).select(*_keys, *FEATS.split())
@@ -139,13 +139,13 @@ def dilate_flags_q(spark, d):
     return out.select(*_keys, F.col("error").cast("double").alias("error"))
 
 
-@query("fill_spikes", with_(*_CHAIN, body=f"select {KEYS}, corrected from corrected"), "corrected", stamps="datetime", digits=7)
+@query("fill_spikes", with_(*_CHAIN, body=f"select {KEYS}, corrected from corrected"), "corrected", stamps="datetime")
 def fill_spikes_q(spark, d):
     _, every, own, _ = parts(spark, d)
     return S.correct_spikes(own, every, NET).select(*_keys, "corrected")
 
 
-@query("assemble_clean", with_(*_CHAIN, body='select * from assembled'), "moist T1 T2 T3", stamps="datetime", digits=7)
+@query("assemble_clean", with_(*_CHAIN, body='select * from assembled'), "moist T1 T2 T3", stamps="datetime")
 def assemble_clean_q(spark, d):
     base, every, own, _ = parts(spark, d)
     return S.assemble_clean(base, S.correct_spikes(own, every, NET))
@@ -175,6 +175,6 @@ _WHOLE = (CTE["readings"], CTE["dedup"], CTE["visits"],
           *chain_sql("field"), limits_sql("assembled", "finished"))
 
 
-@query("cleaned_readings", with_(*_WHOLE, body="select * from finished"), "moist T1 T2 T3", stamps="datetime", digits=7)
+@query("cleaned_readings", with_(*_WHOLE, body="select * from finished"), "moist T1 T2 T3", stamps="datetime")
 def cleaned_readings_q(spark, d):
     return cleaned_readings(dedup(spark, d), rules(spark), NET, (_LO, _HI), spacing=HOURLY, max_step=40.0)

@@ -19,8 +19,8 @@ def readings(spark, sf_dir, sites: int = 4, minutes: int = 60) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("double")
     return table(spark, sf_dir, "events").select(
         F.concat(F.lit("S"), u.cast("string")).alias("site"), (u + 9000).alias("tomst_id"),
-        stamp.alias("datetime"), "event_id", (F.col("value") / 5 - 20).alias("T1"),
-        (F.col("value") / 8 - 15).alias("T2"), (k / 2 - 20).alias("T3"), (k * 40 + 300).alias("moist"),
+        stamp.alias("datetime"), "event_id", (F.col("value") / 5.3 - 20).alias("T1"),
+        (F.col("value") / 8.7 - 15).alias("T2"), (k / 2.1 - 20).alias("T3"), (k * 40 + 300).alias("moist"),
         (F.col("event_id") % 12).cast("int").alias("probl_seed"))
 
 
@@ -29,7 +29,7 @@ def readings_sql(sites: int = 4, minutes: int = 60, name: str = "readings") -> s
     return f"""{name} as (
   select 'S' || cast(user_id % {sites} as varchar) as site, cast(9000 + user_id % {sites} as bigint) as tomst_id,
     date_trunc('hour', ts) + to_minutes(cast(floor(minute(ts) / {minutes}.0) * {minutes} as integer)) as datetime,
-    event_id, value / 5 - 20 as "T1", value / 8 - 15 as "T2", {k} / 2 - 20 as "T3", 300 + 40 * {k} as moist,
+    event_id, value / 5.3 - 20 as "T1", value / 8.7 - 15 as "T2", {k} / 2.1 - 20 as "T3", 300 + 40 * {k} as moist,
     cast(event_id % 12 as integer) as probl_seed
   from events)"""
 

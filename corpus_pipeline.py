@@ -1,7 +1,58 @@
-"""Corpus pipeline: stages are added as their operators come."""
+"""Corpus pipeline: documents to packed training sequences.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows its predecessor kept; its result is written as Parquet
+and read again as the next one's docs. All stages but the last return the columns of documents.
+"""
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from thawline.llm import langid, packing, pii, setjoin
+from thawline.llm.common import documents, new_folder, text_of
+
+LEAST_LANGUAGE_SHARE = 0.5
+SHINGLE_WORDS = 5
+PERCENT = 80
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with letters whose main language has at least half of the text; the others go."""
+    return langid.in_known_language(docs, langid.train_on_open(docs), LEAST_LANGUAGE_SHARE)
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
+
+    A row without an id is known by its text; rows that share an id are one document.
+    """
+    own = F.coalesce(F.col("doc_id"), -1 - F.shiftrightunsigned(F.xxhash64(text_of()), 2))
+    keyed = docs.withColumn("_key", own)
+    groups = setjoin.join(keyed.select(F.col("_key").alias("doc_id"), text_of().alias("text")), SHINGLE_WORDS, PERCENT)
+    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+
+
+def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by the name of its kind."""
+    return pii.redacted(docs, pii.learn(docs))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents in sequences."""
+    return packing.op5_harmonic_packing(docs)
+
+
+STAGES = [("language", known_language), ("near duplicates", one_of_each_group),
+          ("personal data", without_personal_data), ("packing", packed)]
+
+# Mixtures, boosted trees and tokens are beyond SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    for name, stage in STAGES[:-1]:
+        path = new_folder(spark, name.replace(" ", "-"))
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)

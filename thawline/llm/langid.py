@@ -179,3 +179,19 @@ def op4_language_mixture(docs: DataFrame) -> DataFrame:
     model = train_on_open(docs)
     rows = docs.select("doc_id", "text").withColumn("held_out", held_out(F.col("doc_id")))
     return with_language(rows, model, ("doc_id", "held_out"))
+
+
+def in_known_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of `docs`, all columns, whose text has a known language with at least the share `least`."""
+    limit = max(1 << 14, (1 << 22) // max(1, len(model.languages)))
+
+    def run(batches):
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            good = []
+            for a, b in chunks(texts, min(1 << 20, limit)):
+                lang, score, _ = predict(model, texts[a:b])
+                good += [l != UNKNOWN and s >= least for l, s in zip(lang, score)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

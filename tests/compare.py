@@ -14,7 +14,7 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 
 
-def session(cpus: int = 8):
+def session(cpus: int = int(os.environ.get("THAWLINE_CPUS", "8"))):
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("thawline")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")

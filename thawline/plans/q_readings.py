@@ -7,7 +7,8 @@ from thawline import functions as X
 from thawline.operators import daily as D, filters as FL, quality as Q
 from thawline.plans.climate import study_days
 from thawline.plans.registry import query
-from thawline.plans.standins import DAY_TABLE_SQL, DAYS_SQL, day_table, days, readings, readings_sql, table
+from thawline.plans.standins import (
+    ARRIVALS_SQL, KINDS, DAY_TABLE_SQL, DAYS_SQL, arrivals, day_table, days, readings, readings_sql, table)
 from thawline.sources import pack_cells, path_keys, pending, select_layers, union_networks
 
 # Comparison rules in the shape of the campaign's own (a later priority wins).
@@ -26,12 +27,7 @@ def _lit(t):
     return f"date '{t}'" if t else "null::date"
 
 
-CTE = {
-    "readings": readings_sql(),
-    "sparse": readings_sql(10, 60, "sparse"),
-    "quarter": readings_sql(4, 15, "quarter"),
-    "five": readings_sql(4, 5, "five"),
-}
+CTE = {kind: readings_sql(kind) for kind in KINDS}
 for raw in ("readings", "sparse", "quarter", "five"):
     CTE["dedup" if raw == "readings" else f"{raw}_dedup"] = f"""{'dedup' if raw == 'readings' else raw + '_dedup'} as (
   select * exclude (rn) from (select *, row_number() over (partition by site, tomst_id, datetime
@@ -100,8 +96,11 @@ def with_(*names, body):
     return "with " + ",\n".join(names) + "\n" + body
 
 
-def dedup(spark, d, **kw):
-    return Q.dedupe_last(readings(spark, d, **kw), ["site", "tomst_id", "datetime"], "event_id")
+KEY = ["site", "tomst_id", "datetime"]
+
+
+def dedup(spark, d, kind="readings"):
+    return Q.dedupe_last(readings(spark, d, kind), KEY, "event_id")
 
 
 VALS = "T1 T2 T3 moist"
@@ -134,9 +133,10 @@ def parse_stamp_q(spark, d):
         "event_id", X.parse_stamp(F.date_format("ts", "yyyy.MM.dd HH:mm")).alias("datetime"))
 
 
-@query("dedupe_last", with_(CTE["readings"], CTE["dedup"], body="select * from dedup"), VALS, stamps="datetime")
+@query("dedupe_last", with_(ARRIVALS_SQL, body="""select * exclude (rn) from (select *, row_number() over (
+  partition by site, tomst_id, datetime order by event_id desc) as rn from arrivals) where rn = 1"""), VALS, stamps="datetime")
 def dedupe_last_q(spark, d):
-    return dedup(spark, d)
+    return Q.dedupe_last(arrivals(spark, d), KEY, "event_id")
 
 
 @query("union_networks", with_(CTE["readings"], CTE["sparse"], CTE["quarter"], body="""
@@ -145,8 +145,8 @@ def dedupe_last_q(spark, d):
   union all select site, datetime, "T1", "T2", "T3", null, probl_seed from quarter"""), VALS, stamps="datetime")
 def union_networks_q(spark, d):
     a = readings(spark, d).withColumnRenamed("probl_seed", "error_tomst")
-    b = readings(spark, d, 10).withColumnRenamed("probl_seed", "probl").drop("T2")
-    c = readings(spark, d, 4, 15).withColumnRenamed("probl_seed", "probl").drop("moist")
+    b = readings(spark, d, "sparse").withColumnRenamed("probl_seed", "probl").drop("T2")
+    c = readings(spark, d, "quarter").withColumnRenamed("probl_seed", "probl").drop("moist")
     return union_networks(*[x.drop("event_id") for x in (a, b, c)])
 
 
@@ -255,7 +255,7 @@ def date_window(spark, d):
   and cast(datetime as date) between date '2024-01-03' and date '2024-01-28' and not (site like 'S3%' or site like 'X%')"""),
   VALS, stamps="datetime")
 def study_readings_q(spark, d):
-    df = FL.half_hours(readings(spark, d, 4, 15)).withColumn("date", F.to_date("datetime"))
+    df = FL.half_hours(readings(spark, d, "quarter")).withColumn("date", F.to_date("datetime"))
     df = FL.in_window(df, "date", dt.date(2024, 1, 3), dt.date(2024, 1, 28), True)
     return FL.drop_prefixes(df, ("S3", "X")).drop("date")
 
@@ -285,11 +285,10 @@ def complete_rows(spark, d):
 
 
 @query("supported_groups", with_(CTE["sparse"], CTE["sparse_dedup"], body="""select site, datetime from (select *,
-  count(*) over (partition by site, probl_seed) as n, cast(datetime as date) as d,
-  (select count(distinct cast(datetime as date)) from sparse_dedup y where y.site = x.site
-     and y.probl_seed = x.probl_seed) as nd from sparse_dedup x) where n > 50 and nd > 24"""), stamps="datetime")
+  count(*) over (partition by site) as n, (select count(distinct cast(datetime as date)) from sparse_dedup y
+  where y.site = x.site) as nd from sparse_dedup x) where n > 130 and nd > 9"""), stamps="datetime")
 def supported_groups(spark, d):
-    return FL.supported(dedup(spark, d, sites=10), ["site", "probl_seed"], min_days=24, min_rows=50).select(
+    return FL.supported(dedup(spark, d, "sparse"), ["site"], min_days=9, min_rows=130).select(
         "site", "datetime")
 
 
@@ -303,7 +302,7 @@ a2 as (select *, date_diff('minute', lag(datetime) over w, datetime) as b,
 @query("regular_spacing", with_(CTE["quarter"], CTE["quarter_dedup"], _GAPS, body="""select site, datetime, event_id from a2
   where (select min(b) from a2 x where x.site = a2.site) >= 30 or b + f is null or b + f >= 60"""), stamps="datetime")
 def regular_spacing_q(spark, d):
-    return FL.regular_spacing(dedup(spark, d, sites=4, minutes=15), (30, 45)).select("site", "datetime", "event_id")
+    return FL.regular_spacing(dedup(spark, d, "quarter"), (30, 45)).select("site", "datetime", "event_id")
 
 
 # --- quality control --------------------------------------------------------------------------
@@ -312,7 +311,7 @@ def regular_spacing_q(spark, d):
   select site, tomst_id, max(datetime) as maxdt, max(max(datetime)) over (partition by site) as top
   from sparse group by 1, 2) where maxdt = top group by site, maxdt"""), stamps="maxdt")
 def last_visit_q(spark, d):
-    return Q.last_visit(readings(spark, d, 10))
+    return Q.last_visit(readings(spark, d, "sparse"))
 
 
 @query("mask_visits", with_(CTE["readings"], CTE["dedup"], CTE["visits"], CTE["masked"], body="select * from masked"),
@@ -351,7 +350,7 @@ def apply_quality_q(spark, d):
     window w as (partition by site, tomst_id order by datetime))
   window w as (partition by site, tomst_id order by datetime)) where g > 15"""), "T1 event_id", stamps="datetime")
 def regularize_q(spark, d):
-    out = Q.regularize(dedup(spark, d, sites=4, minutes=5))
+    out = Q.regularize(dedup(spark, d, "five"))
     return out.select("site", "tomst_id", "datetime", F.col("event_id").cast("double").alias("event_id"), "T1")
 
 
@@ -402,7 +401,7 @@ GRID_SQL = """grid as (
 
 
 def grid(spark, d):
-    limited = FL.apply_limits(dedup(spark, d, sites=10), "oulu")
+    limited = FL.apply_limits(dedup(spark, d, "sparse"), "oulu")
     return Q.regularize(limited, 60, 60).select("site", "datetime", "T1", "T2", "T3", "moist", "probl_seed")
 
 
@@ -498,6 +497,6 @@ _STUDY = (CTE["quarter"], CTE["quarter_dedup"], limits_sql("quarter_dedup", "lim
 
 @query("study_days", with_(*_STUDY, body=_DAILY_SQL), _DAILY_COLS + " probl", dates="date")
 def study_days_q(spark, d):
-    cleaned = FL.apply_limits(dedup(spark, d, sites=4, minutes=15), "oulu").withColumnRenamed("probl_seed", "probl")
+    cleaned = FL.apply_limits(dedup(spark, d, "quarter"), "oulu").withColumnRenamed("probl_seed", "probl")
     out = study_days(cleaned, period=(dt.date(2024, 1, 2), dt.date(2024, 1, 29)))
     return out.withColumn("probl", F.col("probl").cast("double"))

@@ -5,47 +5,80 @@ whole given table. The `*_SQL` strings say the same for the SQL comparison.
 """
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def readings(spark, sf_dir, sites: int = 4, minutes: int = 60) -> DataFrame:
-    u = F.col("user_id") % sites
-    stamp = (F.date_trunc("hour", "ts") + F.make_dt_interval(
-        mins=(F.floor(F.minute("ts") / minutes) * minutes).cast("int"))).cast("timestamp_ntz")
+# Users of a site, minutes of a step, and steps from one reading of a site to its next. Every event is a reading; a
+# site has one logger and one reading per stamp, so the readings grow with the events and the sites with the users.
+HOURLY = "1 + case when event_id % 37 = 0 then 2 else 0 end"
+KINDS = {"readings": (5, 60, HOURLY), "sparse": (2, 60, "1 + case when event_id % 4 = 0 then 1 + event_id % 5 else 0 end"),
+         "quarter": (5, 15, "1 + event_id % 3"), "five": (5, 5, "1 + event_id % 5")}
+_VALUES = """value / 5.3 - 20 as "T1", value / 8.7 - 15 as "T2", {k} / 2.1 - 20 as "T3", 300 + 40 * {k} as moist,
+    cast(event_id % 12 as integer) as probl_seed"""
+_K_SQL = "cast(json_extract_string(props, '$.k') as double)"
+
+
+def _values():
     k = F.get_json_object("props", "$.k").cast("double")
+    return [(F.col("value") / 5.3 - 20).alias("T1"), (F.col("value") / 8.7 - 15).alias("T2"), (k / 2.1 - 20).alias("T3"),
+            (k * 40 + 300).alias("moist"), (F.col("event_id") % 12).cast("int").alias("probl_seed")]
+
+
+def readings(spark, sf_dir, kind: str = "readings") -> DataFrame:
+    users, minutes, step = KINDS[kind]
+    place = F.expr(f"user_id div {users}")
+    steps = F.sum(F.expr(step)).over(Window.partitionBy(place).orderBy("event_id"))
+    stamp = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(mins=(steps * minutes).cast("int"))
     return table(spark, sf_dir, "events").select(
-        F.concat(F.lit("S"), u.cast("string")).alias("site"), (u + 9000).alias("tomst_id"),
-        stamp.alias("datetime"), "event_id", (F.col("value") / 5.3 - 20).alias("T1"),
-        (F.col("value") / 8.7 - 15).alias("T2"), (k / 2.1 - 20).alias("T3"), (k * 40 + 300).alias("moist"),
-        (F.col("event_id") % 12).cast("int").alias("probl_seed"))
-
-
-def readings_sql(sites: int = 4, minutes: int = 60, name: str = "readings") -> str:
-    k = "cast(json_extract_string(props, '$.k') as double)"
-    return f"""{name} as (
-  select 'S' || cast(user_id % {sites} as varchar) as site, cast(9000 + user_id % {sites} as bigint) as tomst_id,
-    date_trunc('hour', ts) + to_minutes(cast(floor(minute(ts) / {minutes}.0) * {minutes} as integer)) as datetime,
-    event_id, value / 5.3 - 20 as "T1", value / 8.7 - 15 as "T2", {k} / 2.1 - 20 as "T3", 300 + 40 * {k} as moist,
-    cast(event_id % 12 as integer) as probl_seed
+        F.concat(F.lit("S"), place.cast("string")).alias("site"), (place + 9000).alias("tomst_id"),
+        stamp.alias("datetime"), "event_id", *_values())
+
+
+def readings_sql(kind: str = "readings") -> str:
+    users, minutes, step = KINDS[kind]
+    return f"""{kind} as (
+  select 'S' || cast(user_id // {users} as varchar) as site, cast(9000 + user_id // {users} as bigint) as tomst_id,
+    timestamp '2024-01-01' + to_minutes(cast({minutes} * sum({step}) over (partition by user_id // {users} order by event_id) as integer)) as datetime,
+    event_id, {_VALUES.format(k=_K_SQL)}
   from events)"""
 
 
+def arrivals(spark, sf_dir) -> DataFrame:
+    """Readings that came more than once: the stamp is the event's hour, and the last arrival counts."""
+    place = F.expr("user_id div 5")
+    return table(spark, sf_dir, "events").select(
+        F.concat(F.lit("S"), place.cast("string")).alias("site"), (place + 9000).alias("tomst_id"),
+        F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("datetime"), "event_id", *_values())
+
+
+ARRIVALS_SQL = f"""arrivals as (
+  select 'S' || cast(user_id // 5 as varchar) as site, cast(9000 + user_id // 5 as bigint) as tomst_id,
+    date_trunc('hour', ts) as datetime, event_id, {_VALUES.format(k=_K_SQL)} from events)"""
+
+# Ten sites for each hundred suppliers.
+_PLACE = "l_suppkey % 10 + l_suppkey {div} 100 * 10"
+PLACE_SQL = _PLACE.format(div="//")
+
+
+def _site():
+    return F.concat(F.lit("S"), F.expr(_PLACE.format(div="div")).cast("string"))
+
+
 def days(spark, sf_dir) -> DataFrame:
     q, air = F.col("l_quantity"), F.col("l_quantity") + 100 * F.col("l_discount")
-    site = F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string"))
     return (table(spark, sf_dir, "lineitem")
-            .groupBy(site.alias("site"), F.to_date("l_shipdate").alias("date"))
+            .groupBy(_site().alias("site"), F.to_date("l_shipdate").alias("date"))
             .agg((F.avg(q) - 25).alias("T1_mean"), (F.min(q) - 28).alias("T1_min"), (F.max(q) - 22).alias("T1_max"),
                  (F.avg(air) - 30).alias("T3_mean"), (F.min(air) - 35).alias("T3_min"),
                  (F.max(air) - 25).alias("T3_max"), (F.avg("l_tax") * 500).alias("moist")))
 
 
-DAYS_SQL = """days as (
-  select 'S' || cast(l_suppkey % 10 as varchar) as site, cast(l_shipdate as date) as date,
+DAYS_SQL = f"""days as (
+  select 'S' || cast({PLACE_SQL} as varchar) as site, cast(l_shipdate as date) as date,
     avg(l_quantity) - 25 as "T1_mean", min(l_quantity) - 28 as "T1_min", max(l_quantity) - 22 as "T1_max",
     avg(l_quantity + 100 * l_discount) - 30 as "T3_mean", min(l_quantity + 100 * l_discount) - 35 as "T3_min",
     max(l_quantity + 100 * l_discount) - 25 as "T3_max", avg(l_tax) * 500 as moist
@@ -58,13 +91,12 @@ hyd as (
 def day_table(spark, sf_dir) -> DataFrame:
     """`days` with the coverage and code columns of a daily aggregate."""
     q, air = F.col("l_quantity"), F.col("l_quantity") + 100 * F.col("l_discount")
-    site = F.concat(F.lit("S"), (F.col("l_suppkey") % 10).cast("string"))
 
     def share(test):
         return F.round(100.0 * F.count_if(test) / F.count(F.lit(1)), 1)
 
     return (table(spark, sf_dir, "lineitem")
-            .groupBy(site.alias("site"), F.to_date("l_shipdate").alias("date"))
+            .groupBy(_site().alias("site"), F.to_date("l_shipdate").alias("date"))
             .agg(share(F.col("l_tax") > 0).alias("T1_prop"), share(F.col("l_discount") > 0).alias("T3_prop"),
                  share(F.col("l_tax") < 0.08).alias("moist_prop"),
                  (F.avg(q) - 25).alias("T1_mean"), (F.min(q) - 28).alias("T1_min"), (F.max(q) - 22).alias("T1_max"),
@@ -73,8 +105,8 @@ def day_table(spark, sf_dir) -> DataFrame:
                  (F.max("l_linenumber") % 7).cast("int").alias("probl")))
 
 
-DAY_TABLE_SQL = """day_table as (
-  select 'S' || cast(l_suppkey % 10 as varchar) as site, cast(l_shipdate as date) as date,
+DAY_TABLE_SQL = f"""day_table as (
+  select 'S' || cast({PLACE_SQL} as varchar) as site, cast(l_shipdate as date) as date,
     round(100.0 * count(*) filter (l_tax > 0) / count(*), 1) as "T1_prop",
     round(100.0 * count(*) filter (l_discount > 0) / count(*), 1) as "T3_prop",
     round(100.0 * count(*) filter (l_tax < 0.08) / count(*), 1) as moist_prop,

@@ -53,18 +53,27 @@ def _row_distance(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "distance": dist})
 
 
-def proximity(cells: DataFrame, flag: str = "flag", cell_size: float = 1.0) -> DataFrame:
+PIECE = 4096  # rows of a grid column that one window looks at
+
+
+def proximity(cells: DataFrame, flag: str = "flag", cell_size: float = 1.0, piece: int = PIECE) -> DataFrame:
     """Exact straight distance of every cell to the nearest flagged one (null without any).
 
-    Two passes: the nearest flagged cell within the column, then the best column for
-    each row. A group is one column or one row of the grid, never the grid. A column
-    needs its cells present for the rows it should serve, as grids have.
+    Two passes: the nearest flagged cell within the column, then the best column for each row. Columns are cut into
+    pieces; the nearest flagged rows before and behind a piece come from a table with one row per piece, so a window
+    holds one piece. A column needs its cells present for the rows it should serve, as grids have.
     """
-    w = W.partitionBy("col").orderBy("row")
     hit = F.when(F.col(flag) == 1, F.col("row"))
-    up = F.last(hit, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    down = F.first(hit, ignorenulls=True).over(w.rowsBetween(0, W.unboundedFollowing))
-    gaps = cells.select(*CELL, F.least(F.col("row") - up, down - F.col("row")).cast("double").alias("_g"))
+    rows = cells.select(*CELL, hit.alias("_hit"), F.floor(F.col("row") / piece).alias("_piece"))
+    ends = rows.groupBy("col", "_piece").agg(F.min("_hit").alias("_low"), F.max("_hit").alias("_high"))
+    up, down = W.partitionBy("col").orderBy("_piece"), W.partitionBy("col").orderBy(F.desc("_piece"))
+    before = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
+    ends = ends.select("col", "_piece", before("_high", up).alias("_before"), before("_low", down).alias("_behind"))
+    up, down = (W.partitionBy("col", "_piece").orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in ("row", F.desc("row")))
+    above = F.coalesce(F.last("_hit", ignorenulls=True).over(up), F.col("_before"))
+    under = F.coalesce(F.last("_hit", ignorenulls=True).over(down), F.col("_behind"))
+    gaps = (rows.join(ends, ["col", "_piece"])
+            .select(*CELL, F.least(F.col("row") - above, under - F.col("row")).cast("double").alias("_g")))
     out = gaps.groupBy("row").applyInPandas(_row_distance, "row int, col int, distance double")
     return out.withColumn("distance", finite("distance") * cell_size)
 

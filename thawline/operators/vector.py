@@ -66,10 +66,34 @@ def krueger_alpha(n: float) -> list[float]:
 
 
 def clip_bbox(vertices: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
-    """Vertices inside (xmin, ymin, xmax, ymax), edges included."""
+    """Points inside (xmin, ymin, xmax, ymax), edges included. Shapes are cut by clip_lines and clip_polygons."""
     return vertices.filter(F.col("x").between(box[0], box[2]) & F.col("y").between(box[1], box[3]))
 
 
+def clip_polygons(vertices: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
+    """Rings cut to (xmin, ymin, xmax, ymax), `seq` counted anew.
+
+    One half plane after the other: a vertex inside stays, an edge through the border gets a vertex there. Parts
+    that leave the box in several pieces keep them joined along its border, which changes neither area nor cells.
+    """
+    out = vertices.select(*PART, "seq", "x", "y")
+    w = W.partitionBy(*PART).orderBy("seq")
+    for axis, bound, sign in (("x", box[0], 1), ("x", box[2], -1), ("y", box[1], 1), ("y", box[3], -1)):
+        other = "y" if axis == "x" else "x"
+        following = lambda c: F.coalesce(F.lead(c).over(w), F.first(c).over(w))
+        e = out.withColumns({"_a": following(axis), "_b": following(other)})
+        d, dn = sign * (F.col(axis) - bound), sign * (F.col("_a") - bound)
+        crossing = F.col(other) + d / F.nullif(d - dn, F.lit(0.0)) * (F.col("_b") - F.col(other))
+        corner = lambda u, v: F.struct(u.cast("double").alias(axis), v.cast("double").alias(other))
+        kept = F.array(F.when(d >= 0, corner(F.col(axis), F.col(other))),
+                       F.when((d >= 0) != (dn >= 0), corner(F.lit(bound), crossing)))
+        e = e.select(*PART, "seq", F.posexplode(F.filter(kept, lambda v: v.isNotNull())).alias("_i", "_v"))
+        out = e.select(*PART, (F.row_number().over(W.partitionBy(*PART).orderBy("seq", "_i")) - 1).alias("seq"),
+                       F.col("_v.x").alias("x"), F.col("_v.y").alias("y"))
+    size = F.count(F.lit(1)).over(W.partitionBy(*PART))
+    return out.withColumn("_n", size).filter("_n >= 3").drop("_n")
+
+
 def boxes_meeting(boxes: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """Rows whose (xmin, ymin, xmax, ymax) shares a point with the box."""
     return boxes.filter((F.col("xmin") <= box[2]) & (F.col("xmax") >= box[0])
@@ -134,14 +158,30 @@ def polygon_cells(vertices: DataFrame, grid: Grid) -> DataFrame:
             .select("feature_id", "row", F.explode(F.sequence("_a", "_b")).alias("col")))
 
 
-def line_cells(vertices: DataFrame, grid: Grid, per_cell: int = 4) -> DataFrame:
-    """(feature_id, row, col) of the cells met by points set along the lines, `per_cell` to a cell."""
-    e = edges(vertices, closed=False)
-    dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    n = F.greatest(ceil_int(F.greatest(F.abs(dx), F.abs(dy)) / grid.size * per_cell), F.lit(1))
-    pts = e.withColumn("_n", n).withColumn("_i", F.explode(F.sequence(F.lit(0), F.col("_n"))))
-    t = F.col("_i") / F.col("_n")
-    cells = pts.select("feature_id", grid.row_of(F.col("y1") + t * dy).alias("row"), grid.col_of(F.col("x1") + t * dx).alias("col"))
+def line_cells(vertices: DataFrame, grid: Grid) -> DataFrame:
+    """(feature_id, row, col) of every cell a line passes through.
+
+    Each segment is cut to the grid and then at every row and column border it crosses; a piece between two borders
+    lies in one cell, the one of its middle.
+    """
+    box = (grid.x0, grid.y0, grid.x0 + grid.cols * grid.size, grid.y0 + grid.rows * grid.size)
+    e = clip_lines(vertices, box)
+
+    def borders(a, b, origin, count):
+        low, high = F.least(a, b), F.greatest(a, b)
+        first = F.greatest(ceil_int((low - origin) / grid.size), F.lit(0))
+        last = F.least(F.floor((high - origin) / grid.size).cast("int"), F.lit(count))
+        at = F.when((first <= last) & (a != b), F.sequence(first, F.greatest(first, last)))
+        return F.transform(F.coalesce(at, F.array().cast("array<int>")), lambda k: F.try_divide(origin + k * grid.size - a, b - a))
+
+    cuts = F.concat(borders(F.col("x1"), F.col("x2"), grid.x0, grid.cols), borders(F.col("y1"), F.col("y2"), grid.y0, grid.rows),
+                    F.array(F.lit(0.0), F.lit(1.0)))
+    inner = F.filter(cuts, lambda t: t.isNotNull() & (t >= 0) & (t <= 1))
+    e = e.withColumn("_t", F.array_sort(F.array_distinct(inner)))
+    middles = F.zip_with(F.slice("_t", F.lit(1), F.size("_t") - 1), F.slice("_t", F.lit(2), F.size("_t") - 1), lambda a, b: (a + b) / 2)
+    m = e.withColumn("_m", F.explode(middles))
+    cells = m.select("feature_id", grid.row_of(F.col("y1") + F.col("_m") * (F.col("y2") - F.col("y1"))).alias("row"),
+                     grid.col_of(F.col("x1") + F.col("_m") * (F.col("x2") - F.col("x1"))).alias("col"))
     return cells.filter(F.col("row").between(0, grid.rows - 1) & F.col("col").between(0, grid.cols - 1)).distinct()
 
 
@@ -158,18 +198,35 @@ def mask_polygons(cells: DataFrame, vertices: DataFrame, grid: Grid, inverse: bo
     return cells.join(inside, CELL, "left_anti" if inverse else "left_semi")
 
 
-def points_in_polygons(points: DataFrame, vertices: DataFrame, keep: str = "in", key: str = "site", band: float = 1.0) -> DataFrame:
+def points_in_polygons(points: DataFrame, vertices: DataFrame, keep: str = "in", key: str = "site", tile: float = 4.0) -> DataFrame:
     """Points inside any polygon, or outside all of them (keep = 'out').
 
-    Edges are listed in the horizontal bands they span, so a point meets only the edges
-    at its height; crossings to its right are counted before the shuffle.
+    A point meets only the edges of its own tile: the way from the point to the right border of its tile and along it
+    to the tile's lower corner crosses a polygon once for each of them, and whether the corner is inside is known from
+    the rows of corners the polygon covers.
     """
-    e = edges(vertices, closed=True).filter(F.col("y1") != F.col("y2"))
-    bands = F.sequence(F.floor(F.least("y1", "y2") / band), F.floor(F.greatest("y1", "y2") / band))
-    e = e.withColumn("_band", F.explode(bands))
-    p = points.withColumn("_band", F.floor(F.col("y") / band))
-    spans = (F.col("y1") <= F.col("y")) != (F.col("y2") <= F.col("y"))
-    at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
-    inside = (p.join(e, "_band").filter(spans & (at > F.col("x"))).groupBy(key, "feature_id")
-              .agg(F.count(F.lit(1)).alias("_n")).filter("_n % 2 = 1").select(key).distinct())
+    # Borders off round coordinates, so that vertices hardly ever lie on them.
+    span = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if span["x0"] is None or span["y0"] is None:
+        return points
+    x0, y0 = span["x0"] - 0.5390817 * tile, span["y0"] - 0.4719263 * tile
+    grid = Grid(x0, y0, tile, int((span["y1"] - y0) / tile) + 2, int((span["x1"] - x0) / tile) + 2)
+    border, floor_y = grid.x0 + (F.col("col") + 1) * tile, grid.y0 + F.col("row") * tile
+    p = points.withColumns({"row": grid.row_of(F.col("y")), "col": grid.col_of(F.col("x"))})
+    # Corners are the cell centres of a grid shifted by half a tile.
+    corners = polygon_cells(vertices, Grid(x0 + tile / 2, y0 - tile / 2, tile, grid.rows, grid.cols)).withColumn("_n", F.lit(1))
+    ring = edges(vertices, closed=True).filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
+    numbered = ring.select("feature_id", F.struct(*PART, "seq").alias("_e"), "x1", "y1", "x2", "y2")
+    ends = F.array(F.struct(F.lit(0).alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y")),
+                   F.struct(F.lit(1).alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y")))
+    segments = numbered.select(F.col("_e").alias("feature_id"), F.lit(0).alias("part_id"), F.inline(ends))
+    tiled = line_cells(segments, grid).withColumnRenamed("feature_id", "_e").join(numbered, "_e").drop("_e")
+    x, y = F.col("x"), F.col("y")
+    at = F.col("x1") + (y - F.col("y1")) * F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    below = F.col("y1") + (border - F.col("x1")) * F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    along = ((F.col("y1") <= y) != (F.col("y2") <= y)) & (at > x) & (at <= border)
+    down = ((F.col("x1") <= border) != (F.col("x2") <= border)) & (below > floor_y) & (below <= y)
+    hits = p.join(tiled, CELL).select(key, "feature_id", (F.coalesce(along, F.lit(False)).cast("int") + F.coalesce(down, F.lit(False)).cast("int")).alias("_n"))
+    hits = hits.unionByName(p.join(corners, CELL).select(key, "feature_id", "_n"))
+    inside = (hits.filter("_n > 0").groupBy(key, "feature_id").agg(F.sum("_n").alias("_n")).filter("_n % 2 = 1").select(key).distinct())
     return points.join(inside, key, "left_semi" if keep == "in" else "left_anti")

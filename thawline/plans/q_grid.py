@@ -1,5 +1,6 @@
 """Queries on points, lines, polygons, cells and point clouds."""
 import math
+import re
 
 from pyspark.sql import functions as F
 
@@ -19,19 +20,23 @@ def layer(spark, d, name):
     return cells(spark, d).select(*CELL, F.col(name).cast("double").alias("value"))
 
 
-# The grid the stand-in cells lie on; tall enough for any size of the part table.
-GRID = Grid(0.0, 0.0, 1.0, 1 << 20, 50)
+def grid_of(spark, d) -> Grid:
+    """The grid the stand-in cells lie on."""
+    return Grid(0.0, 0.0, 1.0, (cells(spark, d).agg(F.max("row")).first()[0] or 0) + 1, 50)
+
+
 SMALL_TILE = 16  # several tiles even on the small test grid
 
 # --- registry, projection, clipping, shapes ---------------------------------------------------
 
 @query("site_registry", """select case when s_suppkey = 19 then 'SAA019' else 'SAA' || s_suppkey end as site, s_acctbal as x,
-  s_nationkey::double as y from supplier where s_nationkey in (select c_nationkey from customer where c_custkey % 100 = s_suppkey)""", "x y")
+  s_nationkey::double as y from supplier where s_nationkey in (select c_nationkey from customer where c_custkey % (select count(*) from supplier) = s_suppkey)""", "x y")
 def site_registry_q(spark, d):
     half = table(spark, d, "supplier").select(F.concat(F.lit("saa_"), "s_suppkey").alias("site"), F.col("s_acctbal").alias("x"),
                                               F.col("s_nationkey").cast("double").alias("y"), "s_nationkey", "s_suppkey")
-    data = (table(spark, d, "customer").withColumn("s_suppkey", F.col("c_custkey") % 100)
-            .join(half, (F.col("c_nationkey") == F.col("s_nationkey")) & (half.s_suppkey == F.col("c_custkey") % 100), "left_semi")
+    n = half.count()
+    data = (table(spark, d, "customer").withColumn("s_suppkey", F.col("c_custkey") % n)
+            .join(half, (F.col("c_nationkey") == F.col("s_nationkey")) & (half.s_suppkey == F.col("c_custkey") % n), "left_semi")
             .select(F.when(F.col("s_suppkey") == 19, "SAA019").otherwise(F.concat(F.lit("SAA"), "s_suppkey")).alias("site")))
     return V.site_registry([half.select("site", "x", "y")], data)
 
@@ -82,6 +87,20 @@ def clip_lines_q(spark, d):
     return V.clip_lines(vertices(spark, d, ZIGZAG), _BOX)
 
 
+# Area under the part of each edge between the box's sides, heights cut to the box: no vertex of the result is needed.
+_BOXED = """strips as (select feature_id, x1, y1, x2, y2, (y2 - y1) / (x2 - x1) as k, greatest(10, least(40, x1)) as a, greatest(10, least(40, x2)) as b from edge),
+heights as (select *, y1 + (a - x1) * k as ya, y1 + (b - x1) * k as yb from strips where a <> b),
+unders as (select feature_id, case when ya = yb then (b - a) * (greatest(5, least(30, ya)) - 5)
+  else (b - a) / (yb - ya) * (h(yb) - h(ya)) end as area from heights),
+boxed as (select feature_id, abs(sum(area)) as area from unders group by 1)"""
+_BOXED = re.sub(r"h\((y[ab])\)", r"(case when \1 < 5 then 0 when \1 > 30 then 312.5 + 25 * (\1 - 30) else (\1 - 5) ** 2 / 2 end)", _BOXED)
+
+
+@query("clip_polygons", sql("select feature_id, area from boxed where area > 1e-9", *_RINGS, _BOXED), "area")
+def clip_polygons_q(spark, d):
+    return V.polygon_area(V.clip_polygons(vertices(spark, d, RING), _BOX), 1e-9)
+
+
 @query("boxes_meeting", sql("""select feature_id from (select feature_id, min(x) as a, min(y) as b, max(x) as c, max(y) as e from ring group by 1)
   where a <= 40 and c >= 10 and b <= 30 and e >= 5""", *_RINGS))
 def boxes_meeting_q(spark, d):
@@ -99,27 +118,37 @@ def polygon_area_q(spark, d):
 _INSIDE = """inside as (select distinct row, col from (select c.row, c.col, feature_id, count(*) as n from cells c join edge
   on (y1 <= c.row + 0.5) <> (y2 <= c.row + 0.5) and x1 + (c.row + 0.5 - y1) * (x2 - x1) / (y2 - y1) > c.col + 0.5
   group by 1, 2, 3) where n % 2 = 1)"""
-_LINED = """lined as (select distinct row, col from (select cast(floor(y1 + i / n * (y2 - y1)) as integer) as row,
-  cast(floor(x1 + i / n * (x2 - x1)) as integer) as col from (select *, unnest(generate_series(0, n::bigint))::double as i from (
-    select *, greatest(ceil(greatest(abs(x2 - x1), abs(y2 - y1)) * 4), 1) as n from seg))) where row >= 0 and col between 0 and 49)"""
+# A segment passes through a cell if the part of it inside the cell's box is not a point.
+_LINED = """lined as (select distinct row, col from (select row, col,
+  greatest(0, least((col - x1) / (x2 - x1), (col + 1 - x1) / (x2 - x1)), least((row - y1) / (y2 - y1), (row + 1 - y1) / (y2 - y1))) as t0,
+  least(1, greatest((col - x1) / (x2 - x1), (col + 1 - x1) / (x2 - x1)), greatest((row - y1) / (y2 - y1), (row + 1 - y1) / (y2 - y1))) as t1
+  from seg join (select cast(r as integer) as row, cast(c as integer) as col from generate_series(0, (select max(row) from cells)) a(r),
+    generate_series(0, 49) b(c)) g on row between floor(least(y1, y2)) and floor(greatest(y1, y2))
+    and col between floor(least(x1, x2)) and floor(greatest(x1, x2))) where t0 < t1)"""
 
 
 @query("mask_polygon", sql("select c.row, c.col, elev from cells c anti join inside i on c.row = i.row and c.col = i.col",
                            *_RINGS, _INSIDE), "elev")
 def mask_polygon(spark, d):
-    return V.mask_polygons(cells(spark, d), vertices(spark, d, RING), GRID).select(*CELL, "elev")
+    return V.mask_polygons(cells(spark, d), vertices(spark, d, RING), grid_of(spark, d)).select(*CELL, "elev")
+
+
+@query("clip_polygon_cells", sql("""select row, col from inside where col + 0.5 between 10 and 40 and row + 0.5 between 5 and 30""",
+                                  *_RINGS, _INSIDE))
+def clip_polygon_cells_q(spark, d):
+    return V.polygon_cells(V.clip_polygons(vertices(spark, d, RING), _BOX), grid_of(spark, d)).select(*CELL).distinct()
 
 
 @query("rasterize", sql("""select c.row, c.col from cells c join (select * from inside union select * from lined) f
   on c.row = f.row and c.col = f.col""", *_RINGS, *_ZIGS[1:], _INSIDE, _LINED))
 def rasterize_q(spark, d):
-    flagged = V.rasterize(GRID, vertices(spark, d, RING), vertices(spark, d, ZIGZAG))
+    flagged = V.rasterize(grid_of(spark, d), vertices(spark, d, RING), vertices(spark, d, ZIGZAG))
     return cells(spark, d).select(*CELL).join(flagged, CELL).select(*CELL)
 
 
 @query("line_cells", sql("select * from lined", *_ZIGS, _LINED))
 def line_cells_q(spark, d):
-    return V.line_cells(vertices(spark, d, ZIGZAG), GRID).select(*CELL).distinct()
+    return V.line_cells(vertices(spark, d, ZIGZAG), grid_of(spark, d)).select(*CELL).distinct()
 
 
 _PTS = """hits as (select distinct c_custkey from (select c_custkey, feature_id, count(*) as n from
@@ -148,7 +177,11 @@ def crop_q(spark, d):
     return G.crop(cells(spark, d), (3, 30), (10, 40)).select(*CELL, "elev")
 
 
-DST = Grid(1.3, 0.7, 0.8, 1 << 20, 55)
+def target_of(spark, d) -> Grid:
+    """A finer grid as tall as the cells."""
+    return Grid(1.3, 0.7, 0.8, int(grid_of(spark, d).rows / 0.8) + 2, 55)
+
+
 
 
 @query("resample", sql("""select r as row, c as col, sum(w * v) / sum(w) as value from (
@@ -157,7 +190,7 @@ DST = Grid(1.3, 0.7, 0.8, 1 << 20, 55)
     (select unnest(generate_series(0, 54))::integer as c)
   where abs(0.7 + (r + 0.5) * 0.8 - 0.5 - row) < 1 and abs(1.3 + (c + 0.5) * 0.8 - 0.5 - col) < 1) group by 1, 2"""), "value")
 def resample_q(spark, d):
-    return G.resample(layer(spark, d, "z"), GRID, DST)
+    return G.resample(layer(spark, d, "z"), grid_of(spark, d), target_of(spark, d))
 
 
 @query("block_mean", sql("""select cast(floor(row / 5.0) as integer) as row, cast(floor(col / 5.0) as integer) as col, avg(value) as value
@@ -170,7 +203,7 @@ def block_mean_q(spark, d):
 @query("stack_layers", sql("""select row, col, case when elev <= 1000 then elev end as elev, ndvi, ring from cells left join
   (select row, col, 1.0 as ring from inside) using (row, col)""", *_RINGS, _INSIDE), "elev ndvi ring")
 def stack_layers_q(spark, d):
-    ring = V.rasterize(GRID, vertices(spark, d, RING)).join(cells(spark, d).select(*CELL), CELL).withColumnRenamed("flag", "value")
+    ring = V.rasterize(grid_of(spark, d), vertices(spark, d, RING)).join(cells(spark, d).select(*CELL), CELL).withColumnRenamed("flag", "value")
     return G.stack_layers({"elev": layer(spark, d, "elev"), "ndvi": layer(spark, d, "ndvi"), "ring": ring}, 1000)
 
 
@@ -227,11 +260,11 @@ def cell_sample_q(spark, d):
     return G.cell_sample(cells(spark, d).select(*CELL, "elev", "ndvi"), 500, 5)
 
 
-@query("residual_layer", sql("""select row, col, round_even(ndvi * 7.3 - ((select regr_slope(ndvi * 7.3, elev) from samp) * elev
-  + (select regr_intercept(ndvi * 7.3, elev) from samp)), 0) as residual from cells""", _SAMPLE), "residual")
+@query("residual_layer", sql("""select row, col, round_even(ndvi * 7.3 - ((select regr_slope(ndvi * 7.3, elev) from cells) * elev
+  + (select regr_intercept(ndvi * 7.3, elev) from cells)), 0) as residual from cells"""), "residual")
 def residual_layer_q(spark, d):
     stack = cells(spark, d).select(*CELL, "elev", (F.col("ndvi") * 7.3).alias("ndvi"))
-    return G.residual_layer(stack, "ndvi", "elev", G.cell_sample(stack, 500, 5)).select(*CELL, "residual")
+    return G.residual_layer(stack, "ndvi", "elev", stack).select(*CELL, "residual")
 
 
 # --- neighbourhoods ---------------------------------------------------------------------------
@@ -371,7 +404,7 @@ def _extract_sql(r):
   from points p left join weighed using (site) group by 1""", POINTS_SQL, _extract_sql(2.5)), "z ndvi", digits=5)
 def buffer_extract_q(spark, d):
     stack = cells(spark, d).withColumn("ndvi", F.when(F.col("water") == 0, F.col("ndvi")))
-    return E.buffer_extract(points(spark, d), stack, GRID, 2.5, ["z", "ndvi"], digits=None)
+    return E.buffer_extract(points(spark, d), stack, grid_of(spark, d), 2.5, ["z", "ndvi"], digits=None)
 
 
 @query("canopy_grid", f"""with {LIDAR_SQL}, spread as (select x, unnest(generate_series(cast(floor((y - 2.0) / 13) as integer),
@@ -405,8 +438,6 @@ def fit_all_q(spark, d):
 
 
 @query("layer_correlation", sql("""select a.v as var1, b.v as var2, corr(a.x, b.x) as r from l a join l b using (row, col) group by 1, 2""",
-  "s as (select row, col, elev, ndvi, z from cells order by md5(row || '_' || col || '_5'), row, col limit 500)",
-  "l as (select row, col, 'elev' as v, elev as x from s union all select row, col, 'ndvi', ndvi from s union all select row, col, 'z', z from s)"), "r")
+  "l as (select row, col, 'elev' as v, elev as x from cells union all select row, col, 'ndvi', ndvi from cells union all select row, col, 'z', z from cells)"), "r")
 def layer_correlation(spark, d):
-    sample = G.cell_sample(cells(spark, d).select(*CELL, "elev", "ndvi", "z"), 500, 5)
-    return T.corr_matrix(sample, ["elev", "ndvi", "z"]).select("var1", "var2", "r")
+    return T.corr_matrix(cells(spark, d), ["elev", "ndvi", "z"]).select("var1", "var2", "r")

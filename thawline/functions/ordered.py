@@ -75,11 +75,6 @@ def roll(agg, c, back: int, ahead: int, w) -> Column:
     return agg(c).over(w.rowsBetween(-back, ahead))
 
 
-def rescale01(c: str, w) -> Column:
-    lo, hi = F.min(c).over(w), F.max(c).over(w)
-    return F.try_divide(F.col(c) - lo, hi - lo)
-
-
 def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Keep, per key, the row with the greatest `order`.
 
@@ -91,7 +86,3 @@ def last_per_key(df: DataFrame, keys: list[str], order: str) -> DataFrame:
             .agg(*[F.max_by(c, order).alias(c) for c in rest], F.max(order).alias(order))
             .select(*df.columns))
 
-
-def top1(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    w = W.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_r", F.row_number().over(w)).filter("_r = 1").drop("_r")

@@ -36,6 +36,8 @@ def impute_forest(wide: DataFrame, trees: int = 100, max_sweeps: int = 10, depth
     each column's known cells that its forest did not see.
     """
     sites = [c for c in wide.columns if c != "date"]
+    counts = wide.agg(*[F.count(f"`{s}`").alias(f"n{i}") for i, s in enumerate(sites)]).first()
+    sites = [s for s, n in zip(sites, counts) if n]  # a site without any known day has no prediction
     known = [f"_k{i}" for i in range(len(sites))]
     cols = [f"_c{i}" for i in range(len(sites))]
     base = wide.select("date", F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double").alias("_id"),
@@ -44,9 +46,6 @@ def impute_forest(wide: DataFrame, trees: int = 100, max_sweeps: int = 10, depth
     base = cut_lineage(base)
     stats = base.agg(*[F.avg(k).alias(k) for k in known], *[F.count(k).alias(f"n{k}") for k in known],
                      F.count(F.lit(1)).alias("rows")).first()
-    empty = [s for s, k in zip(sites, known) if stats[f"n{k}"] == 0]
-    if empty:
-        raise ValueError(f"no known value in {empty}")
     gaps = [i for i, k in enumerate(known) if stats[f"n{k}"] < stats["rows"]]
     state = base.withColumns({c: F.coalesce(k, F.lit(stats[k])) for c, k in zip(cols, known)})
     others = {i: ["_id", "_doy", *[c for j, c in enumerate(cols) if j != i]] for i in range(len(cols))}
@@ -120,13 +119,12 @@ def stack_errors(parts: dict[str, DataFrame]) -> DataFrame:
 
 def impute_cv(days: DataFrame, measures: tuple[str, ...] = tuple(MEASURES), rounds: int = 10, n: int = 20, **forest) -> DataFrame:
     """Hide n site-months per round, impute them, and return predictions beside the truth."""
-    sites = distinct_values(days, "site")
     parts = {}
     for m in measures:
         done = []
         for i in range(rounds):
             train, test = holdout(days, m, n, seed=i)
-            matrix = widen(train, ["date"], "site", "value", sites)
+            matrix = widen(train, ["date"], "site", "value", None)  # columns of the training rows only
             full, _ = impute_forest(matrix, seed=i, report_error=False, **forest)
             guess = lengthen(full, ["date"], None, "site", "imp")
             done.append(test.withColumnRenamed("value", "ori").join(guess, ["date", "site"])

@@ -9,12 +9,12 @@ from thawline.sources import cut_lineage
 
 
 def cleaned_readings(readings: DataFrame, rules: DataFrame, network: str, window=PLAUSIBLE, correct_bias: bool | None = None,
-                     spacing: tuple[int, ...] = (10, 15), keep_gaps: bool = False, max_step: float = 0.125,
+                     spacing: tuple[int, ...] = (10, 15), max_step: float = 0.125,
                      n_blocks: int | None = None) -> DataFrame:
     """`readings` hold one row per site, logger and stamp.
 
-    Only the network with out-of-field spells corrects sensor bias. Rows inserted in
-    gaps have no code and leave again with the out-of-field rows unless `keep_gaps`.
+    Only the network with out-of-field spells corrects sensor bias. Rows inserted in gaps would have no code and
+    leave again with the out-of-field rows, so none are inserted here.
 
     Lineage is cut where several later steps start from one result: they read it back
     instead of recomputing everything before it, and a lost executor costs one step.
@@ -23,12 +23,9 @@ def cleaned_readings(readings: DataFrame, rules: DataFrame, network: str, window
     visits = Q.last_visit(readings)
     df = cut_lineage(Q.mask_visits(FL.in_window(readings, "datetime", *window, closed=False), visits))
     diag = cut_lineage(Q.apply_quality(Q.daily_diagnostics(df), rules))
-    if keep_gaps:
-        work = Q.regularize(df)
-    else:
-        work = df
+    work = df
     if correct_bias:
-        work = Q.apply_offsets(work, Q.sensor_offsets(df, diag, max_step))
+        work = Q.apply_offsets(df, Q.sensor_offsets(df, diag, max_step))
     field = cut_lineage(Q.mask_incomplete_days(Q.drop_office(work, diag)))
     base = cut_lineage(FL.regular_spacing(field.filter(F.col("probl") != 1), spacing))
     own = S.own_rows(S.sensor_rows(base), network)

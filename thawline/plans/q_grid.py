@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from thawline.operators import extract as E, grid as G, model as M, tabular as T, terrain as R, vector as V
 from thawline.operators.grid import CELL, Grid
+from thawline.plans.mapping import map_responses
 from thawline.plans.registry import query
 from thawline.plans.standins import (
     CELLS_SQL, LIDAR_SQL, POINTS_SQL, RING, ZIGZAG, cells, edges_sql, lidar, points, table, vertices, vertices_sql,
@@ -432,8 +433,8 @@ def predict_cells_q(spark, d):
 def fit_all_q(spark, d):
     data = cells(spark, d).select(F.concat_ws("_", *CELL).alias("site"), "z", "elev", "ndvi", F.col("col").cast("double").alias("east"),
                                   F.col("row").cast("double").alias("north"))
-    done = table(spark, d, "region").select(F.lower("r_name").alias("resp_var"))
-    _, importance, _ = M.fit_all(data, ["z"], ["elev", "ndvi", "east", "north"], done, ("site",), [3], ((2, 5),), 2, 1, 5, 4)
+    done = table(spark, d, "nation").filter("n_nationkey = 0").select(F.lit("elev").alias("resp_var"))
+    _, importance, _ = M.fit_all(data, ["z", "elev"], ["elev", "ndvi", "east", "north"], done, ("site",), [3], ((2, 5),), 2, 1, 5, 4)
     return importance
 
 
@@ -441,3 +442,13 @@ def fit_all_q(spark, d):
   "l as (select row, col, 'elev' as v, elev as x from cells union all select row, col, 'ndvi', ndvi from cells union all select row, col, 'z', z from cells)"), "r")
 def layer_correlation(spark, d):
     return T.corr_matrix(cells(spark, d), ["elev", "ndvi", "z"]).select("var1", "var2", "r")
+
+
+@query("map_responses", sql("""select row, col, 'z' as resp_var from cells where elev is not null and ndvi is not null"""))
+def map_responses_q(spark, d):
+    """Which cells get a predicted value; the values come from forests and are tested on planted signals."""
+    data = cells(spark, d).select(F.concat_ws("_", *CELL).alias("site"), "z", "elev", "ndvi", F.col("col").cast("double").alias("east"))
+    stack = cells(spark, d).select(*CELL, "elev", "ndvi", F.col("col").cast("double").alias("east"))
+    maps, _, _ = map_responses(data, stack, ["z"], ["elev", "ndvi", "east"], keys=("site",), sizes=[2], grid=((2, 5),), folds=2, repeats=1,
+                               trees=5, depth=4)
+    return maps["z"].filter("prediction is not null").select(*CELL, F.lit("z").alias("resp_var"))

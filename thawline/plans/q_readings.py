@@ -4,7 +4,8 @@ import datetime as dt
 from pyspark.sql import functions as F
 
 from thawline import functions as X
-from thawline.operators import daily as D, filters as FL, quality as Q
+from thawline.functions.tables import PLOT_DROP_CODES
+from thawline.operators import daily as D, filters as FL, quality as Q, tabular as T
 from thawline.plans.climate import study_days
 from thawline.plans.registry import query
 from thawline.plans.standins import (
@@ -500,3 +501,28 @@ def study_days_q(spark, d):
     cleaned = FL.apply_limits(dedup(spark, d, "quarter"), "oulu").withColumnRenamed("probl_seed", "probl")
     out = study_days(cleaned, period=(dt.date(2024, 1, 2), dt.date(2024, 1, 29)))
     return out.withColumn("probl", F.col("probl").cast("double"))
+
+
+# --- figures and names ------------------------------------------------------------------------
+
+@query("select_as", "select event_id as reading, user_id as logger, value as raw from events", "raw")
+def select_as_q(spark, d):
+    return T.select_as(table(spark, d, "events"), {"event_id": "reading", "user_id": "logger", "value": "raw"})
+
+
+def _masks_sql(network):
+    drop = {v: ", ".join(map(str, codes)) for (net, v), codes in PLOT_DROP_CODES.items() if net == network}
+    hidden = ", ".join(f'case when probl_seed not in ({codes}) then "{v}" end as "{v}"' for v, codes in drop.items() if v != "moist")
+    moist = f"case when probl_seed not in ({drop['moist']}) then moist end" if "moist" in drop else "moist"
+    t1 = f'case when probl_seed not in ({drop["T1"]}) then "T1" end' if "T1" in drop else '"T1"'
+    return f"select event_id, {hidden}, case when {t1} > 1 then {moist} end as moist from readings"
+
+
+def _masked(network):
+    cols = ["event_id", *[v for (net, v) in PLOT_DROP_CODES if net == network and v != "moist"], "moist"]
+    return lambda spark, d: FL.plot_masks(readings(spark, d).withColumnRenamed("probl_seed", "probl"), network).select(*cols)
+
+
+for _network in sorted({net for net, _ in PLOT_DROP_CODES}):
+    query(f"plot_masks_{_network}", with_(CTE["readings"], body=_masks_sql(_network)),
+          " ".join(c for (net, c) in PLOT_DROP_CODES if net == _network and c != "moist") + " moist")(_masked(_network))

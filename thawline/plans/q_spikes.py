@@ -15,15 +15,12 @@ NET = "oulu"
 HOURLY = (60,)
 
 
-def _codes(stage, s):
-    return ", ".join(map(str, keep_codes_for(stage, NET, s)))
+def _allowed_sql(stage, net):
+    codes = {s: ", ".join(map(str, keep_codes_for(stage, net, s))) for s in S.SENSORS}
+    return "(" + " or ".join(f"(sensor = '{s}' and probl in ({codes[s]}))" for s in S.SENSORS) + ")"
 
 
-def _allowed_sql(stage):
-    return "(" + " or ".join(f"(sensor = '{s}' and probl in ({_codes(stage, s)}))" for s in S.SENSORS) + ")"
-
-
-def chain_sql(field: str) -> list[str]:
+def chain_sql(field: str, net: str = NET) -> list[str]:
     """CTEs from coded field readings to corrected sensor rows."""
     b = "date_diff('minute', lag(datetime) over w, datetime) as b, date_diff('minute', datetime, lead(datetime) over w) as f"
     win = "window w as (partition by site order by datetime)"
@@ -53,13 +50,13 @@ def chain_sql(field: str) -> list[str]:
         "base as (select * exclude (b, f) from sp2 x where (select min(b) from sp2 y where y.site = x.site) >= 60 "
         "or b + f is null or b + f >= 120)",
         f"everyrow as ({longs(field)})",
-        f"own as (select * from ({longs('base')}) where {_allowed_sql('spike_own')} and value is not null)",
+        f"own as (select * from ({longs('base')}) where {_allowed_sql('spike_own', net)} and value is not null)",
         "good as (select site, my, sensor from own group by 1, 2, 3 "
         "having count(distinct cast(datetime as date)) > 3 and count(*) > 100)",
         "enough as (select o.* from own o join good using (site, my, sensor))",
         f"""cors as (select o.site, o.my, o.sensor, e.site as peer, case when count(*) = count(e.value) and count(*) > 1
           and not isnan(corr(o.value, e.value)) then corr(o.value, e.value) end as cor
-          from enough o join (select * replace (case when {_allowed_sql('spike_peer')} then value end as value) from everyrow) e
+          from enough o join (select * replace (case when {_allowed_sql('spike_peer', net)} then value end as value) from everyrow) e
           on o.datetime = e.datetime and o.sensor = e.sensor and o.site <> e.site group by 1, 2, 3, 4)""",
         """peers as (select * exclude (rn) from (select *, row_number() over (partition by site, my, sensor
           order by round(cor, 12) desc nulls last, peer) as rn from cors) where rn = 1)""",
@@ -153,7 +150,16 @@ def assemble_clean_q(spark, d):
 
 # The whole way from readings to cleaned readings.
 _LO, _HI = dt.date(2024, 1, 1), dt.date(2024, 1, 29)
-_WHOLE = (CTE["readings"], CTE["dedup"], CTE["visits"],
+_BIAS = (CTE["stable"].replace("from dedup d join office", "from masked d join office").format(src="office_rows", step=40.0),
+         CTE["offsets"],
+         """fixed as (select d.* replace (d."T1" - coalesce(o."T1", 0) as "T1", d."T2" - coalesce(o."T2", 0) as "T2",
+            d."T3" - coalesce(o."T3", 0) as "T3") from masked d left join offsets o
+            on d.site = o.site and d.tomst_id = o.tomst_id)""")
+
+
+def _whole(net):
+    """Only the network with out-of-field spells corrects sensor bias."""
+    return (CTE["readings"], CTE["dedup"], CTE["visits"],
           """masked as (select * exclude (v) replace (case when v = 0 then "T1" end as "T1", case when v = 0 then "T2" end as "T2",
             case when v = 0 then "T3" end as "T3", case when v = 0 then moist end as moist) from (
             select d.*, sum(case when d.datetime = maxdt then 1 else 0 end) over (partition by d.site, tomst_id
@@ -161,20 +167,21 @@ _WHOLE = (CTE["readings"], CTE["dedup"], CTE["visits"],
             join (select site, max(datetime) as maxdt from dedup group by site) using (site)
             where datetime > timestamp '2024-01-01' and datetime < timestamp '2024-01-29'))""",
           CTE["diag"].replace("from dedup", "from masked"), CTE["rules"], CTE["coded"],
-          CTE["stable"].replace("from dedup d join office", "from masked d join office").format(src="office_rows", step=40.0),
-          CTE["offsets"],
-          """fixed as (select d.* replace (d."T1" - coalesce(o."T1", 0) as "T1", d."T2" - coalesce(o."T2", 0) as "T2",
-            d."T3" - coalesce(o."T3", 0) as "T3") from masked d left join offsets o
-            on d.site = o.site and d.tomst_id = o.tomst_id)""",
+          *(_BIAS if net == "oulu" else ("fixed as (select * from masked)",)),
           """outside as (select d.*, c.probl from fixed d join coded c on d.site = c.site and d.tomst_id = c.tomst_id
             and cast(d.datetime as date) = c.date where c.probl <> 2)""",
           """field as (select o.* replace (case when h = 24 then "T1" end as "T1", case when h = 24 then "T2" end as "T2",
             case when h = 24 then "T3" end as "T3", case when h = 24 then moist end as moist) from outside o join (
             select site as s2, cast(datetime as date) as date, count(distinct hour(datetime)) as h from outside group by 1, 2) x
             on o.site = s2 and cast(o.datetime as date) = x.date)""",
-          *chain_sql("field"), limits_sql("assembled", "finished"))
+          *chain_sql("field", net), limits_sql("assembled", "finished", net))
 
 
-@query("cleaned_readings", with_(*_WHOLE, body="select * from finished"), "moist T1 T2 T3", stamps="datetime")
+@query("cleaned_readings", with_(*_whole(NET), body="select * from finished"), "moist T1 T2 T3", stamps="datetime")
 def cleaned_readings_q(spark, d):
     return cleaned_readings(dedup(spark, d), rules(spark), NET, (_LO, _HI), spacing=HOURLY, max_step=40.0)
+
+
+@query("cleaned_readings_roslin", with_(*_whole("roslin"), body="select * from finished"), "moist T1 T2 T3", stamps="datetime")
+def cleaned_readings_roslin(spark, d):
+    return cleaned_readings(dedup(spark, d), rules(spark), "roslin", (_LO, _HI), spacing=HOURLY, max_step=40.0)

@@ -145,3 +145,13 @@ def small_matrix(r: DataFrame) -> tuple[list[str], np.ndarray]:
     m = np.full((len(names), len(names)), np.nan)
     m[[at[a] for a in pdf["var1"]], [at[b] for b in pdf["var2"]]] = pdf["r"]
     return names, m
+
+
+def summary(df: DataFrame, cols: list[str]) -> DataFrame:
+    """(name, n, mean, sd, min, q25, median, q75, max) per column; quartiles are values of the column, found by a
+    bounded sketch that is exact up to a million rows."""
+    long = lengthen(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), [], cols, "name", "value")
+    q = F.percentile_approx("value", [0.25, 0.5, 0.75], 1_000_000)
+    out = long.groupBy("name").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
+                                   F.min("value").alias("min"), q.alias("_q"), F.max("value").alias("max"))
+    return out.select("name", "n", "mean", "sd", "min", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q25", "median", "q75"))], "max")

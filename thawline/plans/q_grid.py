@@ -375,7 +375,18 @@ def proximity_q(spark, d):
     return R.proximity(c, "flag", 2.0)
 
 
-@query("cost_distance")
+# Best cost by number of steps; every step costs something, so the cap ends the recursion.
+_STEPS = "(values " + ", ".join(f"({dr}, {dc}, {d!r}::double)" for dr, dc, d in R.STEPS) + ") s(dr, dc, d)"
+
+
+@query("cost_distance", "with recursive " + CELLS_SQL + f""", priced as (select row, col, ndvi as cost, brand = 'Brand#7' as flag from cells),
+  reached as (select row, col, 0.0::double as dist from priced where flag and cost is not null union all
+    select b.row, b.col, min(r.dist + (a.cost + b.cost) / 2 * d) as dist from reached r join priced a on a.row = r.row and a.col = r.col
+    cross join {_STEPS} join priced b on b.row = r.row + dr and b.col = r.col + dc
+    where b.cost is not null and r.dist + (a.cost + b.cost) / 2 * d <= 100 group by b.row, b.col),
+  best as (select row, col, min(dist) as cost_distance from reached group by row, col)
+  select c.row, c.col, cost_distance, 100 - least(coalesce(cost_distance, 100), 100) as effect from cells c
+  left join best on best.row = c.row and best.col = c.col""", "cost_distance effect")
 def cost_distance_q(spark, d):
     c = cells(spark, d).withColumn("flag", (F.col("brand") == "Brand#7").cast("int"))
     return R.cost_distance(c, "flag", "ndvi", 100.0, 1.0, SMALL_TILE)

@@ -8,7 +8,7 @@ from thawline.plans.q_readings import usable_sql
 from thawline.plans.climate import climate_variables
 from thawline.plans.mapping import model_inputs, screen_predictors
 from thawline.plans.registry import query
-from thawline.plans.standins import DAY_TABLE_SQL, day_table, days, table
+from thawline.plans.standins import DAY_TABLE_SQL, DAYS_SQL, day_table, days, table
 
 SITES = [f"S{i}" for i in range(10)]
 _site_cols = " ".join(SITES)
@@ -44,7 +44,7 @@ _VALS = ", ".join((f'u{i}.value as "{m}"' if m != "moist_mean" else
        f") select k.date, k.site, {_VALS} from k {_JOINS}", " ".join(_NAMES), dates="date")
 def combine_imputed_q(spark, d):
     dt = day_table(spark, d)
-    return I.combine_imputed({m: I.impute_matrix(dt, m, sites=SITES) for m in MEASURES})
+    return I.combine_imputed({m: I.impute_matrix(dt, m) for m in MEASURES})
 
 
 _HOLD = f"""with {DAY_TABLE_SQL}, u as (select *, cast(year(date) as integer) as year, cast(month(date) as integer) as month
@@ -107,12 +107,12 @@ QUICK = dict(trees=5, depth=5, max_sweeps=2)  # forest size only; all rows and s
 
 @query("impute_forest")
 def impute_forest_q(spark, d):
-    return I.impute_forest(I.impute_matrix(day_table(spark, d), "T1_mean", sites=SITES), report_error=False, **QUICK)[0]
+    return I.impute_forest(I.impute_matrix(day_table(spark, d), "T1_mean", sites=None), report_error=False, **QUICK)[0]
 
 
 @query("impute_forest_error")
 def impute_forest_error(spark, d):
-    return I.impute_forest(I.impute_matrix(day_table(spark, d), "T3_mean", sites=SITES), **{**QUICK, "max_sweeps": 1})[1]
+    return I.impute_forest(I.impute_matrix(day_table(spark, d), "T3_mean", sites=None), **{**QUICK, "max_sweeps": 1})[1]
 
 
 @query("impute_cv")
@@ -175,9 +175,15 @@ def exact_median_q(spark, d):
     return T.exact_median(table(spark, d, "lineitem"), ["l_returnflag"], "l_quantity")
 
 
-@query("table_summary")
+_SUMMED = ("T1_mean", "T1_min", "T1_max", "T3_mean", "T3_min", "T3_max", "moist")
+
+
+@query("table_summary", f"with {DAYS_SQL} " + " union all ".join(
+    f"""select '{c}' as name, count("{c}") as n, avg("{c}") as mean, stddev_samp("{c}") as sd, min("{c}") as min,
+  quantile_disc("{c}", 0.25) as q25, quantile_disc("{c}", 0.5) as median, quantile_disc("{c}", 0.75) as q75, max("{c}") as max from days"""
+    for c in _SUMMED), "mean sd min q25 median q75 max")
 def table_summary(spark, d):
-    return days(spark, d).drop("date").summary()
+    return T.summary(days(spark, d), list(_SUMMED))
 
 
 # --- modelling --------------------------------------------------------------------------------
@@ -240,7 +246,21 @@ def _names(spark, names) -> DataFrame:
     return spark.createDataFrame([(n,) for n in names], "name string")
 
 
-@query("drop_correlated")
+# Correlations of the columns by number, and the walk over pairs above the cutoff in order of falling mean: of each pair
+# still there, the column with the larger mean over the columns still there goes.
+CORR_SQL = ROWS_SQL + ", raw as (" + " union all ".join(f"select vec_id, {i} as v, {x} as x from mrows" for i, x in enumerate(XS)) + """),
+  cor as (select a.v as i, b.v as j, abs(corr(a.x, b.x)) as r from raw a join raw b using (vec_id) where a.v <> b.v group by 1, 2),
+  placed as (select i, row_number() over (order by avg(r) desc, i) as p from cor group by i),
+  steps as (select row_number() over (order by x.p, y.p) as s, cor.i, cor.j from cor join placed x on x.i = cor.i
+    join placed y on y.i = cor.j where x.p < y.p and r > 0.1),
+  walk as (select 0::bigint as s, []::bigint[] as gone union all select w.s, case when list_contains(gone, w.i) or list_contains(gone, w.j)
+    then gone when (select avg(r) from cor where cor.i = w.i and not list_contains(gone, cor.j))
+      > (select avg(r) from cor where cor.i = w.j and not list_contains(gone, cor.j)) then list_append(gone, w.i)
+    else list_append(gone, w.j) end from (select steps.*, walk.gone from walk join steps on steps.s = walk.s + 1) w),
+  dropped as (select unnest(gone) as i from (select gone from walk order by s desc limit 1))"""
+
+
+@query("drop_correlated", f"with recursive {CORR_SQL} select 'x' || (i + 1) as name from dropped")
 def drop_correlated_q(spark, d):
     return _names(spark, M.drop_correlated(T.corr_matrix(model_rows(spark, d), XS), 0.1))
 
@@ -314,7 +334,10 @@ def importance_summary_q(spark, d):
     return R.importance_summary(varimp(spark, d))
 
 
-@query("greedy_uncorrelated")
+@query("greedy_uncorrelated", f"""with recursive {CORR_SQL}, left_ as (select range(0, {len(XS)}) as alive union all
+  select list_filter(alive, lambda x: x <> v) from (select alive, (select arg_max(greatest(i, j), r) from cor
+    where r > 0.1 and i < j and list_contains(alive, i) and list_contains(alive, j)) as v from left_) where v is not null)
+  select 'x' || (unnest(alive) + 1) as name from (select alive from left_ order by len(alive) limit 1)""")
 def greedy_uncorrelated_q(spark, d):
     score = spark.createDataFrame([(x, 1.0 / (i + 1)) for i, x in enumerate(XS)], "resp_var string, Rsquared double")
     return _names(spark, R.greedy_uncorrelated(T.corr_matrix(model_rows(spark, d), XS), score, 0.1))
@@ -348,7 +371,7 @@ def model_inputs_q(spark, d):
     return model_inputs(v, a, b)
 
 
-@query("screen_predictors")
+@query("screen_predictors", f"with recursive {CORR_SQL} select 'x' || (i + 1) as name from placed where i not in (select i from dropped)")
 def screen_predictors_q(spark, d):
     return _names(spark, screen_predictors(model_rows(spark, d), XS, 0.1))
 

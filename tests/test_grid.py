@@ -241,3 +241,62 @@ def test_canopy_skips_thin_tiles_and_clips(spark):
     pts = spark.createDataFrame(rows, "x double, y double, z double, class int")
     out = {(r["row"], r["col"]): r["chm"] for r in E.canopy(pts, 10.0, 1.0, 1.0, 25.0, 2).collect()}
     assert out == {(0, 0): 300.0, (0, 1): 0.0, (0, 2): 0.0}
+
+
+def rings(spark, *parts):
+    rows = [("f", p, i, float(x), float(y)) for p, pts in enumerate(parts) for i, (x, y) in enumerate(pts)]
+    return spark.createDataFrame(rows, "feature_id string, part_id int, seq int, x double, y double")
+
+
+SQUARE = [(0, 0), (10, 0), (10, 10), (0, 10)]
+
+
+@pytest.mark.parametrize("box, want", [((-5, -5, 5, 15), 50.0), ((2, 3, 4, 5), 4.0), ((20, 20, 30, 30), None), ((-1, -1, 11, 11), 100.0)])
+def test_clip_polygons_cuts_area(spark, box, want):
+    out = V.polygon_area(V.clip_polygons(rings(spark, SQUARE), box), 1e-9).collect()
+    assert [round(r["area"], 9) for r in out] == ([] if want is None else [want])
+
+
+def test_clip_polygons_keeps_holes_and_sequence(spark):
+    hole = [(4, 4), (4, 6), (6, 6), (6, 4)]
+    out = V.clip_polygons(rings(spark, SQUARE, hole), (0, 0, 5, 10))
+    assert abs(V.polygon_area(out).first()["area"] - (50 - 2)) < 1e-9
+    for part in (0, 1):
+        seq = sorted(r["seq"] for r in out.filter(f"part_id = {part}").collect())
+        assert seq == list(range(len(seq)))
+
+
+def test_line_cells_on_a_short_chord(spark):
+    grid = Grid(0.0, 0.0, 1.0, 5, 5)
+    line = spark.createDataFrame([("f", 0, 0, 0.0, 0.1), ("f", 0, 1, 1.0, 1.08)], "feature_id string, part_id int, seq int, x double, y double")
+    got = {(r["row"], r["col"]) for r in V.line_cells(line, grid).collect()}
+    assert got == {(0, 0), (1, 0)}
+
+
+def test_points_in_polygons_equals_brute_force(spark):
+    rng = np.random.default_rng(5)
+    angle = np.sort(rng.uniform(0, 2 * np.pi, 40))
+    reach = rng.uniform(3, 20, 40)
+    pts = [(float(r * np.cos(a)), float(r * np.sin(a))) for a, r in zip(angle, reach)]
+    shape = rings(spark, pts, [(-1, -1), (1, -1), (1, 1), (-1, 1)])
+    probe = rng.uniform(-22, 22, (400, 2))
+
+    def inside(x, y):
+        n = 0
+        for part in (pts, [(-1, -1), (1, -1), (1, 1), (-1, 1)]):
+            for (x1, y1), (x2, y2) in zip(part, part[1:] + part[:1]):
+                n += (y1 <= y) != (y2 <= y) and x1 + (y - y1) * (x2 - x1) / (y2 - y1) > x
+        return n % 2 == 1
+
+    points = spark.createDataFrame([(f"p{i}", float(x), float(y)) for i, (x, y) in enumerate(probe)], "site string, x double, y double")
+    want = {f"p{i}" for i, (x, y) in enumerate(probe) if inside(x, y)}
+    assert {r["site"] for r in V.points_in_polygons(points, shape, tile=3.0).collect()} == want
+    assert {r["site"] for r in V.points_in_polygons(points, shape, "out").collect()} == {f"p{i}" for i in range(400)} - want
+
+
+def test_proximity_in_pieces(spark):
+    rng = np.random.default_rng(2)
+    flag = (rng.random((60, 5)) < 0.04).astype(float)
+    whole = array(R.proximity(table(spark, flag=flag)), "distance", flag.shape)
+    cut = array(R.proximity(table(spark, flag=flag), piece=7), "distance", flag.shape)
+    np.testing.assert_allclose(whole, cut)

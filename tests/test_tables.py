@@ -112,7 +112,7 @@ def test_near_zero_variance_edges(spark):
 
 def test_shuffled_column_is_a_permutation(spark):
     df = spark.range(500).withColumn("x", F.col("id") * 1.0)
-    out = M.shuffled(df, "x", ["id"], 3, rows_per_bucket=100).toPandas()
+    out = M.shuffled(df, "x", ["id"], 3, pieces=5).toPandas()
     assert sorted(out["x"]) == [float(i) for i in range(500)] and (out["x"] != out["id"]).all()
 
 
@@ -180,3 +180,31 @@ def test_forest_selection_prefers_the_signal(spark):
     assert imp["s1"] > imp["s2"] > max(imp["n1"], imp["n2"], imp["n3"])
     best = M.best_model(M.tune_forest(df, "y", ["s1", "s2"], ((1, 1), (2, 1)), folds=2, trees=10, depth=6)).first()
     assert best["Rsquared"] > 0.8
+
+
+def test_fit_all_with_everything_done(spark):
+    from thawline.operators import model as M
+    df = spark.createDataFrame([(f"s{i}", float(i), float(i % 7)) for i in range(30)], "site string, y double, x double")
+    done = spark.createDataFrame([("y",)], "resp_var string")
+    models, importance, metrics = M.fit_all(df, ["y"], ["x"], done)
+    assert models == {} and importance.count() == 0 and metrics.count() == 0
+    assert "varimp" in importance.columns and "RMSE" in metrics.columns
+
+
+def test_shuffled_is_a_permutation(spark):
+    from thawline.operators import model as M
+    for n in (1, 3, 500):
+        df = spark.createDataFrame([(i, float(i) if i % 9 else None) for i in range(n)], "k int, v double")
+        got = {r["k"]: r["v"] for r in M.shuffled(df, "v", ["k"], 3).collect()}
+        assert sorted(got) == list(range(n))
+        assert sorted(x or -1 for x in got.values()) == sorted((float(i) if i % 9 else -1) or -1 for i in range(n))
+
+
+def test_forest_leaves_out_unknown_columns(spark):
+    import datetime as dt
+
+    from thawline.operators import impute as I
+    rows = [(dt.date(2020, 1, 1) + dt.timedelta(days=i), float(i), float(2 * i) if i % 5 else None, None) for i in range(60)]
+    wide = spark.createDataFrame(rows, "date date, A double, B double, C double")
+    full, _ = I.impute_forest(wide, trees=3, depth=3, max_sweeps=1, report_error=False)
+    assert full.columns == ["date", "A", "B"] and full.filter("B is null").count() == 0

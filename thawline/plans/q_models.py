@@ -379,3 +379,32 @@ def screen_predictors_q(spark, d):
 @query("climate_variables")
 def climate_variables_q(spark, d):
     return climate_variables(day_table(spark, d), trees=3, depth=3, max_sweeps=1, parallelism=8)
+
+
+# --- facts about forests that SQL can state ---------------------------------------------------
+
+@query("impute_forest_known", f"""with {DAY_TABLE_SQL}, u as ({usable_sql('T1_mean')}),
+  grid as (select d.date, s.site from (select distinct date from u) d cross join (select distinct site from u) s)
+  select grid.date, grid.site, u.value, true as filled from grid left join u using (date, site)""", "value", dates="date")
+def impute_forest_known(spark, d):
+    """Every cell of the matrix is filled, and the known ones are as they were."""
+    matrix = I.impute_matrix(day_table(spark, d), "T1_mean")
+    full = T.lengthen(I.impute_forest(matrix, report_error=False, **QUICK)[0], ["date"], None, "site", "imp")
+    known = T.lengthen(matrix, ["date"], None, "site", "value")
+    return full.join(known, ["date", "site"], "left").select(
+        "date", "site", F.when(F.col("value").isNotNull(), F.col("imp")).alias("value"), F.col("imp").isNotNull().alias("filled"))
+
+
+@query("planted_importance", "select 'x5' as predictor")
+def planted_importance(spark, d):
+    """The predictor that makes the response is ranked first on rows the forest has not seen."""
+    rows = M.with_fold(model_rows(spark, d).withColumn("label", F.col("x5") * 3 + F.col("x9") * 0.2), ["vec_id"], 4, 1)
+    model = M.fit_forest(rows.filter("_fold <> 0"), "label", XS[:12], trees=20, depth=6)
+    found = M.permutation_importance(model, rows.filter("_fold = 0"), "label", XS[:12], ["vec_id"])
+    return found.orderBy(F.desc("varimp")).limit(1).select("predictor")
+
+
+@query("grid_search_settings", "select * from (values (2, 1, true), (8, 5, true)) t(mtry, min_node_size, scored)")
+def grid_search_settings(spark, d):
+    """One scored row per setting."""
+    return grid_search(spark, d).select("mtry", "min_node_size", F.col("RMSE").isNotNull().alias("scored"))

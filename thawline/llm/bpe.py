@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import chunks, text_of
-from .tokens import encoder, vocabulary_path
+from .tokens import encoder, flat, vocabulary_path
 
 
 def byte_letters() -> list[str]:
@@ -32,7 +32,7 @@ def byte_letters() -> list[str]:
 
 
 class PairIndex:
-    """Ids of pieces by merges of a vocabulary file; `.lower`, `.ids`, `.whole` as the piece encoder wants them."""
+    """Ids of pieces by merges of a vocabulary file; `.lower`, `.table`, `.whole` as the piece encoder wants them."""
 
     def __init__(self, path: str):
         with open(path, encoding="utf-8") as f:
@@ -63,8 +63,8 @@ class PairIndex:
         for t, i in [*vocab.items(), *self.special.items()]:
             self.token[i] = t
 
-    def ids(self, pieces: list[str]) -> list[list[int]]:
-        return self.merge([p.encode() for p in pieces])
+    def table(self, pieces: list[str]):
+        return pieces, *flat(self.merge([p.encode() for p in pieces]))
 
     def merge(self, words: list[bytes]) -> list[list[int]]:
         sym, stops, inner, last = [], [], self.inner, self.last
@@ -123,7 +123,7 @@ class PairIndex:
             s = e
         return out
 
-    def whole(self, texts: list[str]) -> list[list[int]]:
+    def whole(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Texts beyond the plain alphabet: special tokens first, then the library's normalizer and cutter."""
         if self._library is None:
             from tokenizers import Tokenizer
@@ -144,7 +144,7 @@ class PairIndex:
                     for w in words:
                         ids += known[w]
             out.append(ids)
-        return out
+        return flat(out)
 
     def decode(self, ids: list[int]) -> str:
         """Byte-level vocabularies give their bytes; one without a decoder gives its tokens with blanks between."""

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thawline.llm import langid, packing, pii, setjoin
-from thawline.llm.common import documents, new_folder, text_of
+from thawline.llm.common import documents, stored, text_of
 
 LEAST_LANGUAGE_SHARE = 0.5
 SHINGLE_WORDS = 5
@@ -52,7 +52,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     for name, stage in STAGES[:-1]:
-        path = new_folder(spark, name.replace(" ", "-"))
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

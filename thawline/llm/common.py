@@ -3,9 +3,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
@@ -25,10 +28,30 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+@contextmanager
+def dropping_exchanges(spark: SparkSession):
+    """What jobs in this block exchange is dropped from the executors' disks when each ends: nothing reads it later."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    with dropping_exchanges(df.sparkSession):
+        return df.checkpoint()
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder as Parquet and read again."""
+    path = new_folder(df.sparkSession, name)
+    with dropping_exchanges(df.sparkSession):
+        df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

@@ -4,10 +4,11 @@ Equal sets are one set. Shingles have one global order, rare ones first; two set
 among the first few of each (their prefixes). An index list holds the sets with a shingle in their prefix, in blocks
 by set size, and a set looks only at the blocks its size allows; a position too far back rules a pair out as well.
 
-A block has a pivot. Every set in it is compared with the pivot first. The answers of a set near the pivot then follow
-from the pivot's: if both sets are linked to it, they are connected and need no comparison; if distances to the pivot
-differ by more than the threshold's distance, the pair cannot link (Jaccard distance is a metric). Only pairs that
-this leaves open are compared, with more pivots in each round, until no block holds an open pair.
+A block has a pivot, and every set in it is compared with the pivot first. The answers of a set near the pivot then
+follow from the pivot's: two sets linked to it are connected and need no comparison, and if their distances to it
+differ by more than the threshold's distance they cannot link (Jaccard distance is a metric). Blocks whose sets are
+all connected are skipped. The sets that remain open around a pivot are compared in lots of bounded size: a task holds
+two lots, counts all overlaps at once and returns only the links that join them, never their pairs.
 """
 from __future__ import annotations
 
@@ -16,9 +17,9 @@ import math
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import chunks, new_folder, text_of
+from .common import chunks, dropping_exchanges, stored, text_of
 from .components import components
 from .words import shingle_set
 
@@ -26,6 +27,8 @@ RARE_PART = 4  # frequencies are counted for shingles whose hash is 0 modulo thi
 FREQUENT = 24  # from so many documents on a shingle counts as frequent
 TABLE_BITS = 18  # the table of frequent shingles has a fixed size
 FILTER_BITS = 21
+LOT = 512  # open sets of a lot
+SLICE = 4096  # members of sets that one product counts
 
 
 def _level_key(h: np.ndarray, table: np.ndarray) -> np.ndarray:
@@ -46,8 +49,10 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
                 yield pa.record_batch({"h": pa.array(h.view(np.int64), pa.int64()), "n": pa.array(n, pa.int32())})
 
     place = F.shiftrightunsigned("h", 64 - TABLE_BITS)
-    got = (docs.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-           .groupBy(place.cast("int").alias("p")).agg(F.max(F.log2("n")).cast("int").alias("level")).toArrow())
+    levels = (docs.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+              .groupBy(place.cast("int").alias("p")).agg(F.max(F.log2("n")).cast("int").alias("level")))
+    with dropping_exchanges(docs.sparkSession):
+        got = levels.toArrow()
     table = np.zeros(1 << TABLE_BITS, np.uint8)
     table[got["p"].to_numpy()] = got["level"].to_numpy()
     return table
@@ -133,18 +138,18 @@ def star(members: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     return pivots, pairs
 
 
-def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
-    """(a, b, na, nb, common) of candidate pairs of sets, from the texts of one document of each.
+def with_texts(work: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
+    """`work` (sid and more) with the text of one document of each set, in one exchange of texts.
 
-    Texts are fetched only for sets in a pair; a fixed-size bitmap of their documents keeps most others from the
-    shuffle. Pairs are dealt by `a` in lots of bounded size.
+    A fixed-size bitmap of the wanted documents keeps most other texts from the exchange. Another row with the same
+    document id may come along; its text names another set.
     """
     carrier = rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("doc_id")).filter("doc_id is not null")
-    sides = pairs.select(F.col("a").alias("sid")).unionByName(pairs.select(F.col("b").alias("sid"))).distinct()
-    wanted = sides.join(carrier, "sid")
+    wanted = work.join(carrier, "sid")
     place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << FILTER_BITS)).cast("int")
     bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[wanted.select(place.alias("p")).distinct().toArrow()["p"].to_numpy()] = True
+    with dropping_exchanges(docs.sparkSession):
+        bits[wanted.select(place.alias("p")).distinct().toArrow()["p"].to_numpy()] = True
 
     def keep(batches):
         for batch in batches:
@@ -153,12 +158,22 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFr
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = (docs.select("doc_id", "text", place.alias("p")).filter("doc_id is not null")
-             .mapInArrow(keep, f"doc_id {kind}, text string").join(wanted, "doc_id").select("sid", "text"))
+             .mapInArrow(keep, f"doc_id {kind}, text string"))
+    return texts.join(wanted, "doc_id").drop("doc_id")
+
+
+def name_of(h: np.ndarray) -> int:
+    return xxhash.xxh3_64_intdigest(h.tobytes()) >> 1
+
+
+def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(a, b, na, nb, common) of candidate pairs of sets. Pairs are dealt by `a` in lots of bounded size."""
     lots = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / 256).alias("lots"))
     dealt = pairs.join(lots, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("lots")).alias("lot"))
     lead = dealt.select("a", "lot", F.col("a").alias("sid")).distinct()
     rest = dealt.select("a", "lot", F.col("b").alias("sid"))
-    work = texts.join(lead.unionByName(rest), "sid").repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("sid") != F.col("a"))
+    work = (with_texts(lead.unionByName(rest), docs, rows)
+            .repartition("a", "lot").sortWithinPartitions("a", "lot", F.col("sid") != F.col("a")))
 
     def compare(batches):
         key, own = None, None
@@ -166,8 +181,8 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFr
             out = []
             for a, lot, sid, text in zip(*(batch.column(c).to_pylist() for c in ("a", "lot", "sid", "text"))):
                 h = shingle_set(text, k)
-                if (xxhash.xxh3_64_intdigest(h.tobytes()) >> 1) != sid:
-                    continue  # another row with the same document id
+                if not len(h) or name_of(h) != sid:
+                    continue
                 if sid == a:
                     key, own = (a, lot), h
                 elif key == (a, lot):
@@ -178,80 +193,120 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFr
     return work.select("a", "lot", "sid", "text").mapInArrow(compare, "a long, b long, na long, nb long, common long").dropDuplicates(["a", "b"])
 
 
-def linked(percent: int) -> Column:
-    return F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))
+def overlaps(own: list[np.ndarray]) -> np.ndarray:
+    """Common members of every two sets. Members of a single set are left out and the rest taken in slices."""
+    sizes = np.array(list(map(len, own)))
+    owner = np.repeat(np.arange(len(own)), sizes)
+    _, member, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+    shared = n[member] > 1
+    owner, member = owner[shared], np.unique(member[shared], return_inverse=True)[1]
+    order = np.argsort(member, kind="stable")
+    owner, member = owner[order], member[order]
+    out = np.zeros((len(own), len(own)), np.float32)
+    wide = int(member[-1]) + 1 if len(member) else 0
+    for s in range(0, wide, SLICE):
+        a, b = np.searchsorted(member, [s, s + SLICE])
+        m = np.zeros((len(own), min(SLICE, wide - s)), np.float32)
+        m[owner[a:b], member[a:b] - s] = 1
+        out += m @ m.T
+    return out
+
+
+def joining_links(names: list[int], own: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links (node, smallest node it is connected to) that connect what the sets' links connect."""
+    n = np.array(list(map(len, own)), np.float64)
+    common = overlaps(own).astype(np.float64)
+    close = 100 * common >= percent * (n[:, None] + n[None, :] - common)
+    label = np.arange(len(own))
+    while True:
+        new = np.where(close, label[None, :], len(own)).min(1)
+        new = np.minimum(label, new)
+        new = new[new]
+        if (new == label).all():
+            return [(names[i], names[j]) for i, j in enumerate(label) if i != j]
+        label = new
+
+
+def compare_open(open_rows: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): links that connect the open sets around each pivot `p`. A lot meets each other lot of its pivot once."""
+    sizes = open_rows.groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    members = open_rows.join(sizes, "p").withColumn("lots", F.ceil(F.col("n") / LOT).cast("int"))
+    mine = F.pmod(F.xxhash64("sid"), F.col("lots")).cast("int")
+    meets = F.transform(F.sequence(F.lit(0), F.col("lots") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
+    dealt = members.select("p", "sid", F.inline(meets))
+    work = (with_texts(dealt, docs, rows)
+            .repartition("p", "i", "j").sortWithinPartitions("p", "i", "j"))
 
+    def compare(batches):
+        key, names, own = None, [], []
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = new_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+        def done():
+            links = joining_links(names, own, percent) if len(own) > 1 else []
+            return pa.record_batch({c: pa.array([x[i] for x in links], pa.int64()) for i, c in enumerate("ab")})
+
+        for batch in batches:
+            for *at, sid, text in zip(*(batch.column(c).to_pylist() for c in ("p", "i", "j", "sid", "text"))):
+                if at != key:
+                    yield done()
+                    key, names, own = at, [], []
+                h = shingle_set(text, k)
+                if len(h) and name_of(h) == sid:
+                    names.append(sid)
+                    own.append(h)
+        yield done()
+
+    return work.select("p", "i", "j", "sid", "text").mapInArrow(compare, "a long, b long").distinct()
+
+
+def linked(percent: int) -> Column:
+    return F.lit(100) * F.col("common") >= F.lit(percent) * (F.col("na") + F.col("nb") - F.col("common"))
 
 
-def open_pairs(members: DataFrame, pivots: DataFrame, checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(token, block, sid, n, room, home, label, low, high) of the members of blocks that still hold an open pair.
+def open_sets(members: DataFrame, pivots: DataFrame, checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """(p, sid): the sets around each pivot that may link with another of its block and are not yet connected to it.
 
-    low and high bound the member's distance to the pivot; a block is open if two of its members may link, lie in
-    different components and were not compared.
+    low and high bound a set's distance to the pivot: the distance itself where it was counted, else what sizes say.
     """
+    far = _far(percent)
+    rows = (members.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
+            .withColumn("label", F.coalesce("label", "sid")))
+    mixed = (rows.groupBy("token", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1"))
+             .filter("l0 < l1").select("token", "block"))
     d = (1 - F.col("common") / (F.col("na") + F.col("nb") - F.col("common"))).alias("d")
     both = checked.select(F.col("a").alias("sid"), F.col("b").alias("p"), d).unionByName(
         checked.select(F.col("b").alias("sid"), F.col("a").alias("p"), d))
-    rows = (members.join(pivots, ["token", "block"]).join(both, ["sid", "p"], "left")
-            .join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left")
-            .withColumn("label", F.coalesce("label", "sid")).filter(F.col("sid") != F.col("p"))
+    rows = (rows.join(mixed, ["token", "block"]).join(pivots, ["token", "block"]).filter(F.col("sid") != F.col("p"))
+            .join(both, ["sid", "p"], "left")
             .withColumn("low", F.coalesce("d", 1 - F.least("n", "p_n") / F.greatest("n", "p_n")))
             .withColumn("high", F.coalesce("d", F.lit(1.0))))
-    far = _far(percent)
-    # A pair is open only if it straddles components and the distances to the pivot allow it.
-    spans = rows.groupBy("token", "block").agg(F.min("label").alias("l0"), F.max("label").alias("l1")).filter("l0 < l1")
-    rows = rows.join(spans.select("token", "block"), ["token", "block"])
-    linked_reach = rows.filter(F.col("high") <= far).groupBy("token", "block").agg(F.max("high").alias("edge"))
-    outside = rows.filter(F.col("high") > far).groupBy("token", "block").agg(F.min("low").alias("closest"), F.count(F.lit(1)).alias("outs"))
-    state = linked_reach.join(outside, ["token", "block"], "full")
-    # Members near the pivot are all connected; they matter only to members outside that are close enough.
-    rows = (rows.join(state, ["token", "block"])
-            .filter((F.col("high") > far) & ((F.col("outs") > 1) | (F.col("low") - F.col("edge") <= far))
-                    | (F.col("high") <= far) & (F.col("closest") - F.col("high") <= far)))
-    return rows.select("token", "block", "sid", "n", "room", "home", "label", "low", "high")
-
-
-def more_pairs(rows: DataFrame, turn: int, percent: int) -> DataFrame:
-    """Candidate pairs of open members with the next pivots of their block: 4, 32, 256 ... of them."""
-    lo, hi = (0 if turn == 0 else 4 * 8 ** (turn - 1)), 4 * 8 ** turn
-    far = _far(percent)
-    order = Window.partitionBy("token", "block").orderBy(F.col("high") <= far, "sid")
-    ranked = rows.withColumn("r", F.row_number().over(order) - 1)
-    s, p = (ranked.select("token", "block", *[F.col(c).alias(f"{x}{c}") for c in ("sid", "n", "room", "home", "label", "low", "high", "r")])
-            for x in ("s_", "p_"))
-    p = p.filter(F.col("p_r").between(lo, hi - 1) & (F.col("p_high") > far))  # members near the pivot are connected
-    pairs = s.join(p, ["token", "block"]).filter((F.col("s_r") > F.col("p_r")) & (F.col("s_home") | F.col("p_home")) & (F.col("s_label") != F.col("p_label")))
-    pairs = pairs.filter(_possible("s_", "p_", percent) & (F.col("s_low") - F.col("p_high") <= far) & (F.col("p_low") - F.col("s_high") <= far))
-    return pairs.select(F.least("s_sid", "p_sid").alias("a"), F.greatest("s_sid", "p_sid").alias("b")).distinct()
+    near = F.col("high") <= far
+    state = rows.groupBy("token", "block").agg(F.max(F.when(near, F.col("high"))).alias("edge"), F.min(F.when(~near, F.col("low"))).alias("closest"),
+                                               F.count(F.when(~near, 1)).alias("outs"))
+    # Sets near the pivot are connected; one matters only to a set outside that is close enough to it.
+    return (rows.join(state, ["token", "block"])
+            .filter(~near & ((F.col("outs") > 1) | (F.col("low") - F.col("edge") <= far)) | near & (F.col("closest") - F.col("high") <= far))
+            .select("p", "sid").distinct())
 
 
 def join(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(doc_id, n_shingles, component_id) for each row of `docs` (doc_id, text)."""
-    rows = _stored(sets(docs, k, percent, frequent(docs, k)), "shingle-sets")
-    members = _stored(blocks(rows, percent), "index-lists")
+    rows = stored(sets(docs, k, percent, frequent(docs, k)), "shingle-sets")
+    members = stored(blocks(rows, percent), "index-lists")
     pivots, pairs = star(members, percent)
-    checked = _stored(verify(_stored(pairs, "pairs"), docs, rows, k), "checked")
-    labels = components(checked.filter(linked(percent)))
-    open_rows = _stored(open_pairs(members, pivots, checked, labels, percent), "open")
-    # Each round takes eight times the pivots of the round before, until every member away from the pivot was one.
-    most = (open_rows.filter(F.col("high") > _far(percent)).groupBy("token", "block").count().agg(F.max("count")).head()[0]) or 0
-    turn, done = 0, checked
-    while most > 0:
-        pairs = more_pairs(open_rows, turn, percent).join(done.select("a", "b"), ["a", "b"], "left_anti")
-        new = _stored(verify(_stored(pairs, "pairs"), docs, rows, k), "checked")
-        done = done.unionByName(new)
-        if 4 * 8 ** turn >= most:
-            break
-        turn += 1
-    if done is not checked:
-        labels = components(done.filter(linked(percent)))
+    checked = stored(verify(stored(pairs, "pairs"), docs, rows, k), "checked")
+    links = checked.filter(linked(percent)).select("a", "b")
+    labels = components(links)
+    open_rows = stored(open_sets(members, pivots, checked, labels, percent), "open-sets")
+    more = stored(compare_open(open_rows, docs, rows, k, percent), "open-links")
+    # Components of what is connected already and the new links.
+    ends = labels.select("node", "label")
+    known = lambda c: more.join(ends.withColumnRenamed("node", c), c, "left").withColumn(c, F.coalesce("label", c)).drop("label")
+    more = known("a")
+    more = known("b").filter("a <> b")
+    merged = components(more)
     names = rows.filter("sid is not null").groupBy("sid").agg(F.min("doc_id").alias("low"))
-    names = names.join(labels.select(F.col("node").alias("sid"), "label"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    names = names.join(ends.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
+    names = names.join(merged.select(F.col("node").alias("label"), F.col("label").alias("top")), "label", "left").select("sid", "low", F.coalesce("top", "label").alias("label"))
     firsts = names.groupBy("label").agg(F.min("low").alias("component_id"))
     homes = names.join(firsts, "label").select("sid", "component_id")
     return (rows.select("doc_id", F.col("n").alias("n_shingles"), "sid").join(homes, "sid", "left")

@@ -117,6 +117,16 @@ def test_language_mixture(spark):
     assert lang[1:] == ["en", "und"]
 
 
+def test_overlaps_counts_in_slices(monkeypatch):
+    from thawline.llm import setjoin
+    monkeypatch.setattr(setjoin, "SLICE", 3)
+    rng = np.random.default_rng(1)
+    own = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in (1, 5, 20, 30, 12)]
+    want = [[len(np.intersect1d(a, b)) for b in own] for a in own]
+    got = setjoin.overlaps(own)
+    assert all(got[i, j] == want[i][j] for i in range(5) for j in range(5) if i != j)
+
+
 def check_packing(rows, want):
     by, covered = {}, {}
     for r in rows:
@@ -253,22 +263,31 @@ def test_jaccard_on_documents(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in rows} == brute.jaccard_components(docs)
 
 
-def test_jaccard_open_pairs(spark):
-    """Chains and clusters that share shingles without all being near one pivot."""
+@pytest.mark.parametrize("lot", [16, 512])
+def test_jaccard_open_pairs(spark, monkeypatch, lot):
+    """Chains, and a group of near copies on both sides of the threshold: many sets stay open around a pivot."""
     import random
 
-    from thawline.llm.setjoin import join
+    from thawline.llm import setjoin
+    monkeypatch.setattr(setjoin, "LOT", lot)
+    monkeypatch.setattr(setjoin, "SLICE", 37 * lot)
     rng, docs = random.Random(3), []
-    for c in range(4):
+    for c in range(2):
         words = [f"w{c}_{i}" for i in range(120)]
-        for v in range(30):
+        for v in range(20):
             if v % 3 == 0:
                 words = list(words)
                 at = rng.randrange(0, 110)
                 words[at:at + 4] = [f"n{c}_{v}_{j}" for j in range(4)]
             docs.append((len(docs), " ".join(words) + f" end{v % 5}"))
+    base = [f"b{i}" for i in range(150)]
+    for _ in range(90):
+        words = list(base)
+        for _ in range(rng.randrange(0, 9)):
+            words[rng.randrange(150)] = f"e{rng.randrange(400)}"
+        docs.append((len(docs), " ".join(words)))
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in join(df, 4, 85).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in setjoin.join(df, 4, 85).collect()}
     assert got == brute.jaccard_components(docs)
 
 

@@ -110,6 +110,11 @@ def predict(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, list
     return lang, score, chosen
 
 
+def piece_limit(model: Model) -> int:
+    """Characters predicted at once: the tables made for them stay at some 50 MB whatever the number of languages."""
+    return max(1 << 14, min(1 << 18, (1 << 20) // max(1, len(model.languages))))
+
+
 def held_out(doc_id: Column) -> Column:
     """crc32 of the id as text, mod 4, is 2; a null id is not held out."""
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
@@ -149,13 +154,13 @@ def learn(labelled: DataFrame, bound: int = DOCS_PER_LANGUAGE) -> Model:
 def with_language(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """`columns` of each row and lang_pred, score, langs (the selected set), predicted from the text alone."""
     rows = docs.select(*columns, text_of().alias("_text"))
-    limit = max(1 << 14, (1 << 22) // max(1, len(model.languages)))
+    limit = piece_limit(model)
 
     def run(batches):
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             kept = batch.select(list(columns))
-            for a, b in chunks(texts, min(1 << 20, limit)):
+            for a, b in chunks(texts, limit):
                 lang, score, chosen = predict(model, texts[a:b])
                 part = kept.slice(a, b - a)
                 yield pa.record_batch(part.columns + [pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(chosen, pa.string())],
@@ -183,13 +188,13 @@ def op4_language_mixture(docs: DataFrame) -> DataFrame:
 
 def in_known_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of `docs`, all columns, whose text has a known language with at least the share `least`."""
-    limit = max(1 << 14, (1 << 22) // max(1, len(model.languages)))
+    limit = piece_limit(model)
 
     def run(batches):
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             good = []
-            for a, b in chunks(texts, min(1 << 20, limit)):
+            for a, b in chunks(texts, limit):
                 lang, score, _ = predict(model, texts[a:b])
                 good += [l != UNKNOWN and s >= least for l, s in zip(lang, score)]
             yield batch.filter(pa.array(good, pa.bool_()))

@@ -16,7 +16,7 @@ NOT_PLAIN = re.compile(f"[^\t\n\r -~{LETTERS}]")
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_PIECES = re.compile(f" ?[{LETTERS}]+|{ENDINGS}| ?[0-9]+| ?[^ \t\n\r0-9{LETTERS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 WORD_PIECES = re.compile(f"[{LETTERS}]+|{ENDINGS}|[0-9]|[^ \t\n\r0-9{LETTERS}]+")
-MOST_PIECES = 400_000  # distinct pieces a worker remembers before it starts anew
+MOST_PIECES = 200_000  # distinct pieces a worker remembers before it starts anew
 
 
 def is_plain(text: str) -> bool:

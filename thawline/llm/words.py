@@ -4,7 +4,7 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
-_MOST = 400_000  # words a worker remembers
+_MOST = 100_000  # words a worker remembers
 _SEEN: dict[bytes, int] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 

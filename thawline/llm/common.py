@@ -28,6 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_MEMORIES: dict[str, dict] = {}
+
+
+def worker_memory(name: str) -> dict:
+    """What a worker process remembers for one kind of work. Workers outlive tasks; taking up one kind forgets the others."""
+    for other, kept in _MEMORIES.items():
+        if other != name and kept:
+            kept.clear()
+    return _MEMORIES.setdefault(name, {})
+
+
 @contextmanager
 def dropping_exchanges(spark: SparkSession):
     """What jobs in this block exchange is dropped from the executors' disks when each ends: nothing reads it later."""

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import chunks, text_of
+from .common import chunks, text_of, worker_memory
 
 BUCKETS = 1 << 15
 DOCS_PER_LANGUAGE = 4000  # bound of the labelled sample, per language
@@ -157,6 +157,7 @@ def with_language(docs: DataFrame, model: Model, columns: tuple[str, ...] = ("do
     limit = piece_limit(model)
 
     def run(batches):
+        worker_memory("languages")
         for batch in batches:
             texts = batch.column("_text").to_pylist()
             kept = batch.select(list(columns))
@@ -191,6 +192,7 @@ def in_known_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
     limit = piece_limit(model)
 
     def run(batches):
+        worker_memory("languages")
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             good = []

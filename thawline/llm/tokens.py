@@ -11,6 +11,8 @@ import re
 
 import numpy as np
 
+from .common import worker_memory
+
 LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſ"
 NOT_PLAIN = re.compile(f"[^\t\n\r -~{LETTERS}]")
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
@@ -129,12 +131,9 @@ class PieceEncoder:
         return ids, stops[ends]
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, kind=Library) -> PieceEncoder:
     """One encoder per worker process and vocabulary."""
-    key = (path, kind.__name__)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = PieceEncoder(kind(path))
-    return _ENCODERS[key]
+    kept, key = worker_memory("tokens"), (path, kind.__name__)
+    if key not in kept:
+        kept[key] = PieceEncoder(kind(path))
+    return kept[key]

@@ -4,20 +4,22 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from .common import worker_memory
+
 _MOST = 100_000  # words a worker remembers
-_SEEN: dict[bytes, int] = {}
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_SEEN) > _MOST:
-        _SEEN.clear()
-    got = list(map(_SEEN.get, words))
+    seen = worker_memory("words")
+    if len(seen) > _MOST:
+        seen.clear()
+    got = list(map(seen.get, words))
     if None in got:
         for i, h in enumerate(got):
             if h is None:
                 w = words[i]
-                got[i] = _SEEN[w] = xxhash.xxh64_intdigest(w)
+                got[i] = seen[w] = xxhash.xxh64_intdigest(w)
     return np.array(got, np.uint64)
 
 

@@ -445,7 +445,7 @@ def fit_all_q(spark, d):
     data = cells(spark, d).select(F.concat_ws("_", *CELL).alias("site"), "z", "elev", "ndvi", F.col("col").cast("double").alias("east"),
                                   F.col("row").cast("double").alias("north"))
     done = table(spark, d, "nation").filter("n_nationkey = 0").select(F.lit("elev").alias("resp_var"))
-    _, importance, _ = M.fit_all(data, ["z", "elev"], ["elev", "ndvi", "east", "north"], done, ("site",), [3], ((2, 5),), 2, 1, 5, 4)
+    _, importance, _ = M.fit_all(data, ["z", "elev"], ["elev", "ndvi", "east", "north"], done)
     return importance
 
 
@@ -460,6 +460,5 @@ def map_responses_q(spark, d):
     """Which cells get a predicted value; the values come from forests and are tested on planted signals."""
     data = cells(spark, d).select(F.concat_ws("_", *CELL).alias("site"), "z", "elev", "ndvi", F.col("col").cast("double").alias("east"))
     stack = cells(spark, d).select(*CELL, "elev", "ndvi", F.col("col").cast("double").alias("east"))
-    maps, _, _ = map_responses(data, stack, ["z"], ["elev", "ndvi", "east"], keys=("site",), sizes=[2], grid=((2, 5),), folds=2, repeats=1,
-                               trees=5, depth=4)
+    maps, _, _ = map_responses(data, stack, ["z"], ["elev", "ndvi", "east"])
     return maps["z"].filter("prediction is not null").select(*CELL, F.lit("z").alias("resp_var"))

@@ -112,12 +112,12 @@ def impute_forest_q(spark, d):
 
 @query("impute_forest_error")
 def impute_forest_error(spark, d):
-    return I.impute_forest(I.impute_matrix(day_table(spark, d), "T3_mean", sites=None), **{**QUICK, "max_sweeps": 1})[1]
+    return I.impute_forest(I.impute_matrix(day_table(spark, d), "T3_mean", sites=None))[1]
 
 
 @query("impute_cv")
 def impute_cv_q(spark, d):
-    return I.impute_cv(day_table(spark, d), ("T1_mean",), rounds=1, n=20, **{**QUICK, "max_sweeps": 1})
+    return I.impute_cv(day_table(spark, d))
 
 
 # --- shared tables ----------------------------------------------------------------------------
@@ -271,18 +271,15 @@ def model_table_q(spark, d):
     return M.model_table(gappy(spark, d), "label", ["x1", "x2", "x3"], ("vec_id",))
 
 
-SMALL = dict(trees=5, depth=4)  # forest size only; all rows and predictors take part
-
-
 @query("feature_elimination")
 def feature_elimination(spark, d):
-    kept, sizes = M.rfe(model_rows(spark, d).persist(), "label", XS, [4, 16], ["vec_id"], folds=2, repeats=1, **SMALL)
+    kept, _ = M.rfe(model_rows(spark, d).persist(), "label", XS, list(range(3, len(XS) + 1)), ["vec_id"])
     return _names(spark, kept)
 
 
 @query("grid_search")
 def grid_search(spark, d):
-    return M.tune_forest(model_rows(spark, d).persist(), "label", XS, ((2, 1), (8, 5)), ["vec_id"], folds=2, **SMALL)
+    return M.tune_forest(model_rows(spark, d).persist(), "label", XS, keys=["vec_id"])
 
 
 @query("model_metrics")
@@ -292,8 +289,10 @@ def model_metrics(spark, d):
 
 @query("permutation_importance")
 def permutation_importance_q(spark, d):
-    rows = model_rows(spark, d).persist()
-    return M.permutation_importance(M.fit_forest(rows, "label", XS[:8], **SMALL), rows, "label", XS[:8], ["vec_id"])
+    """Scored on a fold the forest has not seen."""
+    rows = M.with_fold(model_rows(spark, d), ["vec_id"], 10, 1).persist()
+    model = M.fit_forest(rows.filter("_fold <> 0"), "label", XS)
+    return M.permutation_importance(model, rows.filter("_fold = 0"), "label", XS, ["vec_id"])
 
 
 # --- reports ----------------------------------------------------------------------------------
@@ -378,7 +377,7 @@ def screen_predictors_q(spark, d):
 
 @query("climate_variables")
 def climate_variables_q(spark, d):
-    return climate_variables(day_table(spark, d), trees=3, depth=3, max_sweeps=1, parallelism=8)
+    return climate_variables(day_table(spark, d), parallelism=8)
 
 
 # --- facts about forests that SQL can state ---------------------------------------------------
@@ -406,5 +405,6 @@ def planted_importance(spark, d):
 
 @query("grid_search_settings", "select * from (values (2, 1, true), (8, 5, true)) t(mtry, min_node_size, scored)")
 def grid_search_settings(spark, d):
-    """One scored row per setting."""
-    return grid_search(spark, d).select("mtry", "min_node_size", F.col("RMSE").isNotNull().alias("scored"))
+    """One scored row per setting, for the two settings its SQL names; grid_search has all of them."""
+    scores = M.tune_forest(model_rows(spark, d).persist(), "label", XS, ((2, 1), (8, 5)), ["vec_id"])
+    return scores.select("mtry", "min_node_size", F.col("RMSE").isNotNull().alias("scored"))

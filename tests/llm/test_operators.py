@@ -74,6 +74,20 @@ def test_pii_base(results):
         assert set(brute.pii_base(texts()[r.doc_id])) <= set(r.spans.split(","))
 
 
+def test_pii_sample_is_bounded_and_distinct(spark):
+    """Copies of one text count once, in any part of the table, and no kind is opened by copies alone."""
+    from thawline.llm import pii
+    rows = [(i, f"plain text {i} without digits") for i in range(300)] + [(i, "call +1 (469) 555-8958 now") for i in range(600)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    every = [r.text for r in pii.sampled(df, 1000).collect()]
+    assert sorted(every) == sorted({t for _, t in rows})
+    for n in (1, 40, 200):
+        got = [r.text for r in pii.sampled(df, n).collect()]
+        assert len(got) == len(set(got)) == n and got == [r.text for r in pii.sampled(df.orderBy("text"), n).collect()]
+    odd = [(i, f"mail a{i % 6}@b.de or 300.1.1.1") for i in range(600)]
+    assert pii.learn(spark.createDataFrame(odd, "doc_id long, text string")).trees is None
+
+
 def test_secret_base(results):
     for r in results("op3"):
         want = brute.secret_base(texts()[r.doc_id])

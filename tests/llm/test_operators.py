@@ -315,6 +315,45 @@ def test_vectors(spark):
     assert np.mean([got[i].component_id == c for i, (_, c) in want.items()]) > 0.98
 
 
+def grouped(tmp_path, big=300, pairs=60):
+    """A shard asked by its own vectors: one large group of near copies and many pairs."""
+    from thawline.llm.hnsw import build
+    from thawline.llm.store import save_arrays
+    rng = np.random.default_rng(2)
+    base = rng.normal(size=(pairs + 1, 32))
+    rows = np.concatenate([np.repeat(base[:1], big, 0), np.repeat(base[1:], 2, 0)])
+    exact = vector_dups.unit(rows + rng.normal(size=rows.shape) * 0.02)
+    keys = np.arange(len(exact))
+    save_arrays(str(tmp_path), "s", 0, exact=exact, keys=keys, copies=np.ones(len(exact), np.int64),
+                **build(exact.astype(np.float32)).arrays())
+    want = (exact @ exact.T >= 0.9).sum(1) - 1
+    assert (want[big:] == 1).all() and (want[:big] == big - 1).all()
+    return want, big
+
+
+def test_vector_audit_sees_lost_pairs(tmp_path, monkeypatch):
+    """Links lost in pairs only are few of all links, yet the audit fails; it passes where nothing is lost."""
+    want, big = grouped(tmp_path)
+    real = vector_dups.within
+
+    def lossy(*args):
+        for a, n, r, v in real(*args):
+            good = a + r < big
+            yield a, n, r[good], v[good]
+
+    short = lambda out: [reached < vector_dups.RECALL * wanted for wanted, reached in out[-1]]
+    assert not any(short(vector_dups._ask(str(tmp_path), "s", "s", 0.9, 32, 0.05)))
+    monkeypatch.setattr(vector_dups, "within", lossy)
+    assert short(vector_dups._ask(str(tmp_path), "s", "s", 0.9, 32, 0.05)) == [False, True]
+
+
+def test_vector_beam_as_wide_as_the_shard_is_exact(tmp_path, monkeypatch):
+    want, _ = grouped(tmp_path)
+    monkeypatch.setattr(vector_dups, "within", lambda *args: iter(()))
+    out = vector_dups._ask(str(tmp_path), "s", "s", 0.9, len(want), 0.05)
+    assert out[1].tolist() == want.tolist() and all(reached >= wanted for wanted, reached in out[-1])
+
+
 def test_vector_edges(spark):
     e = [1.0, 0.0, 0.0, 0.5]
     rows = [(1, e), (2, e), (3, [2.0, 0.0, 0.0, 1.0]), (4, None), (5, []), (6, [0.0] * 4), (7, [float("nan")] + [1.0] * 3),

@@ -1,8 +1,10 @@
 """Near-duplicate vectors: a small-world graph per shard, every vector asked of every shard, links by exact cosine.
 
 Equal vectors are one. Shards are drawn by hash and have at most about SHARD_ROWS vectors. A task takes one shard and
-one block of queries, and audits itself: for a sample of its queries it compares all vectors of the shard. Tasks whose
-links fall short of the wanted recall run again with wider beams, until all audits pass.
+one block of queries, and audits itself: for a sample of its queries it compares all vectors of the shard. Both the
+links of the sample and the queries of the sample with all their links must reach the wanted recall, so that a large
+group cannot hide what small ones lack. Tasks that fall short run again with wider beams; when the beam is as wide as
+the shard, the block is compared with every vector of it, which is exact.
 """
 from __future__ import annotations
 
@@ -46,15 +48,30 @@ def _find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
         x = parent[x]
 
 
-def _ask(folder: str, shard: str, block: str, least: float, width: int, slack: float):
-    """(links per query, spanning links, audited true links, audited found links) of one block in one shard."""
+def every_pair(queries: np.ndarray, exact: np.ndarray, least: float):
+    """What `within` yields, from comparing all queries with all vectors."""
+    for a in range(0, len(queries), 64):
+        r, v = np.nonzero(queries[a:a + 64] @ exact.T >= least - 1e-9)
+        yield a, min(64, len(queries) - a), r, v
+
+
+def audited(truth: np.ndarray, hits: np.ndarray, recall: float = RECALL) -> list[tuple[int, int]]:
+    """(wanted, reached) by links and by queries, of the true and the found links of each audited query."""
+    some = truth > 0
+    whole = hits[some] >= recall * truth[some]
+    return [(int(truth.sum()), int(hits.sum())), (int(some.sum()), int(whole.sum()))]
+
+
+def _ask(folder: str, shard: str, block: str, least: float, width: int, slack: float, recall: float = RECALL):
+    """(names, links per query, both ends of spanning links, audits) of one block in one shard."""
     z, mine = load_arrays(folder, shard), load_arrays(folder, block)
     graph, keys, exact, copies = Graph.of(z), z["keys"], z["exact"], z["copies"]
     queries, names = mine["exact"], mine["keys"]
     links = np.zeros(len(queries), np.int64)
     parent = np.arange(len(names) + len(keys))  # queries, then vectors of the shard
     found = []
-    for a, n, r, v in within(graph, mine["vectors"], width, least, slack):
+    whole = width >= len(keys)
+    for a, n, r, v in every_pair(queries, exact, least) if whole else within(graph, mine["vectors"], width, least, slack):
         for s in range(0, len(r), 1 << 18):  # exact cosines in bounded pieces
             q, w = a + r[s:s + (1 << 18)], v[s:s + (1 << 18)]
             good = (np.einsum("ed,ed->e", queries[q], exact[w]) >= least) & (names[q] != keys[w])
@@ -67,18 +84,18 @@ def _ask(folder: str, shard: str, block: str, least: float, width: int, slack: f
                 roots = np.unique(_find(parent, np.concatenate([[x], len(names) + w[first[i]:stop]])))
                 parent[roots] = roots[0]
     hits = np.sum(found, axis=0) if found else np.zeros(len(queries), np.int64)
-    step = max(1, len(queries) // AUDIT)
     some = np.flatnonzero(hits)
-    audit = np.unique(np.concatenate([np.arange(0, len(queries), step)[:AUDIT], some[::max(1, len(some) // AUDIT)][:AUDIT]])).astype(int)
-    truth = 0
-    for s in range(0, len(audit), 64):
+    spread = lambda n: np.linspace(0, n - 1, min(n, AUDIT)).astype(int)  # noqa: E731  from all parts of the block
+    audit = np.unique(np.concatenate([spread(len(queries)), some[spread(len(some))]]))
+    truth = np.zeros(len(audit), np.int64)
+    for s in range(0, 0 if whole else len(audit), 64):
         rows = audit[s:s + 64]
-        close = queries[rows] @ exact.T >= least
-        truth += int((close & (names[rows][:, None] != keys[None, :])).sum())
+        close = queries[rows] @ exact.T >= least + 1e-12  # rounding at the border is no miss
+        truth[s:s + 64] = (close & (names[rows][:, None] != keys[None, :])).sum(1)
     every = np.concatenate([names, keys])
     roots = _find(parent, np.arange(len(parent)))
     linked = np.flatnonzero(roots != np.arange(len(parent)))
-    return names, links, every[linked], every[roots[linked]], truth, int(hits[audit].sum())
+    return names, links, every[linked], every[roots[linked]], audited(truth, np.minimum(hits[audit], truth), recall)
 
 
 def near_duplicates(vectors: DataFrame, least: float = 0.9, shard_rows: int = SHARD_ROWS, recall: float = RECALL) -> DataFrame:
@@ -115,9 +132,9 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, shard_rows: int = SH
         def run(batches):
             for batch in batches:
                 for i in batch.column("id").to_pylist():
-                    reps, links, a, b, truth, found = _ask(folder, *tasks[i], least, width, slack)
+                    reps, links, a, b, audits = _ask(folder, *tasks[i], least, width, slack, recall)
                     parts = [(reps, links, np.full(len(reps), -1), 0, 0), (a, np.zeros(len(a), np.int64), b, 0, 0)]
-                    parts.append((np.array([-1]), np.array([0]), np.array([-1]), truth, found))
+                    parts += [(np.array([-1]), np.array([0]), np.array([-1]), truth, found) for truth, found in audits]
                     for kind, (x, n, y, t, f) in enumerate(parts):
                         m = len(x)
                         yield pa.record_batch({
@@ -132,7 +149,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, shard_rows: int = SH
     passed, width, slack = [], WIDTH, SLACK
     while todo:
         out = ask(todo, width, slack)
-        failed = {r.task for r in out.filter("kind = 2").filter(F.col("found") < recall * F.col("truth")).select("task").collect()}
+        failed = {r.task for r in out.filter("kind >= 2").filter(F.col("found") < recall * F.col("truth")).select("task").collect()}
         passed.append(out.filter(~F.col("task").isin(list(failed))) if failed else out)
         todo = [t for i, t in enumerate(todo) if i in failed]
         width, slack = 2 * width, slack + 0.05

@@ -266,6 +266,21 @@ def test_license_copy_with_edits(spark):
     assert {r.doc_id: r.labels for r in got} == {1: "mit", 2: ""}
 
 
+def test_license_best_template_keeps_the_text(spark):
+    """Similar notices are told apart, spread-out words are no copy, and neighbouring notices are both found."""
+    from thawline.llm.licenses import TEMPLATES, scan
+    by = {label: text for text, label in TEMPLATES}
+    gpl, lgpl, mit = by["gpl-notice"], by["lgpl-notice"], by["mit"].split()
+    spread = " ".join(" ".join(mit[i:i + 2]) + " x" * 9 for i in range(len(mit)))
+    turned = " ".join(" ".join(mit[i:i + 2]) for i in range(len(mit) - 2, -1, -2))
+    rows = [gpl, lgpl, gpl + " and " + lgpl, "of the gnu " * 30 + lgpl.replace("published", "posted"), spread, turned,
+            "permission is hereby " * 40 + by["mit"] + " then " + by["isc"]] + [t for t, _ in TEMPLATES]
+    got = {r.doc_id: r for r in scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).collect()}
+    want = ["gpl-notice", "lgpl-notice", "gpl-notice,lgpl-notice", "lgpl-notice", "", "", "isc,mit"] + [l for _, l in TEMPLATES]
+    base = {"gpl", "cc-by", "reserved"}
+    assert [",".join(l for l in got[i].labels.split(",") if l not in base) for i in range(len(rows))] == want
+
+
 def test_jaccard_edges(results):
     want = brute.jaccard_components([r for r in ROWS if r[0] is not None])
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in results("op10") if r.doc_id is not None} == want

@@ -2,12 +2,15 @@
 
 Every rolling word 2-gram of a document is joined with the positions of the same 2-gram in the templates. A hit votes
 for the diagonal (document position minus template position). Neighbouring diagonals merge, since a few inserted or
-lost words move a copy to the next ones; a merged span is verified by the share of the template's 2-grams it holds.
+lost words move a copy to the next ones. A merged span that holds enough of a template's 2-grams is verified: its hits
+are aligned with the template, in word order and over a bounded length, and where alignments with several templates
+share a stretch of text, the best covering one keeps it.
 Base phrases count only where one diagonal holds all their 2-grams, that is, where their words stand consecutively.
 """
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
@@ -17,7 +20,8 @@ from .words import rolling, word_hashes
 
 K = 2
 DRIFT = 4  # diagonals at most so far apart are one copy
-COVER = 0.6  # share of a template's 2-grams a span needs
+COVER = 0.6  # share of a template's 2-grams an alignment needs
+LENGTH = 2  # an alignment is at most so many times as long as its template
 # The base phrases and their labels.
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
 TEMPLATES = (
@@ -88,12 +92,94 @@ def grams(docs: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, f"key long, pos int, gram long, doc_id {kind}, n_words long")
 
 
+def alignments(hits: list[tuple[int, int]], need: int) -> list[list[int]]:
+    """Positions of the aligned 2-grams of each copy of a template of `need` 2-grams, from left to right.
+
+    Along an alignment both positions rise, the diagonal moves by DRIFT at most from hit to hit, and it ends within
+    LENGTH * need words. Of the alignments that start in one another, the longest is a copy, then the tightest.
+    """
+    hits, least, out = sorted(set(hits)), COVER * need, []
+    best, i, stop = [], 0, -1
+    while i < len(hits) or best:
+        if best and (i == len(hits) or hits[i][0] > stop):  # no later start lies in the best one
+            out.append(best)
+            while i < len(hits) and hits[i][0] <= best[-1]:
+                i += 1
+            best = []
+            continue
+        p, t = hits[i]
+        i += 1
+        if need - t < max(least, len(best)):
+            continue
+        window = [(p, t)]
+        for j in range(i, len(hits)):
+            q, u = hits[j]
+            if q >= p + LENGTH * need:
+                break
+            if q > p and u > t:
+                window.append((q, u))
+        if len({u for _, u in window}) < max(least, len(best)):
+            continue
+        length, before = [1] + [0] * (len(window) - 1), [-1] * len(window)
+        for b, (q, u) in enumerate(window):
+            for a in range(b):
+                r, v = window[a]
+                if length[a] and length[a] >= length[b] and r < q and v < u and abs((q - u) - (r - v)) <= DRIFT:
+                    length[b], before[b] = length[a] + 1, a
+        b = max(range(len(window)), key=lambda x: (length[x], -window[x][0]))
+        if length[b] < least:
+            continue
+        found = []
+        while b >= 0:
+            found.append(window[b][0])
+            b = before[b]
+        found.reverse()
+        if not best or (len(found), -(found[-1] - found[0])) > (len(best), -(best[-1] - best[0])):
+            if not best:
+                stop = found[-1]
+            best = found
+        if len(best) == need:
+            i = next((j for j in range(i, len(hits)) if hits[j][0] > best[-1]), len(hits))
+    return out
+
+
+def verified(spans, need: list[int]) -> dict[int, float]:
+    """Best cover of each template that keeps a stretch of the text; spans: (template, [(diagonal, template positions)])."""
+    copies = []
+    for template, lines in spans:
+        n = need[template]
+        copies += [(-len(found) / n, -len(found), template, found)
+                   for found in alignments([(d + t, t) for d, held in lines for t in held], n)]
+    taken, out = [], {}
+    for _, _, template, found in sorted(copies):
+        left = [p for p in found if not any(a <= p <= b for a, b in taken)]
+        if len(left) >= COVER * need[template]:
+            taken.append((found[0], found[-1]))
+            out[template] = max(out.get(template, 0.0), len(left) / need[template])
+    return out
+
+
+def with_verified(rows: DataFrame, need: list[int]) -> DataFrame:
+    """Each row's `spans` replaced by `kept` (templates) and `cover` (the best cover)."""
+    @F.pandas_udf("kept array<int>, cover double")
+    def check(spans: pd.Series) -> pd.DataFrame:
+        kept, cover = [], []
+        for own in spans:
+            got = verified([(s["template"], [(x["diagonal"], x["held"]) for x in s["lines"]]) for s in own], need) if len(own) else {}
+            kept.append(sorted(got))
+            cover.append(max(got.values(), default=None))
+        return pd.DataFrame({"kept": kept, "cover": pd.Series(cover, dtype="float64")})
+
+    return rows.withColumn("v", check("spans")).select("*", "v.kept", "v.cover").drop("v", "spans")
+
+
 def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
     """One row per row of `docs`: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
     phrases = [*base, *templates]
     labels = F.array(*[F.lit(l) for _, l in phrases])
-    need = F.array(*[F.lit(max(1, len(words_of(p)) - K + 1)) for p, _ in phrases])
+    sizes = [max(1, len(words_of(p)) - K + 1) for p, _ in phrases]
+    need = F.array(*[F.lit(n) for n in sizes])
     known = F.broadcast(template_grams(spark, base, templates))  # as many rows as the templates have words
     votes = (grams(docs).join(known, "gram", "left").filter("template is not null or pos < 0")
              .withColumn("diagonal", F.col("pos") - F.col("tpos")))
@@ -111,16 +197,19 @@ def scan(docs: DataFrame, base=BASE, templates=TEMPLATES) -> DataFrame:
              .agg(F.count(F.when(whole, 1)).alias("places"), F.min(F.when(whole, F.col("diagonal"))).alias("first"),
                   F.max(F.when(whole, F.col("diagonal"))).alias("last"),
                   F.size(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held"),
+                  F.collect_list(F.when(~is_base, F.struct("diagonal", "held"))).alias("lines"),
                   F.first("doc_id", True).alias("doc_id"), F.max("n_words").alias("n_words"),
                   F.sum(F.when(F.col("template").isNull(), F.col("rows"))).alias("copies")))
-    cover = F.col("held") / F.get(need, F.col("template"))
-    good = F.when(is_base, F.col("places") > 0).otherwise(cover >= COVER)
+    enough = ~is_base & (F.col("held") >= COVER * F.get(need, F.col("template")))
+    good = is_base & (F.col("places") > 0)
     label = F.get(labels, F.col("template"))
     out = (spans.groupBy("key")
            .agg(F.first("doc_id", True).alias("doc_id"), F.max("n_words").alias("n_words"), F.max("copies").alias("copies"),
                 F.sum("places").alias("n_base"), F.min("first").cast("long").alias("first_word"), F.max("last").cast("long").alias("last_word"),
-                F.collect_set(F.when(is_base & good, label)).alias("b"), F.collect_set(F.when(good, label)).alias("l"),
-                F.max(F.when(good & is_base, F.lit(1.0)).when(good, cover)).alias("score")))
+                F.collect_set(F.when(good, label)).alias("b"), F.max(F.when(good, F.lit(1.0))).alias("whole"),
+                F.collect_list(F.when(enough, F.struct("template", "lines"))).alias("spans")))
+    out = with_verified(out, sizes).withColumn("score", F.greatest("whole", "cover"))
+    out = out.withColumn("l", F.array_union("b", F.transform("kept", lambda t: F.get(labels, t))))
     joined = lambda c: F.array_join(F.array_sort(c), ",")
     return (out.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
             .select("doc_id", "n_words", "n_base", "first_word", "last_word", joined("b").alias("base_labels"),

@@ -234,6 +234,24 @@ def test_fingerprints(spark):
     assert np.mean([r.near_edited for r in rows.values()]) > 5 * np.mean([r.near_next for r in rows.values()])
 
 
+def test_lexicon_keeps_single_terms(spark):
+    """The band holds for each term, also where hash buckets of 18 bits are shared by terms in and out of it."""
+    from thawline.llm import imatch
+    bits = (1 << 18) - 1
+    names = spark.range(60_000).selectExpr("concat('w', id) as w").selectExpr("w", f"xxhash64(w) & {bits} as b")
+    shared = [r.ws for r in names.groupBy("b").agg({"w": "collect_list"}).toDF("b", "ws").filter("size(ws) > 1").limit(40).collect()]
+    rows = [(i, " ".join(w[1] for w in shared) + " every") for i in range(3)]  # in the band
+    rows += [(3 + i, w[0] + " every") for i, w in enumerate(shared)]  # one use each: below it
+    rows += [(100 + i, " ".join(w[0] for w in shared[:5]) + " every") for i in range(90)]  # the first five: above it
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    total = len(rows)
+    want = {w[1] for w in shared}
+    terms = spark.createDataFrame([(w,) for w in {x for ws in shared for x in ws[:2]} | {"every"}], "w string").selectExpr("w", "xxhash64(w) as t")
+    got = imatch.lexicon(df).join(terms, "t").collect()
+    assert total ** 0.05 > 1 and {r.w for r in got if not r.common} == want
+    assert {r.w for r in got if r.common} == {w[0] for w in shared[:5]} | {"every"}
+
+
 def test_fingerprint_edges(results):
     rows = results("op8")
     assert len({r.fingerprint for r in rows if r.doc_id in (7, 8)}) == 1

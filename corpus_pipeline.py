@@ -23,13 +23,15 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each group of near-duplicates: five-word shingles, similarity 0.8 or more.
 
-    A row without an id is known by its text; rows that share an id are one document.
+    A row without an id is known by its text; rows that share an id and a text are one document. Of several texts with
+    the smallest id the one with the smallest hash stays.
     """
     own = F.coalesce(F.col("doc_id"), -1 - F.shiftrightunsigned(F.xxhash64(text_of()), 2))
-    keyed = docs.withColumn("_key", own)
+    keyed = docs.withColumns({"_own": own, "_key": F.xxhash64(own, text_of())})
     groups = setjoin.join(keyed.select(F.col("_key").alias("doc_id"), text_of().alias("text")), SHINGLE_WORDS, PERCENT)
-    kept = groups.filter("doc_id = component_id").select(F.col("doc_id").alias("_key"))
-    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    placed = groups.select(F.col("doc_id").alias("_key"), "component_id").join(keyed.select("_key", "_own"), "_key")
+    kept = placed.groupBy("component_id").agg(F.min(F.struct("_own", "_key")).alias("_first")).select("_first._key")
+    return keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key", "_own")
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,6 +23,14 @@ def test_stages(spark):
     assert {r.doc_id for r in pieces.select("doc_id").collect()} == {r.doc_id for r in clean.collect()}
 
 
+def test_texts_that_share_an_id(spark):
+    """Each text is judged by itself: a copy goes, the clean text with the same id stays."""
+    copy, clean = " ".join(f"a{i}" for i in range(30)), " ".join(f"b{i}" for i in range(30))
+    for parts in (1, 5):
+        docs = spark.createDataFrame([(3, copy), (5, copy), (5, clean), (5, clean), (9, clean)], "doc_id long, text string").repartition(parts)
+        assert sorted(P.one_of_each_group(spark, docs, SF).collect()) == [(3, copy), (5, clean)]
+
+
 def test_awkward_rows(spark):
     rows = [(None, "no id", "en"), (None, "no id", "en"), (None, "no id at all", None), (1, None, "en"), (2, "", "en"), (3, "a b c d e f g", "en"),
             (3, "a b c d e f g", "en"), (4, "a b c d e f g", "en"), (5, "123 456", "en")]

@@ -31,6 +31,22 @@ def impute_matrix_moisture(spark, d):
     return I.impute_matrix(day_table(spark, d), "moist_mean")
 
 
+def _every_site_sql(measure):
+    return (f"with {DAY_TABLE_SQL}, u as ({usable_sql(measure)}) select d.date, s.site, u.value from (select distinct date from u) d "
+            "cross join (select distinct site from u) s left join u on u.date = d.date and u.site = s.site")
+
+
+@query("impute_matrix_every_site", _every_site_sql("T1_mean"), "value", dates="date")
+def impute_matrix_every_site(spark, d):
+    """The cells of impute_matrix, whatever the number of sites."""
+    return T.lengthen(I.impute_matrix(day_table(spark, d), "T1_mean"), ["date"], None, "site", "value")
+
+
+@query("impute_matrix_moisture_every_site", _every_site_sql("moist_mean"), "value", dates="date")
+def impute_matrix_moisture_every_site(spark, d):
+    return T.lengthen(I.impute_matrix(day_table(spark, d), "moist_mean"), ["date"], None, "site", "value")
+
+
 _NAMES = [("moist" if m == "moist_mean" else m) for m in MEASURES]
 _U = ",\n".join(f"u{i} as ({usable_sql(m)}), k{i} as (select d.date, s.site from (select distinct date from u{i}) d, "
                 f"(select distinct site from u{i}) s)" for i, m in enumerate(MEASURES))

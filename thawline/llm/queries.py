@@ -6,6 +6,7 @@ from .common import documents
 from .imatch import op8_document_fingerprints
 from .langid import op4_language_mixture
 from .licenses import op9_license_scan
+from .manifest import op11_merkle_manifest
 from .oracles import ORACLES  # noqa: F401
 from .packing import op5_harmonic_packing
 from .pii import op1_pii_spans
@@ -25,4 +26,5 @@ QUERIES = {
     "op8_document_fingerprints": lambda spark, d: op8_document_fingerprints(documents(spark, d)),
     "op9_license_scan": lambda spark, d: op9_license_scan(documents(spark, d)),
     "op10_jaccard_join": lambda spark, d: op10_jaccard_join(documents(spark, d)),
+    "op11_merkle_manifest": lambda spark, d: op11_merkle_manifest(documents(spark, d)),
 }

@@ -85,9 +85,28 @@ select doc_id, leaf, subroot, root, coalesce(proof_sha256, sha256('')) as proof_
 from placed join subs on subs.source is not distinct from placed.source join ends using (rid) left join proofs using (rid), crown"""
 
 
+def ranked_search(keep: int = 10) -> str:
+    terms = """regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+')"""
+    return f"""with items as (select item_id, row_number() over () as item, list_distinct({terms}) as ts from benchmark),
+asked as (select item, unnest(ts) as t from items),
+docs as (select doc_id, row_number() over () as d, {terms} as ts from documents),
+sizes as (select d, doc_id, len(ts) as n from docs where len(ts) > 0),
+total as (select count(*) as big_n, sum(n)::bigint as big_l from sizes),
+tfs as (select d, t, count(*) as tf from (select d, unnest(ts) as t from docs) where t in (select t from asked) group by 1, 2),
+weights as (select t, floor(1000 * ln((2 * max(big_n) + 2) / (2 * count(*) + 1)))::bigint as w from tfs, total group by t),
+measured as (select d, doc_id, 10 + (90 * n * big_n) // big_l as m from sizes, total),
+scores as (select item, d, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::bigint as score
+  from asked join tfs using (t) join weights using (t) join measured using (d) group by 1, 2),
+ranked as (select item, doc_id, score, row_number() over (partition by item order by score desc, doc_id) as rank
+  from scores join measured using (d) where score > 0)
+select item_id, rank::integer as rank, doc_id, score from ranked join items using (item) where rank <= {keep}"""
+
+
 ORACLES = {
     "op2_vector_near_duplicates": vector_near_duplicates(),
     "op3_secret_scan": secret_scan(),
     "op10_jaccard_join": jaccard_join(),
     "op11_merkle_manifest": merkle_manifest(),
+    "op12_ranked_search": ranked_search(),
 }

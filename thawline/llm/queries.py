@@ -10,6 +10,7 @@ from .manifest import op11_merkle_manifest
 from .oracles import ORACLES  # noqa: F401
 from .packing import op5_harmonic_packing
 from .pii import op1_pii_spans
+from .repeats import op13_repeated_passages
 from .search import op12_ranked_search
 from .secrets import op3_secret_scan
 from .setjoin import op10_jaccard_join
@@ -29,4 +30,5 @@ QUERIES = {
     "op10_jaccard_join": lambda spark, d: op10_jaccard_join(documents(spark, d)),
     "op11_merkle_manifest": lambda spark, d: op11_merkle_manifest(documents(spark, d)),
     "op12_ranked_search": lambda spark, d: op12_ranked_search(documents(spark, d), spark.read.parquet(f"{d}/benchmark.parquet")),
+    "op13_repeated_passages": lambda spark, d: op13_repeated_passages(documents(spark, d)),
 }

@@ -57,11 +57,11 @@ def cut(df: DataFrame) -> DataFrame:
         return df.checkpoint()
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Written to the shared folder as Parquet and read again."""
     path = new_folder(df.sparkSession, name)
     with dropping_exchanges(df.sparkSession):
-        df.write.parquet(path)
+        df.write.options(**options).parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

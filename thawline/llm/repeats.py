@@ -26,6 +26,8 @@ LENGTH, PERIOD, COVER = 50, 13, (0, 1, 3, 9)
 SAMPLED = LENGTH - PERIOD + 1
 CHUNK = 1 << 21  # bytes of a chunk, and of the slices a longer text is worked in
 PER_RANGE = 1 << 21  # names of a range, on average
+PARTS = 2  # passages are named in so many parts, a power of two, so that only one part is under way at a time
+SLOTS = 20  # log2 of the table in which a slice finds equal names
 NOBODY = np.int64(2**63 - 1)  # owner of a text without any id: above all ids
 _ODD = np.array([[0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9],
                  [0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB]], np.uint64)
@@ -105,15 +107,18 @@ class Slice:
         self.symbols = symbols(blob[first:last + LENGTH + PERIOD])
 
     def _within(self, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-        doc = np.searchsorted(self.stops, at, "right")
-        whole = at + length <= self.stops[doc] if len(at) else np.zeros(0, bool)
+        """Positions from which `length` bytes lie in one document, and the documents."""
+        doc = np.repeat(np.arange(len(self.stops)), np.diff(np.searchsorted(at, self.stops), prepend=0))
+        at = at[:len(doc)]
+        whole = at + length <= self.stops[doc]
         return at[whole], doc[whole]
 
-    def sample(self, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Sampled positions, their documents and names of `bits` + 32 bits."""
-        at = np.arange(self.first, min(self.last + PERIOD - 1, int(self.stops[-1])))
-        at, doc = self._within(at[np.isin(at % PERIOD, COVER)], SAMPLED)
-        return at, doc, sampled_names(self.symbols, at - self.first) >> np.uint64(32 - bits)
+    def sample(self) -> tuple[np.ndarray, np.ndarray]:
+        """Sampled positions and their names."""
+        a, z = self.first // PERIOD, -(-(self.last + PERIOD) // PERIOD)
+        at = (np.arange(a, z)[:, None] * PERIOD + np.array(COVER)).ravel()
+        at, _ = self._within(at[(at >= self.first) & (at < self.last + PERIOD - 1)], SAMPLED)
+        return at, sampled_names(self.symbols, at - self.first)
 
     def remaining(self, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start positions that have a shared sampled position less than PERIOD ahead, and their documents."""
@@ -135,23 +140,41 @@ def opened(batch: pa.RecordBatch, x: int) -> tuple[np.ndarray, np.ndarray, np.nd
     return (np.frombuffer(data["blob"], np.uint8), np.frombuffer(data["owners"], "<i8"), np.cumsum(np.frombuffer(data["sizes"], "<i8")))
 
 
-def sample_rows(names: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct names in order, and which are in two documents here."""
-    order = np.argsort(names, kind="stable")
-    s, d = names[order], doc[order]
-    new = np.append(True, s[1:] != s[:-1]) if len(s) else np.zeros(0, bool)
-    starts = np.flatnonzero(new)
-    return s[starts], (np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts)) if len(starts) else new
+def leaders(names: np.ndarray) -> np.ndarray:
+    """For each name a place of the same name, the first one unless another name took its slot; equal names need be sent once."""
+    here = np.arange(len(names), dtype=np.int32)
+    slot = (names & np.uint64((1 << SLOTS) - 1)).astype(np.int64)
+    table = np.zeros(1 << SLOTS, np.int32)
+    table[slot[::-1]] = here[::-1]
+    lead = table[slot]
+    return np.where(names[lead] == names, lead, here)
 
 
-def by_range(names: np.ndarray, shift: int):
-    """(range, start, stop) of sorted names; a range is what their bits above `shift` say."""
-    if not len(names):
-        return
-    home = (names >> np.uint64(shift)) if shift < 64 else np.zeros(len(names), np.uint64)
-    cuts = np.flatnonzero(np.append(True, home[1:] != home[:-1]))
-    for a, b in zip(cuts, np.append(cuts[1:], len(names))):
-        yield int(home[a]), int(a), int(b)
+class Sending:
+    """The names of a slice that are sent, in order of their range (the upper `bits` of a name) and then of position."""
+
+    def __init__(self, names: np.ndarray, bits: int):
+        self.lead = leaders(names)
+        own = np.flatnonzero(self.lead == np.arange(len(names)))
+        home = (names[own] >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32) if bits else np.zeros(len(own), np.uint16)
+        order = np.argsort(home, kind="stable")
+        self.places, self.home = own[order], home[order]
+
+    def ranges(self):
+        """(range, start, stop) of what is sent."""
+        cuts = np.flatnonzero(np.diff(self.home, prepend=self.home[:1] + 1)) if len(self.home) else np.empty(0, int)
+        for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(self.home)).tolist()):
+            yield int(self.home[a]), a, b
+
+    def told(self, answers: list[dict] | None, number: int) -> np.ndarray:
+        """The answer to each name of the slice; equal names share it."""
+        got = np.zeros(len(self.places), bool)
+        for a in answers or []:
+            if a["slice"] == number:
+                got[a["first"]:a["first"] + a["n"]] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"])
+        out = np.zeros(len(self.lead), bool)
+        out[self.places] = got
+        return out[self.lead]
 
 
 SENT = "range long, chunk long, slice int, first long, names binary, also binary, owners binary"
@@ -164,52 +187,66 @@ def _sent(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def sampled(chunked: DataFrame, bits: int) -> DataFrame:
-    """The sampled names of each slice by range; `also` marks those in two documents of the slice."""
+    """32 further bits of the sampled names of each slice by range; `also` marks those that the slice has twice."""
     def run(batches):
         for batch in batches:
             for x in range(batch.num_rows):
                 blob, _, stops = opened(batch, x)
                 for s in slices(blob, stops):
-                    _, doc, names = s.sample(bits)
-                    names, several = sample_rows(names, doc)
-                    yield _sent([(r, batch.column("chunk")[x].as_py(), s.number, a, names[a:b].astype("<u4").tobytes(),
-                                  np.packbits(several[a:b]).tobytes(), b"") for r, a, b in by_range(names, 32)])
+                    _, names = s.sample()
+                    out = Sending(names, bits)
+                    twice = np.zeros(len(names), bool)
+                    twice[out.lead[out.lead != np.arange(len(names))]] = True
+                    low, twice = (names[out.places] >> np.uint64(32 - bits)).astype("<u4"), twice[out.places]
+                    yield _sent([(r, batch.column("chunk")[x].as_py(), s.number, a, low[a:b].tobytes(), np.packbits(twice[a:b]).tobytes(), b"")
+                                 for r, a, b in out.ranges()])
 
     return chunked.select("chunk", "blob", "owners", "sizes").mapInArrow(run, SENT)
 
 
-def merged(rows: pa.Table, stopped: bool) -> tuple[np.ndarray, np.ndarray]:
-    """All names of a range in order: (place in the rows one after the other, begins a run of equal names)."""
-    first = np.concatenate([np.frombuffer(v.as_buffer(), "<u8" if stopped else "<u4") for v in rows.column("names")])
-    if not stopped:
-        order = np.argsort(first, kind="stable")
-        return order, np.append(True, first[order][1:] != first[order][:-1])
-    second = np.concatenate([np.frombuffer(v.as_buffer(), "<u4") for v in rows.column("also")])
-    order = np.lexsort([second, first])
-    first, second = first[order], second[order]
-    return order, np.append(True, (first[1:] != first[:-1]) | (second[1:] != second[:-1]))
+def _joined(rows: pa.Table, column: str, kind: str) -> np.ndarray:
+    return np.concatenate([np.frombuffer(v.as_buffer(), kind) for v in rows.column(column)])
 
 
-def answered(sent: DataFrame, stopped: bool) -> DataFrame:
-    """chunk, answers: for each name of a slice whether it repeats, as bits; ranges without any repeat are left out.
+def _owner_runs(owners: np.ndarray) -> bytes:
+    starts = np.flatnonzero(np.diff(owners, prepend=owners[:1] - 1))
+    return np.stack([owners[starts], np.diff(np.append(starts, len(owners)))]).astype("<i8").tobytes()
 
-    A sampled name repeats if two documents have it; a passage (`stopped`) if a smaller document than the slice's has it.
-    """
+
+def _repeating(rows: pa.Table, sizes: list[int]) -> np.ndarray:
+    """Sampled names of a range that two slices have, or one slice twice."""
+    names = _joined(rows, "names", "<u4")
+    keyed = np.sort(names.astype(np.uint64) << np.uint64(32) | np.arange(len(names), dtype=np.uint64))
+    order, names = (keyed & np.uint64(0xFFFFFFFF)).astype(np.int64), keyed >> np.uint64(32)
+    twice = np.concatenate([np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=n) for v, n in zip(rows.column("also"), sizes)])
+    same = names[1:] == names[:-1]
+    out = np.empty(len(names), bool)
+    out[order] = twice[order].astype(bool) | np.append(same, False) | np.append(False, same)
+    return out
+
+
+def _later(rows: pa.Table) -> np.ndarray:
+    """Passages of a range that a smaller document has: the order's neighbours compared."""
+    first, second = _joined(rows, "names", "<u8"), _joined(rows, "also", "<u4")
+    runs = [np.frombuffer(v.as_buffer(), "<i8").reshape(2, -1) for v in rows.column("owners")]
+    owners = np.concatenate([np.repeat(own, n) for own, n in runs])
+    order = np.argsort(first)
+    same = first[order][1:] == first[order][:-1]
+    if (same & (second[order][1:] != second[order][:-1])).any():  # the first 64 bits are not all
+        order = np.lexsort([second, first])
+        same = (first[order][1:] == first[order][:-1]) & (second[order][1:] == second[order][:-1])
+    starts = np.flatnonzero(np.append(True, ~same))
+    least = np.minimum.reduceat(owners[order], starts)
+    out = np.empty(len(first), bool)
+    out[order] = np.repeat(least, np.diff(np.append(starts, len(first)))) < owners[order]
+    return out
+
+
+def answered(sent: DataFrame, passages: bool) -> DataFrame:
+    """For each name of a slice whether it repeats, as bits; ranges of a slice without any repeat are left out."""
     def run(rows: pa.Table) -> pa.Table:
-        sizes = [len(v.as_buffer()) // (8 if stopped else 4) for v in rows.column("names")]
-        order, new = merged(rows, stopped)
-        starts = np.flatnonzero(new)
-        if stopped:
-            owners = np.concatenate([np.frombuffer(v.as_buffer(), "<i8") for v in rows.column("owners")])[order]
-            good = np.repeat(np.minimum.reduceat(owners, starts), np.diff(np.append(starts, len(order)))) < owners
-        else:
-            several = np.concatenate([np.unpackbits(np.frombuffer(v.as_buffer(), np.uint8), count=n)
-                                      for v, n in zip(rows.column("also"), sizes)]).astype(bool)[order]
-            runs = np.diff(np.append(starts, len(order)))
-            good = np.repeat((runs > 1) | np.logical_or.reduceat(several, starts), runs)
-        repeats = np.empty(len(order), bool)
-        repeats[order] = good
-        parts = np.split(repeats, np.cumsum(sizes)[:-1])
+        sizes = [len(v.as_buffer()) // (8 if passages else 4) for v in rows.column("names")]
+        parts = np.split(_later(rows) if passages else _repeating(rows, sizes), np.cumsum(sizes)[:-1])
         kept = [x for x, p in enumerate(parts) if p.any()]
         out = rows.select(["chunk", "slice", "first"]).take(pa.array(kept, pa.int64()))
         return (out.append_column("n", pa.array([len(parts[x]) for x in kept], pa.int32()))
@@ -223,61 +260,54 @@ def by_chunk(answers: DataFrame, name: str) -> DataFrame:
     return answers.groupBy("chunk").agg(F.collect_list(F.struct("slice", "first", "n", "bits")).alias(name))
 
 
-def told(answers: list[dict] | None, size: int, number: int) -> np.ndarray:
-    """The bits of a slice's names."""
-    out = np.zeros(size, bool)
-    for a in answers or []:
-        if a["slice"] == number:
-            out[a["first"]:a["first"] + a["n"]] = np.unpackbits(np.frombuffer(a["bits"], np.uint8), count=a["n"])
-    return out
-
-
-def candidates(s: Slice, bits: int, answers: list[dict] | None):
-    """(positions, documents, names, distinct names' first places, home of each position's name) of the remaining suffixes."""
-    at, doc, names = s.sample(bits)
-    distinct, _ = sample_rows(names, doc)
-    shared = told(answers, len(distinct), s.number)
-    at = at[shared[np.searchsorted(distinct, names)]] if len(at) else at
-    at, doc = s.remaining(at)
+def candidates(s: Slice, bits: int, ranges: int, answers: list[dict] | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, Sending]:
+    """Positions, documents and names of the remaining suffixes of a slice, and which of them are sent."""
+    at, names = s.sample()
+    out = Sending(names, bits)
+    shared = out.told(answers, s.number) | (out.lead != np.arange(len(names)))
+    at, doc = s.remaining(at[shared])
     names = passage_names(s.symbols, at - s.first, 0)
-    distinct, places, home = np.unique(names, return_index=True, return_inverse=True)
-    return at, doc, distinct, places, home
+    return at, doc, names, Sending(names, ranges)
 
 
-def remaining(chunked: DataFrame, bits: int, ranges: int) -> DataFrame:
-    """Names of the remaining suffixes of each slice by range, with the smallest document of the slice that has each."""
+def remaining(chunked: DataFrame, bits: int, ranges: int, part: int) -> DataFrame:
+    """Names of the remaining suffixes of each slice by range, with their documents; of one part of the ranges."""
     def run(batches):
         for batch in batches:
             for x in range(batch.num_rows):
                 blob, owners, stops = opened(batch, x)
                 answers = batch.column("shared")[x].as_py()
                 for s in slices(blob, stops):
-                    at, doc, names, places, _ = candidates(s, bits, answers)
-                    also = passage_names(s.symbols, at[places] - s.first, 1).astype("<u4")
-                    own = owners[doc[places]].astype("<i8")
-                    yield _sent([(r, batch.column("chunk")[x].as_py(), s.number, a, names[a:b].astype("<u8").tobytes(),
-                                  also[a:b].tobytes(), own[a:b].tobytes()) for r, a, b in by_range(names, 64 - ranges)])
+                    at, doc, names, out = candidates(s, bits, ranges, answers)
+                    rows = []
+                    for r, a, b in out.ranges():
+                        if r % PARTS == part:
+                            own = out.places[a:b]
+                            rows.append((r, batch.column("chunk")[x].as_py(), s.number, a, names[own].astype("<u8").tobytes(),
+                                         passage_names(s.symbols, at[own] - s.first, 1).astype("<u4").tobytes(), _owner_runs(owners[doc[own]])))
+                    yield _sent(rows)
 
     return chunked.select("chunk", "blob", "owners", "sizes", "shared").mapInArrow(run, SENT)
 
 
-def cleaned(chunked: DataFrame, bits: int) -> DataFrame:
-    """text_id, owner, n_removed, n_spans, kept_sha256 of each distinct text."""
+def cleaned(chunked: DataFrame, bits: int, ranges: int) -> DataFrame:
+    """text_id, owner, n_removed, n_spans, kept_sha256 (null: nothing goes) of each distinct text."""
     def run(batches):
         for batch in batches:
             for x in range(batch.num_rows):
                 blob, owners, stops = opened(batch, x)
                 shared, repeats = (batch.column(c)[x].as_py() for c in ("shared", "repeats"))
                 edges = np.zeros(len(blob) + 1, np.int32)
-                for s in slices(blob, stops) if shared else ():
-                    at, doc, names, places, home = candidates(s, bits, shared)
-                    goes = told(repeats, len(names), s.number)[home] | (owners[doc] > owners[doc[places]][home])
-                    np.add.at(edges, at[goes], 1)
-                    np.add.at(edges, at[goes] + LENGTH, -1)
+                for s in slices(blob, stops):
+                    at, doc, _, out = candidates(s, bits, ranges, shared)
+                    goes = at[out.told(repeats, s.number) | (owners[doc] > owners[doc[out.lead]])]
+                    edges[goes] += 1
+                    edges[goes + LENGTH] -= 1
                 gone = np.cumsum(edges[:-1]) > 0
                 starts = np.append(0, stops[:-1])
+                held = starts[starts < len(blob)]
                 begins = gone & ~np.append(False, gone[:-1])
-                begins[starts[starts < len(blob)]] = gone[starts[starts < len(blob)]]
+                begins[held] = gone[held]
                 sums = [np.append(0, np.cumsum(v))[stops] - np.append(0, np.cumsum(v))[starts] for v in (gone, begins)]
                 kept = [hashlib.sha256(blob[a:b][~gone[a:b]].tobytes()).hexdigest() if k else None
                         for a, b, k in zip(starts.tolist(), stops.tolist(), sums[0].tolist())]
@@ -289,18 +319,25 @@ def cleaned(chunked: DataFrame, bits: int) -> DataFrame:
     return chunked.mapInArrow(run, "text_id binary, owner long, n_removed long, n_spans long, kept string")
 
 
+def range_bits(names: int) -> int:
+    return min(24, (names // PER_RANGE).bit_length())
+
+
 def removed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row of `docs` (doc_id, text)."""
-    chunked = stored(chunks(docs), "repeat-chunks")
-    size = chunked.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    bits = min(24, max(0, (size * len(COVER) // PERIOD // PER_RANGE).bit_length()))
+    chunked = stored(chunks(docs), "repeat-chunks", compression="zstd")
+    bits = range_bits(chunked.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0] * len(COVER) // PERIOD)
     answers = stored(answered(sampled(chunked, bits), False), "repeat-sample")
     shared = answers.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0]
-    ranges = min(24, max(0, (shared * PERIOD // len(COVER) // PER_RANGE).bit_length()))
-    known = chunked.join(by_chunk(answers, "shared"), "chunk")
-    repeats = stored(answered(remaining(known, bits, ranges), True), "repeat-passages")
-    known = chunked.join(by_chunk(answers, "shared"), "chunk", "left").join(by_chunk(repeats, "repeats"), "chunk", "left")
-    per_text = stored(cleaned(known.select("texts", "owners", "sizes", "blob", "shared", "repeats"), bits), "repeat-texts")
+    ranges = max(PARTS.bit_length() - 1, range_bits(shared * PERIOD // len(COVER)))
+    per_chunk = stored(by_chunk(answers, "shared"), "repeat-shared")
+    known = chunked.join(per_chunk, "chunk", "left")
+    repeats = None
+    for part in range(PARTS):
+        found = stored(answered(remaining(known, bits, ranges, part), True), "repeat-passages")
+        repeats = found if repeats is None else repeats.unionByName(found)
+    known = known.join(by_chunk(repeats, "repeats"), "chunk", "left")
+    per_text = stored(cleaned(known.select("texts", "owners", "sizes", "blob", "shared", "repeats"), bits, ranges), "repeat-texts")
     rows = docs.select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").cast("long").alias("n_bytes"))
     rows = rows.withColumn("text_id", F.unhex("sha")).join(per_text, "text_id")
     copy = (owner_of(F.col("doc_id")) > F.col("owner")) & (F.col("n_bytes") >= LENGTH)

@@ -2,7 +2,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 import numpy as np
 
@@ -110,3 +113,83 @@ def secret_base(text):
 
 def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
+
+
+def _levels(nodes):
+    out = [list(nodes)]
+    while len(out[-1]) > 1:
+        last = out[-1]
+        out.append([sha("".join(last[i:i + 3])) for i in range(0, len(last), 3)])
+    return out
+
+
+def _siblings(levels, pos):
+    for level in levels[:-1]:
+        run = pos // 3 * 3
+        yield "".join(level[run:pos]), "".join(level[pos + 1:run + 3])
+        pos //= 3
+
+
+def manifest(rows):
+    """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified) of (doc_id, source, lang, n_chars, text) rows."""
+    def leaf(row):
+        return sha("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+    by = {}
+    for row in rows:
+        by.setdefault(row[1], []).append((row[0] is not None, row[0] or 0, leaf(row), row))
+    order = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {s: _levels([x[2] for x in sorted(by[s], key=lambda x: x[:3])]) for s in order}
+    top = _levels([trees[s][-1][0] for s in order])
+    out = []
+    for place, s in enumerate(order):
+        for pos, (_, _, h, row) in enumerate(sorted(by[s], key=lambda x: x[:3])):
+            path = [*_siblings(trees[s], pos), *_siblings(top, place)]
+            folded = h
+            if row[0] is not None and zlib.crc32(str(row[0]).encode()) % 2 == 0 and row[4] is not None:
+                folded = leaf((*row[:4], row[4].replace("\n", "")))
+            for a, b in path:
+                folded = sha(a + folded + b)
+            out.append((row[0], h, trees[s][-1][0], top[-1][0], sha("".join(a + b for a, b in path)), folded, folded == top[-1][0]))
+    return out
+
+
+def terms(text):
+    return re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+
+
+def ranked(docs, items, keep=10):
+    """(item_id, rank, doc_id, score) of each item by scoring every document."""
+    counts = [(i, Counter(terms(t))) for i, t in docs]
+    counts = [(i, c) for i, c in counts if c]
+    n_docs, n_terms = len(counts), sum(sum(c.values()) for _, c in counts)
+    df = Counter(t for _, c in counts for t in c)
+    out = []
+    for item, text in items:
+        scores = []
+        for i, c in counts:
+            m = 10 + 90 * sum(c.values()) * n_docs // n_terms
+            score = sum(math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df[t] + 1))) * (1000000000 * c[t] // (1000 * c[t] + 8 * m))
+                        for t in set(terms(text)) if c[t])
+            if score:
+                scores.append((-score, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(scores)[:keep], 1)]
+    return out
+
+
+def without_repeats(rows, length=50):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) by a table of all strings of `length` bytes."""
+    data, least = [((i is None, i or 0), i, (t or "").encode()) for i, t in rows], {}
+    for key, _, b in data:
+        for k in range(len(b) - length + 1):
+            w = b[k:k + length]
+            least[w] = min(least.get(w, key), key)
+    out = []
+    for key, i, b in data:
+        gone = bytearray(len(b))
+        for k in range(len(b) - length + 1):
+            if least[b[k:k + length]] < key:
+                gone[k:k + length] = b"\1" * length
+        spans = sum(1 for k in range(len(b)) if gone[k] and not (k and gone[k - 1]))
+        out.append((i, len(b), sum(gone), spans, hashlib.sha256(bytes(c for c, g in zip(b, gone) if not g)).hexdigest()))
+    return out

@@ -25,6 +25,10 @@ ROWS = [
 ]
 
 
+ITEMS = [(1, "Hello, token item7 WORD5 word5"), (1, "Hello, token item7 WORD5 word5"), (2, None), (3, ""), (4, "nothing of this"),
+         (None, "cc by"), (5, "日本語 ΑΣ 4111"), (6, "item1 item2 tail")]
+
+
 @pytest.fixture(scope="module")
 def awkward(spark):
     """Nulls, empty and long texts, repeated rows, and columns named like those the operators make."""
@@ -42,6 +46,8 @@ def table(spark, folder, df, name="documents"):
 @pytest.fixture(scope="module")
 def results(spark, awkward, tmp_path_factory):
     folder, done = table(spark, tmp_path_factory.mktemp("awkward"), awkward), {}
+    items = spark.createDataFrame([(i, t, 1.0, 2) for i, t in ITEMS], "item_id long, text string, score double, rank int")
+    table(spark, folder, items, "benchmark")
 
     def of(op):
         if op not in done:
@@ -54,7 +60,7 @@ def texts(rows=ROWS):
     return {i: t or "" for i, t in rows}
 
 
-@pytest.mark.parametrize("op", [o for o in OPS if o not in ("op2", "op5")])
+@pytest.mark.parametrize("op", [o for o in OPS if o not in ("op2", "op5", "op12")])
 def test_a_row_for_each_row(results, op):
     assert sorted(r.doc_id or 0 for r in results(op)) == sorted(i or 0 for i, _ in ROWS)
 
@@ -65,6 +71,7 @@ def test_empty_table(spark, awkward, tmp_path, op):
         df, name = spark.createDataFrame([], "vec_id long, embedding array<float>, label int"), "embeddings"
     else:
         df, name = awkward.limit(0), "documents"
+        table(spark, tmp_path, spark.createDataFrame([(1, "hello")], "item_id long, text string"), "benchmark")
     assert OPS[op](spark, table(spark, tmp_path, df, name)).collect() == []
 
 
@@ -395,3 +402,81 @@ def test_vector_edges(spark):
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dups.op2_vector_near_duplicates(df).collect()}
     assert all(got[i] == (3, 1, i == 1) for i in (1, 2, 3, 12))
     assert all(got[i] == (0, i, True) for i in range(4, 12))
+
+
+def test_manifest(results):
+    fields = [(i, None, "en" if t and i and i % 2 else None, 7, t) for i, t in ROWS]
+    assert sorted(map(repr, (tuple(r) for r in results("op11")))) == sorted(map(repr, brute.manifest(fields)))
+
+
+@pytest.mark.parametrize("sizes", [[1], [3, 1, 4], [243, 244, 1], [800, 2, 9, 730], [1] * 30])
+def test_manifest_of_many_sources(spark, sizes):
+    """Blocks that are full, short or single, and sources whose names sort around the null one."""
+    rows = [(n * 1000 + i, None if n == 1 else f"s{n}" if n else "", "en", i, f"a\nb {i}") for n, k in enumerate(sizes) for i in range(k)]
+    from thawline.llm.manifest import op11_merkle_manifest
+    docs = spark.createDataFrame(rows, "doc_id long, source string, lang string, n_chars long, text string").repartition(4)
+    got = op11_merkle_manifest(docs).collect()
+    assert sorted(map(tuple, got)) == sorted(brute.manifest(rows)) and (len(rows) < 100 or {r.verified for r in got} == {True, False})
+
+
+def test_search(results):
+    want = brute.ranked(ROWS, ITEMS)
+    assert sorted(map(repr, (tuple(r) for r in results("op12")))) == sorted(map(repr, want)) and len(want) > 20
+
+
+@pytest.mark.parametrize("entries", [1, 40, 1 << 20])
+def test_tree_finds_the_best(entries):
+    """Random vectors with many ties, in trees of any size."""
+    from thawline.llm.search import Tree, gain
+    rng = np.random.default_rng(entries)
+    weights, best, want = rng.integers(0, 4000, 12).astype(np.int64), [], []
+    asked = rng.random(12) < 0.5
+    docs = []
+    for i in rng.permutation(300).tolist():
+        t = np.flatnonzero(rng.random(12) < 0.3)
+        if len(t):
+            docs.append(((t, rng.integers(1, 4, len(t)).astype(np.int64)), int(rng.integers(10, 13)), i))
+    for a in range(0, len(docs), entries):
+        best = Tree(*map(list, zip(*docs[a:a + entries])), weights, 10).search(asked, best, 10)
+    for (t, f), m, i in docs:
+        want.append((-int((gain(weights[t], f, np.int64(m)) * asked[t]).sum()), i))
+    assert best == [(-s, i) for s, i in sorted(w for w in want if w[0])[:10]]
+
+
+def test_terms_of_a_text_longer_than_a_slice(monkeypatch):
+    from thawline.llm import search
+    text = " ".join(f"Word{i}," for i in range(300)) + "x" * 90 + " é." + "y" * 200
+    whole = [w for part in search.terms_of(text) for w in part]
+    monkeypatch.setattr(search, "SLICE", 50)
+    assert [w for part in search.terms_of(text) for w in part] == whole == [w.encode() for w in brute.terms(text)]
+
+
+def test_repeats(results):
+    assert sorted(map(repr, (tuple(r) for r in results("op13")))) == sorted(map(repr, brute.without_repeats(ROWS)))
+
+
+def test_repeats_in_documents(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    assert sorted(map(tuple, OPS["op13"](spark, SF).collect())) == sorted(brute.without_repeats(rows))
+
+
+def test_repeats_across_slices_and_at_edges(spark):
+    """A passage over the border of two slices goes, from the long text or from the short one; 49 bytes stay."""
+    from thawline.llm.repeats import CHUNK, op13_repeated_passages
+    long = "".join(f"{i:07d}" for i in range(CHUNK // 7 + 5000))
+    part = long[CHUNK - 90:CHUNK + 110]
+    rows = [(5, long), (9, part), (2, "ä" * 25 + "x" + long[70:119]), (7, long[700:750]), (8, long[900:949] + "!"), (6, "ä" * 25 + "y")]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in op13_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: (len(long), 0, 0), 9: (200, 200, 1), 2: (100, 0, 0), 7: (50, 50, 1), 8: (50, 0, 0), 6: (51, 50, 1)}
+    got = {r.doc_id: r.n_removed for r in op13_repeated_passages(spark.createDataFrame([(1, part), (2, long)], "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 200}
+
+
+def test_passages_of_equal_first_names():
+    """Where the first 64 bits of two passages agree the others decide."""
+    import pyarrow as pa
+
+    from thawline.llm.repeats import _later, _owner_runs
+    names, also = np.array([7, 7, 7, 9], "<u8"), np.array([1, 2, 1, 1], "<u4")
+    rows = pa.table({"names": [names.tobytes()], "also": [also.tobytes()], "owners": [_owner_runs(np.array([3, 4, 4, 4]))]})
+    assert _later(rows).tolist() == [False, False, True, False]

@@ -30,7 +30,7 @@ def terms_of(text: str | None) -> Iterator[list[bytes]]:
     b = (text or "").encode("utf-8", "replace").translate(_TABLE)
     at = 0
     while len(b) - at > SLICE:
-        stop = b.rfind(b" ", at, at + SLICE)
+        stop = b.rfind(b" ", at + 1, at + SLICE)  # the slice may begin with a break
         stop = b.find(b" ", at + SLICE) if stop < 0 else stop  # a term longer than a slice
         if stop < 0:
             break

@@ -42,7 +42,7 @@ def test_defaults(spark, monkeypatch, home, name, run):
 
 def test_climate_and_map_defaults(spark, monkeypatch):
     _, given = design_of(monkeypatch, q_models, "climate_variables", lambda: q_models.climate_variables_q(spark, SF))
-    assert set(given["forest"]) <= {"parallelism"}
+    assert not given.get("forest")
     _, given = design_of(monkeypatch, q_grid, "map_responses", lambda: q_grid.map_responses_q(spark, SF))
     assert not given.get("fit")
 

@@ -1,15 +1,16 @@
 """Missing days: matrices, forest completion, hold-out design, error tables."""
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
-from pyspark.sql import DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from thawline.functions import if_known, strict_mean
 from thawline.operators.daily import MEASURES, usable
+from thawline.operators.forest import BINS, BLOCK, BLOCK_ROWS, CELLS, Block, Spec, Trees, binned, grown, mixed, scores
 from thawline.operators.tabular import distinct_values, error_metrics, hash_sample, lengthen, widen
 from thawline.sources import cut_lineage
 
@@ -19,72 +20,179 @@ def impute_matrix(days: DataFrame, measure: str, stage: str = "impute", sites: l
     return widen(usable(days, measure, stage), ["date"], "site", "value", sites)
 
 
-def _fit(data: DataFrame, target: str, features: list[str], trees: int, depth: int, seed: int):
-    forest = RandomForestRegressor(featuresCol="_x", labelCol=target, numTrees=trees, maxDepth=depth, seed=seed,
-                                   featureSubsetStrategy="sqrt", minInstancesPerNode=5)
-    return forest.fit(VectorAssembler(inputCols=features, outputCol="_x").transform(data).select("_x", target))
+@dataclass
+class Matrix:
+    """The sites of a run in order, their cuts, means, variances and known days, and the run's days."""
+    sites: list[str]
+    edges: list[np.ndarray]
+    mean: np.ndarray
+    spread: np.ndarray
+    known: np.ndarray
+    days: tuple[int, int, int]  # first, last, number
 
 
-def impute_forest(wide: DataFrame, trees: int = 100, max_sweeps: int = 10, depth: int = 12, seed: int = 1,
-                  parallelism: int = 4, report_error: bool = True) -> tuple[DataFrame, DataFrame | None]:
-    """Complete a dates x sites matrix with one random forest per site column.
-
-    Unknown cells start at the column mean. A sweep fits every column on its known
-    rows from the other columns, the date and the day of year, all from the previous
-    sweep, so a sweep's fits are independent jobs. Sweeps stop when the change grows
-    or after `max_sweeps`. The error table holds the normalised error on a tenth of
-    each column's known cells that its forest did not see.
+def _matrices(cells: DataFrame) -> dict[int, Matrix]:
+    """One row per run and site reaches the driver. A site without any known day has no prediction and no column."""
+    shares = [i / BINS for i in range(1, BINS)]
+    stats = cells.groupBy("run", "site").agg(F.avg("value").alias("m"), F.variance("value").alias("v"), F.count("value").alias("n"),
+                                             F.percentile_approx("value", shares, 10_000).alias("q")).filter("n > 0")
+    days = {r.run: (r.a, r.b, r.n) for r in cells.groupBy("run").agg(F.min("day").alias("a"), F.max("day").alias("b"), F.count_distinct("day").alias("n")).collect()}
+    by: dict[int, list] = {}
+    for r in stats.collect():
+        by.setdefault(r.run, []).append(r)
+    out = {}
+    for run, rows in by.items():
+        rows.sort(key=lambda r: r.site)
+        first, last, _ = days[run]
+        edges = [np.unique(r.q) for r in rows]
+        edges += [np.unique(np.linspace(first, last, BINS + 1)[1:-1]), np.linspace(1, 366, BINS + 1)[1:-1]]
+        out[run] = Matrix([r.site for r in rows], edges, np.array([r.m for r in rows]), np.array([r.v if r.v is not None else np.nan for r in rows]),
+                          np.array([r.n for r in rows]), days[run])
+    return out
+
+
+def _predictors(filled: np.ndarray, days: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
+    dates = days.astype("datetime64[D]")
+    of_year = (dates - dates.astype("datetime64[Y]")).astype(int) + 1
+    return binned(np.column_stack([filled, days, of_year]), edges)
+
+
+def _blocks(cells: DataFrame, matrices: dict[int, Matrix], seeds: dict[int, int]) -> DataFrame:
+    """Blocks of days: all sites' known values as responses, all sites' filled values, binned, as predictors."""
+    widest = max(len(m.sites) for m in matrices.values())
+    span = max(64, min(BLOCK_ROWS, CELLS // widest))
+    place = {run: {s: i for i, s in enumerate(m.sites)} for run, m in matrices.items()}
+    rows = cells.filter(F.col("run").isin(list(matrices))).withColumn("part", F.floor(F.col("day") / span))
+
+    def pack(key, table):
+        run = key[0].as_py()
+        m = matrices[run]
+        days, row = np.unique(table["day"].to_numpy(), return_inverse=True)
+        col = np.array([place[run].get(s, -1) for s in table["site"].to_pylist()])
+        value = table["value"].to_numpy(zero_copy_only=False).astype(float)
+        y = np.full((len(days), len(m.sites)), np.nan)
+        good = (col >= 0) & ~np.isnan(value)
+        y[row[good], col[good]] = value[good]
+        filled = np.where(np.isnan(y), m.mean, y)
+        keys = mixed(days.astype(np.int64).view(np.uint64) + np.uint64(seeds[run] << 24))
+        folds = (keys >> np.uint64(40)).astype(np.int64) % 10
+        block = Block(run, _predictors(filled, days, m.edges), y, folds.astype(np.uint8), keys, days.astype("<i4").tobytes() + filled.tobytes())
+        return pa.Table.from_batches([block.batch()])
+
+    return cut_lineage(rows.groupBy("run", "part").applyInArrow(pack, BLOCK))
+
+
+def _opened(block: Block) -> tuple[np.ndarray, np.ndarray]:
+    """(days, filled values) of a block."""
+    n = len(block.keys)
+    return np.frombuffer(block.more, "<i4", n), np.frombuffer(block.more, np.float64, offset=4 * n).reshape(block.y.shape)
+
+
+def _swept(blocks: DataFrame, specs: list[Spec], forests: list[Trees], matrices: dict[int, Matrix]) -> DataFrame:
+    """The blocks with unknown cells predicted anew, and how far they moved."""
+    by: dict[int, list] = {}
+    for s, t in zip(specs, forests):
+        by.setdefault(s.run, []).append((s, t))
+
+    def run(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block.of(batch, i)
+                days, old = _opened(block)
+                new, moved, size = old.copy(), 0.0, 0.0
+                for s, t in by.get(block.run, ()):
+                    gaps = np.flatnonzero(np.isnan(block.y[:, s.target]))
+                    if len(gaps):
+                        new[gaps, s.target] = t.predict(block.x[gaps], s.trees)
+                    moved += ((new[:, s.target] - old[:, s.target]) ** 2).sum()
+                    size += (new[:, s.target] ** 2).sum()
+                block.x, block.more = _predictors(new, days, matrices[block.run].edges), days.tobytes() + new.tobytes()
+                out = block.batch()
+                yield out.append_column("moved", pa.array([moved])).append_column("size", pa.array([size]))
+
+    return cut_lineage(blocks.mapInArrow(run, f"{BLOCK}, moved double, size double"))
+
+
+def complete_cells(cells: DataFrame, trees: int = 100, max_sweeps: int = 10, depth: int = 12, seeds: dict[int, int] | None = None,
+                   report_error: bool = False) -> tuple[DataFrame, DataFrame | None]:
+    """Complete the dates x sites matrix of every run: (run, date, site, value); all runs and sites in one pass per sweep.
+
+    `cells` has run, date, site, value (null: unknown). Unknown cells start at the site's mean. A sweep fits every
+    site on its known days from the other sites, the date and the day of year, all from the sweep before. A run stops when
+    its change grows, with the state before, or after `max_sweeps`. The error table (run, site, nrmse) holds the normalised
+    error on the tenth of the known days that a site's forest did not see.
     """
-    sites = [c for c in wide.columns if c != "date"]
-    counts = wide.agg(*[F.count(f"`{s}`").alias(f"n{i}") for i, s in enumerate(sites)]).first()
-    sites = [s for s, n in zip(sites, counts) if n]  # a site without any known day has no prediction
-    known = [f"_k{i}" for i in range(len(sites))]
-    cols = [f"_c{i}" for i in range(len(sites))]
-    base = wide.select("date", F.datediff("date", F.lit("1970-01-01").cast("date")).cast("double").alias("_id"),
-                       F.dayofyear("date").cast("double").alias("_doy"),
-                       *[F.col(f"`{s}`").cast("double").alias(k) for s, k in zip(sites, known)])
-    base = cut_lineage(base)
-    stats = base.agg(*[F.avg(k).alias(k) for k in known], *[F.count(k).alias(f"n{k}") for k in known],
-                     F.count(F.lit(1)).alias("rows")).first()
-    gaps = [i for i, k in enumerate(known) if stats[f"n{k}"] < stats["rows"]]
-    state = base.withColumns({c: F.coalesce(k, F.lit(stats[k])) for c, k in zip(cols, known)})
-    others = {i: ["_id", "_doy", *[c for j, c in enumerate(cols) if j != i]] for i in range(len(cols))}
-
-    def completed(data: DataFrame, train: DataFrame, which: list[int], sweep: int) -> DataFrame:
-        def one(i):
-            return _fit(train.filter(F.col(known[i]).isNotNull()), known[i], others[i], trees, depth, seed + 1000 * sweep + i)
-        with ThreadPoolExecutor(parallelism) as pool:
-            models = list(pool.map(one, which))
-        out = data
-        for i, model in zip(which, models):
-            model.setFeaturesCol(f"_x{i}").setPredictionCol(f"_p{i}")
-            out = VectorAssembler(inputCols=others[i], outputCol=f"_x{i}").transform(out)
-            out = model.transform(out).drop(f"_x{i}")
+    spark = cells.sparkSession
+    kind = cells.schema["site"].dataType.simpleString()
+    cells = cut_lineage(cells.select("run", F.unix_date("date").alias("day"), "site", F.col("value").cast("double").alias("value")))
+    matrices = _matrices(cells)
+    no_error = spark.createDataFrame([], f"run int, site {kind}, nrmse double")
+    if not matrices:
+        return spark.createDataFrame([], f"run int, date date, site {kind}, value double"), no_error if report_error else None
+    seeds = {run: (seeds or {}).get(run, 1) for run in matrices}
+    state = _blocks(cells, matrices, seeds)
+
+    def specs_of(runs, sweep, fold=-1):
+        out = []
+        for run in runs:
+            m = matrices[run]
+            p = len(m.sites) + 2
+            out += [Spec(p, round((p - 1) ** 0.5), 5, trees, seeds[run] + 1000 * sweep + i, run, i, 0, fold, i)
+                    for i in range(len(m.sites)) if m.known[i] < m.days[2]]
         return out
 
-    best_change = None
-    for sweep in range(max_sweeps if gaps else 0):
-        new = completed(state, state, gaps, sweep)
-        updated = cut_lineage(new.select(
-            "date", "_id", "_doy", *known, *[F.col(c).alias(f"_o{c}") for c in cols],
-            *[(F.coalesce(known[i], F.col(f"_p{i}")) if i in gaps else F.col(c)).alias(c) for i, c in enumerate(cols)]))
-        moved = reduce(lambda a, b: a + b, [(F.col(cols[i]) - F.col(f"_o{cols[i]}")) ** 2 for i in gaps])
-        size = reduce(lambda a, b: a + b, [F.col(cols[i]) ** 2 for i in gaps])
-        change = updated.agg((F.sum(moved) / F.sum(size)).alias("c")).first()["c"]
-        if best_change is not None and change > best_change:
-            break  # keep the previous sweep's state
-        best_change, state = change, updated.select("date", "_id", "_doy", *known, *cols)
-    filled = state.select("date", *[F.col(c).alias(s) for c, s in zip(cols, sites)])
-    if not report_error or not gaps:
+    active = [run for run, m in matrices.items() if (m.known < m.days[2]).any()]
+    gappy, least = list(active), {}
+    done = [state.filter(~F.col("run").isin(active))] if len(active) < len(matrices) else []
+    for sweep in range(max_sweeps):
+        if not active:
+            break
+        specs = specs_of(active, sweep)
+        new = _swept(state, specs, grown(state, specs, depth), matrices)
+        change = {r.run: r.c for r in new.groupBy("run").agg(F.try_divide(F.sum("moved"), F.sum("size")).alias("c")).collect()}
+        grew = [run for run in active if run in least and (change[run] or 0.0) > least[run]]
+        if grew:
+            done.append(state.filter(F.col("run").isin(grew)))
+        active = [run for run in active if run not in grew]
+        least |= {run: change[run] or 0.0 for run in active}
+        state = new.filter(F.col("run").isin(active)).drop("moved", "size") if grew else new.drop("moved", "size")
+    if active:
+        done.append(state.filter(F.col("run").isin(active)))
+    final = cut_lineage(reduce(DataFrame.unionByName, done))
+
+    def told(batches):
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block = Block.of(batch, i)
+                days, filled = _opened(block)
+                sites = matrices[block.run].sites
+                n = len(days) * len(sites)
+                yield pa.record_batch({"run": pa.array(np.full(n, block.run), pa.int32()), "day": pa.array(np.repeat(days, len(sites)), pa.int32()),
+                                       "site": pa.array(sites * len(days)), "value": pa.array(filled.ravel())})
+
+    filled = final.mapInArrow(told, f"run int, day int, site {kind}, value double").select("run", F.date_from_unix_date("day").alias("date"), "site", "value")
+    if not report_error:
         return filled, None
-    fold = F.pmod(F.xxhash64("date", F.lit(seed)), F.lit(10))
-    held = completed(state.filter(fold == 0), state.filter(fold != 0), gaps, max_sweeps)
-    squares = held.select(*[((F.col(f"_p{i}") - F.col(known[i])) ** 2).alias(sites[i]) for i in gaps])
-    spread = dict(zip([sites[i] for i in gaps], base.agg(*[F.variance(known[i]) for i in gaps]).first()))
-    errors = squares.agg(*[F.avg(f"`{sites[i]}`").alias(sites[i]) for i in gaps])
-    error = lengthen(errors, [], [sites[i] for i in gaps], "site", "mse")
-    var = F.element_at(F.create_map(*[F.lit(v) for kv in spread.items() for v in kv]), F.col("site"))
-    return filled, error.select("site", F.sqrt(F.try_divide("mse", var)).alias("nrmse"))
+    specs = specs_of(gappy, max_sweeps, 0)
+    if not specs:
+        return filled, no_error
+    part = final.filter(F.col("run").isin(gappy))
+    found = scores(part, specs, grown(part, specs, depth))
+    rows = []
+    for s, r in zip(specs, found):
+        v = matrices[s.run].spread[s.target]
+        rows.append((s.run, matrices[s.run].sites[s.target], r["RMSE"] / float(v) ** 0.5 if r["RMSE"] is not None and v > 0 else None))
+    return filled, spark.createDataFrame(rows, f"run int, site {kind}, nrmse double")
+
+
+def impute_forest(wide: DataFrame, trees: int = 100, max_sweeps: int = 10, depth: int = 12, seed: int = 1,
+                  report_error: bool = True) -> tuple[DataFrame, DataFrame | None]:
+    """`complete_cells` for one matrix of dates x sites: (matrix, error by site)."""
+    sites = [c for c in wide.columns if c != "date"]
+    filled, error = complete_cells(lengthen(wide, ["date"], sites, "site", "value").withColumn("run", F.lit(0)), trees, max_sweeps, depth, {0: seed}, report_error)
+    matrix = widen(filled, ["date"], "site", "value", None)
+    kept = set(matrix.columns)
+    return matrix.select("date", *[F.col(f"`{s}`") for s in sites if s in kept]), error.select("site", "nrmse") if error is not None and error.take(1) else None
 
 
 def combine_imputed(matrices: dict[str, DataFrame]) -> DataFrame:
@@ -97,6 +205,28 @@ def combine_imputed(matrices: dict[str, DataFrame]) -> DataFrame:
     return wide
 
 
+def combine_cells(cells: DataFrame, measures: list[str]) -> DataFrame:
+    """`combine_imputed` of cells (run: place in `measures`, date, site, value) without a matrix: one pivot over the measures."""
+    wide = cells.groupBy("date", "site").pivot("run", list(range(len(measures)))).agg(F.first("value", ignorenulls=True))
+    wide = wide.select("date", "site", *[F.col(str(i)).alias(m) for i, m in enumerate(measures)])
+    if "moist_mean" in measures:
+        wide = wide.withColumnRenamed("moist_mean", "moist").withColumn(
+            "moist", if_known(F.col("T1_mean") < 1, F.lit(None).cast("double"), F.col("moist")))
+    return wide
+
+
+def measured_cells(days: DataFrame, measures: list[str]) -> DataFrame:
+    """(run, date, site, value) of the usable days of each measure; `run` is its place."""
+    return reduce(DataFrame.unionByName, [usable(days, m).select(F.lit(i).alias("run"), "date", "site", "value") for i, m in enumerate(measures)])
+
+
+def dense_cells(cells: DataFrame) -> DataFrame:
+    """Every date of a run with every site of the run; an absent cell is unknown."""
+    cells = cut_lineage(cells)
+    keys = cells.select("run", "date").distinct().join(cells.select("run", "site").distinct(), "run")  # the cells of the matrix
+    return keys.join(cells, ["run", "date", "site"], "left")
+
+
 def _with_month(df: DataFrame) -> DataFrame:
     return df.withColumns({"month": F.month("date"), "year": F.year("date")})
 
@@ -118,19 +248,26 @@ def stack_errors(parts: dict[str, DataFrame]) -> DataFrame:
 
 
 def impute_cv(days: DataFrame, measures: tuple[str, ...] = tuple(MEASURES), rounds: int = 10, n: int = 20, **forest) -> DataFrame:
-    """Hide n site-months per round, impute them, and return predictions beside the truth."""
-    parts = {}
-    for m in measures:
-        done = []
-        for i in range(rounds):
-            train, test = holdout(days, m, n, seed=i)
-            matrix = widen(train, ["date"], "site", "value", None)  # columns of the training rows only
-            full, _ = impute_forest(matrix, seed=i, report_error=False, **forest)
-            guess = lengthen(full, ["date"], None, "site", "imp")
-            done.append(test.withColumnRenamed("value", "ori").join(guess, ["date", "site"])
-                        .select("date", "site", "month", "year", "imp", "ori").na.drop())
-        parts[m] = reduce(DataFrame.unionByName, done)
-    return stack_errors(parts)
+    """Hide n site-months per round, impute them, and return predictions beside the truth; all measures and rounds at once.
+
+    The hidden months of a round are those of `holdout` with the round as seed.
+    """
+    keys = ["site", "year", "month"]
+    rows = reduce(DataFrame.unionByName, [_with_month(usable(days, m)).select("date", "value", *keys, F.lit(i).alias("m")) for i, m in enumerate(measures)])
+    rows = cut_lineage(rows)
+    every = F.explode(F.sequence(F.lit(0), F.lit(rounds - 1))).alias("r")
+    months = rows.groupBy("m", *keys).agg(strict_mean("value").alias("_v")).filter(F.col("_v").isNotNull()).select("m", *keys, every)
+    order = W.partitionBy("m", "r").orderBy(F.md5(F.concat_ws("_", *[F.col(k).cast("string") for k in keys], F.col("r").cast("string"))), *keys)
+    hidden = months.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= n).select("m", "r", *keys, F.lit(True).alias("hidden"))
+    dealt = rows.select("*", every).join(hidden, ["m", "r", *keys], "left").withColumn("run", F.col("m") * rounds + F.col("r"))
+    dealt = cut_lineage(dealt)
+    train = dealt.filter(F.col("hidden").isNull()).select("run", "date", "site", "value")
+    seeds = {m * rounds + r: r for m in range(len(measures)) for r in range(rounds)}
+    guess, _ = complete_cells(train, seeds=seeds, **forest)
+    found = (dealt.filter("hidden").withColumnRenamed("value", "ori").join(guess.withColumnRenamed("value", "imp"), ["run", "date", "site"])
+             .filter(F.col("ori").isNotNull() & F.col("imp").isNotNull()))
+    name = F.element_at(F.array(*[F.lit("moist" if m == "moist_mean" else m) for m in measures]), F.col("m") + 1)
+    return found.select("date", "site", "month", "year", "imp", "ori", name.alias("var"), (F.col("ori") - F.col("imp")).alias("dif"))
 
 
 def imputation_report(errors: DataFrame) -> dict[str, DataFrame]:

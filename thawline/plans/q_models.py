@@ -59,8 +59,8 @@ _VALS = ", ".join((f'u{i}.value as "{m}"' if m != "moist_mean" else
        " union ".join(f"select date, site from k{i}" for i in range(len(MEASURES))) +
        f") select k.date, k.site, {_VALS} from k {_JOINS}", " ".join(_NAMES), dates="date")
 def combine_imputed_q(spark, d):
-    dt = day_table(spark, d)
-    return I.combine_imputed({m: I.impute_matrix(dt, m) for m in MEASURES})
+    measures = list(MEASURES)
+    return I.combine_cells(I.dense_cells(I.measured_cells(day_table(spark, d), measures)), measures)
 
 
 _HOLD = f"""with {DAY_TABLE_SQL}, u as (select *, cast(year(date) as integer) as year, cast(month(date) as integer) as month
@@ -118,12 +118,9 @@ def imputation_errors_by_month(spark, d):
     return I.imputation_report(errors(spark, d))["by_month"]
 
 
-QUICK = dict(trees=5, depth=5, max_sweeps=2)  # forest size only; all rows and sites take part
-
-
 @query("impute_forest")
 def impute_forest_q(spark, d):
-    return I.impute_forest(I.impute_matrix(day_table(spark, d), "T1_mean", sites=None), report_error=False, **QUICK)[0]
+    return I.impute_forest(I.impute_matrix(day_table(spark, d), "T1_mean", sites=None), report_error=False)[0]
 
 
 @query("impute_forest_error")
@@ -393,7 +390,7 @@ def screen_predictors_q(spark, d):
 
 @query("climate_variables")
 def climate_variables_q(spark, d):
-    return climate_variables(day_table(spark, d), parallelism=8)
+    return climate_variables(day_table(spark, d))
 
 
 # --- facts about forests that SQL can state ---------------------------------------------------
@@ -404,7 +401,7 @@ def climate_variables_q(spark, d):
 def impute_forest_known(spark, d):
     """Every cell of the matrix is filled, and the known ones are as they were."""
     matrix = I.impute_matrix(day_table(spark, d), "T1_mean")
-    full = T.lengthen(I.impute_forest(matrix, report_error=False, **QUICK)[0], ["date"], None, "site", "imp")
+    full = T.lengthen(I.impute_forest(matrix, report_error=False)[0], ["date"], None, "site", "imp")
     known = T.lengthen(matrix, ["date"], None, "site", "value")
     return full.join(known, ["date", "site"], "left").select(
         "date", "site", F.when(F.col("value").isNotNull(), F.col("imp")).alias("value"), F.col("imp").isNotNull().alias("filled"))

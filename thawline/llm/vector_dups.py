@@ -8,6 +8,8 @@ the shard, the block is compared with every vector of it, which is exact.
 """
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
@@ -20,6 +22,7 @@ from .store import load_arrays, save_arrays
 
 LEAST_SHARDS = 4  # shards even of a small table, so that executors share the work
 SHARD_ROWS = 1 << 16
+TASKS_A_SHARD = 4  # Spark tasks grow with the shards; each asks several shards one after the other
 WIDTH = 32
 SLACK = 0.05
 AUDIT = 256  # audited queries of a task, and as many of those that found a link
@@ -101,7 +104,7 @@ def _ask(folder: str, shard: str, block: str, least: float, width: int, slack: f
 def near_duplicates(vectors: DataFrame, least: float = 0.9, shard_rows: int = SHARD_ROWS, recall: float = RECALL) -> DataFrame:
     """One row per row of `vectors` (vec_id, embedding): vec_id, n_links, component_id, kept."""
     spark = vectors.sparkSession
-    rows = vectors.select("vec_id", "embedding").withColumn("ok", usable())
+    rows = vectors.select("vec_id", "embedding").withColumn("ok", usable() & F.col("vec_id").isNotNull())
     good = rows.filter("ok").groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     sizes = {r.d: r.n for r in good.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}
     shards = {d: max(LEAST_SHARDS, -(-n // shard_rows)) for d, n in sizes.items()}
@@ -126,13 +129,22 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, shard_rows: int = SH
     names = {}
     for r in made:
         names.setdefault(r.d, []).append(r.s)
-    todo = [(f"{d}-{i}", f"{d}-{j}") for d, own in sorted(names.items()) for i in sorted(own) for j in sorted(own)]
+    layout, total = [], 0  # (first task, dimension, its shards): a task is a shard and a block, by number
+    for d, own in sorted(names.items()):
+        layout.append((total, d, sorted(own)))
+        total += len(own) ** 2
+    parts = sum(len(own) for _, _, own in layout) * TASKS_A_SHARD
+
+    def pair(task: int) -> tuple[str, str]:
+        first, d, own = layout[bisect_right(layout, task, key=lambda x: x[0]) - 1]
+        i, j = divmod(task - first, len(own))
+        return f"{d}-{own[i]}", f"{d}-{own[j]}"
 
     def ask(tasks, width, slack):
         def run(batches):
             for batch in batches:
                 for i in batch.column("id").to_pylist():
-                    reps, links, a, b, audits = _ask(folder, *tasks[i], least, width, slack, recall)
+                    reps, links, a, b, audits = _ask(folder, *pair(i), least, width, slack, recall)
                     parts = [(reps, links, np.full(len(reps), -1), 0, 0), (a, np.zeros(len(a), np.int64), b, 0, 0)]
                     parts += [(np.array([-1]), np.array([0]), np.array([-1]), truth, found) for truth, found in audits]
                     for kind, (x, n, y, t, f) in enumerate(parts):
@@ -142,16 +154,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, shard_rows: int = SH
                             "rep": pa.array(x, pa.int64()), "links": pa.array(n, pa.int64()), "root": pa.array(y, pa.int64()),
                             "truth": pa.array(np.full(m, t), pa.int64()), "found": pa.array(np.full(m, f), pa.int64())})
         path = new_folder(spark, "vector-links")
-        (spark.range(0, len(tasks), 1, len(tasks))
-         .mapInArrow(run, "task long, kind int, rep long, links long, root long, truth long, found long").write.parquet(path))
+        (tasks.mapInArrow(run, "task long, kind int, rep long, links long, root long, truth long, found long").write.parquet(path))
         return spark.read.parquet(path)
 
     passed, width, slack = [], WIDTH, SLACK
-    while todo:
+    todo = spark.range(0, total, 1, max(1, min(total, parts))) if total else None
+    while todo is not None:
         out = ask(todo, width, slack)
-        failed = {r.task for r in out.filter("kind >= 2").filter(F.col("found") < recall * F.col("truth")).select("task").collect()}
-        passed.append(out.filter(~F.col("task").isin(list(failed))) if failed else out)
-        todo = [t for i, t in enumerate(todo) if i in failed]
+        failed = out.filter("kind >= 2").filter(F.col("found") < recall * F.col("truth")).select("task").distinct()
+        passed.append(out.join(failed, "task", "left_anti"))
+        again = failed.count()
+        todo = failed.select(F.col("task").alias("id")).repartition(min(again, parts), "id") if again else None
         width, slack = 2 * width, slack + 0.05
     if not passed:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
@@ -171,7 +184,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.9, shard_rows: int = SH
 def op2_vector_near_duplicates(vectors: DataFrame) -> DataFrame:
     """Links, component and keeper of every vector, whatever its label.
 
-    A vector that is null, empty, zero or holds a null or non-finite component links with nothing; vectors of
+    A row without an id is a row of its own that links with nothing. A vector that is null, empty, zero or holds a null or non-finite component links with nothing; vectors of
     different lengths do not link. Equal vectors link with each other. No rows give no rows.
     """
     return near_duplicates(vectors)

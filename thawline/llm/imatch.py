@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import math
 import random
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,7 +17,7 @@ from .common import stored, text_of
 
 LOW_BITS = 18  # bits of a term's hash that no subset looks at
 BAND = (0.25, 0.95)  # idf as a share of ln(number of documents)
-SHARES = (3, 5, 7, 9)  # a subset keeps 1 / 2^x of the lexicon
+SHARES = (5, 6, 7, 9)  # a subset keeps 1 / 2^x of the lexicon
 PER_SHARE = 4
 WORD_GAP = r"[^\p{L}\p{N}]+"
 MOST_RANGES = 2000
@@ -24,9 +25,10 @@ ROWS_PER_RANGE = 500
 
 
 def terms(text: Column) -> Column:
-    """Distinct 64-bit term hashes of a text, unsorted."""
+    """Distinct 64-bit hashes of a text's terms that some subset looks at, unsorted; the others never reach a fingerprint."""
     words = F.array_remove(F.split(F.lower(text), WORD_GAP), "")
-    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+    seen = lambda t: reduce(Column.__or__, [t.bitwiseAND(F.lit(m).cast("bigint")) == 0 for m in subset_masks()])
+    return F.array_distinct(F.filter(F.transform(words, lambda w: F.xxhash64(w)), seen))
 
 
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> DataFrame:
@@ -117,7 +119,7 @@ def op8_document_fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text; equal texts have equal fingerprints.
 
     Null text is empty. One document follows itself. Repeated rows are rows of their own. No rows give no rows.
-    A text without a lexicon term is described by all its terms; one without any term has only nulls.
+    A text without a lexicon term that a subset looks at is described by all its terms; one without any has only nulls.
     """
     rows = docs.select("doc_id", text_of().alias("text"))
     known = stored(lexicon(rows), "lexicon")

@@ -18,7 +18,7 @@ NOT_PLAIN = re.compile(f"[^\t\n\r -~{LETTERS}]")
 ENDINGS = "'s|'t|'re|'ve|'m|'ll|'d"
 BYTE_PIECES = re.compile(f" ?[{LETTERS}]+|{ENDINGS}| ?[0-9]+| ?[^ \t\n\r0-9{LETTERS}]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
 WORD_PIECES = re.compile(f"[{LETTERS}]+|{ENDINGS}|[0-9]|[^ \t\n\r0-9{LETTERS}]+")
-MOST_PIECES = 200_000  # distinct pieces a worker remembers before it starts anew
+MOST_PIECES = 400_000  # distinct pieces a worker remembers before it starts anew
 
 
 def is_plain(text: str) -> bool:
@@ -70,7 +70,7 @@ class Library:
             text = (" " if self.lower else "").join(own)  # a piece of the other kind holds the blank before its word
             got = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
             reach = np.cumsum(self.width[got])
-            ends = np.cumsum([len(p.encode()) for p in own])
+            ends = np.cumsum(list(map(len, own)) if text.isascii() else [len(p.encode()) for p in own])
             stops = np.searchsorted(reach, ends) + 1
             if stops[-1] != len(got) or (reach[stops - 1] != ends).any():
                 raise ValueError("words and ids do not end together")
@@ -115,13 +115,10 @@ class PieceEncoder:
                 odd.append((t,))
                 pieces.append((t,))
             ends[i + 1] = len(pieces)
-        index = list(map(self.known.get, pieces))
-        if None in index:
-            new = list(dict.fromkeys(p for p, i in zip(pieces, index) if i is None))
-            self._learn(new)
-            known = self.known
-            index = [known[p] if i is None else i for p, i in zip(pieces, index)]
-        at = np.array(index, dtype=np.int64)
+        new = set(pieces).difference(self.known)
+        if new:
+            self._learn(list(new))
+        at = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
         for p in odd:
             self.known.pop(p, None)
         starts = self.first[at]

@@ -1,10 +1,12 @@
 """Shared folder, safe texts and the limits of Python workers."""
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -28,6 +30,15 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession, limit: int = 1 << 24) -> None:
+    """Python workers get texts in batches of at most `limit` bytes (or one row) from now on in this session."""
+    if int(spark.conf.get(BATCH).rstrip("bB")) > limit:
+        spark.conf.set(BATCH, f"{limit}b")
+
+
 _MEMORIES: dict[str, dict] = {}
 
 
@@ -39,6 +50,24 @@ def worker_memory(name: str) -> dict:
     return _MEMORIES.setdefault(name, {})
 
 
+def give_back() -> None:
+    """What a worker process no longer uses goes back to the machine; workers outlive tasks and wait beside others."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def giving_back(run):
+    """The task `run`, which gives back its memory when it ends."""
+    def task(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return task
+
+
 @contextmanager
 def dropping_exchanges(spark: SparkSession):
     """What jobs in this block exchange is dropped from the executors' disks when each ends: nothing reads it later."""

@@ -9,10 +9,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import chunks, text_of, worker_memory
+from .common import chunks, give_back, text_of, worker_memory
 
 BUCKETS = 1 << 15
 DOCS_PER_LANGUAGE = 4000  # bound of the labelled sample, per language
@@ -191,14 +192,14 @@ def in_known_language(docs: DataFrame, model: Model, least: float) -> DataFrame:
     """The rows of `docs`, all columns, whose text has a known language with at least the share `least`."""
     limit = piece_limit(model)
 
-    def run(batches):
+    @F.pandas_udf("boolean")
+    def known(texts: pd.Series) -> pd.Series:
         worker_memory("languages")
-        for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            good = []
-            for a, b in chunks(texts, limit):
-                lang, score, _ = predict(model, texts[a:b])
-                good += [l != UNKNOWN and s >= least for l, s in zip(lang, score)]
-            yield batch.filter(pa.array(good, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
+        own, good = texts.tolist(), []
+        for a, b in chunks(own, limit):
+            lang, score, _ = predict(model, own[a:b])
+            good += [l != UNKNOWN and s >= least for l, s in zip(lang, score)]
+        give_back()
+        return pd.Series(good, dtype=bool)
+
+    return docs.filter(known(text_of()))  # only the texts go to Python, the rows stay where they are

@@ -124,6 +124,10 @@ def joined(spans: Column) -> Column:
 
 
 def op3_secret_scan(docs: DataFrame) -> DataFrame:
+    """Secrets of every whole text, one row per row of `docs`.
+
+    Null text is empty and has none. Repeated rows are rows of their own. No rows give no rows.
+    """
     found, hits = scan(docs)
     rows = findings_by_path(docs, found, hits)
     base = F.filter("spans", lambda s: s["place"] <= len(BASE_RULES))

@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from .common import chunks, dropping_exchanges, stored, text_of
+from .common import chunks, dropping_exchanges, giving_back, stored, text_of
 from .components import components
 from .words import shingle_set
 
@@ -49,7 +49,7 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
                 yield pa.record_batch({"h": pa.array(h.view(np.int64), pa.int64()), "n": pa.array(n, pa.int32())})
 
     place = F.shiftrightunsigned("h", 64 - TABLE_BITS)
-    levels = (docs.mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+    levels = (docs.mapInArrow(giving_back(run), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
               .groupBy(place.cast("int").alias("p")).agg(F.max(F.log2("n")).cast("int").alias("level")))
     with dropping_exchanges(docs.sparkSession):
         got = levels.toArrow()
@@ -86,7 +86,7 @@ def sets(docs: DataFrame, k: int, percent: int, table: np.ndarray) -> DataFrame:
                 if sid is None or sid in met:
                     prefixes.append(None)
                     continue
-                if len(met) > 1_000_000:
+                if len(met) > 200_000:
                     met.clear()
                 met.add(sid)
                 order = np.lexsort([h, _level_key(h, table)])[:prefix_length(n, percent)]
@@ -95,7 +95,7 @@ def sets(docs: DataFrame, k: int, percent: int, table: np.ndarray) -> DataFrame:
                                    "prefix": pa.array(prefixes, pa.list_(pa.int64()))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n long, sid long, prefix array<long>")
+    return docs.mapInArrow(giving_back(run), f"doc_id {kind}, n long, sid long, prefix array<long>")
 
 
 def blocks(rows: DataFrame, percent: int) -> DataFrame:
@@ -158,7 +158,7 @@ def with_texts(work: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = (docs.select("doc_id", "text", place.alias("p")).filter("doc_id is not null")
-             .mapInArrow(keep, f"doc_id {kind}, text string"))
+             .mapInArrow(giving_back(keep), f"doc_id {kind}, text string"))
     return texts.join(wanted, "doc_id").drop("doc_id")
 
 
@@ -190,7 +190,7 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFr
             cols = list(zip(*out)) or [()] * 5
             yield pa.record_batch({c: pa.array(v, pa.int64()) for c, v in zip(("a", "b", "na", "nb", "common"), cols)})
 
-    return work.select("a", "lot", "sid", "text").mapInArrow(compare, "a long, b long, na long, nb long, common long").dropDuplicates(["a", "b"])
+    return work.select("a", "lot", "sid", "text").mapInArrow(giving_back(compare), "a long, b long, na long, nb long, common long").dropDuplicates(["a", "b"])
 
 
 def overlaps(own: list[np.ndarray]) -> np.ndarray:
@@ -255,7 +255,7 @@ def compare_open(open_rows: DataFrame, docs: DataFrame, rows: DataFrame, k: int,
                     own.append(h)
         yield done()
 
-    return work.select("p", "i", "j", "sid", "text").mapInArrow(compare, "a long, b long").distinct()
+    return work.select("p", "i", "j", "sid", "text").mapInArrow(giving_back(compare), "a long, b long").distinct()
 
 
 def linked(percent: int) -> Column:

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from thawline.llm import langid, packing, pii, setjoin
-from thawline.llm.common import documents, stored, text_of
+from thawline.llm.common import bounded_batches, documents, stored, text_of
 
 LEAST_LANGUAGE_SHARE = 0.5
 SHINGLE_WORDS = 5
@@ -16,7 +16,8 @@ PERCENT = 80
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose main language has at least half of the text; the others go."""
+    """Documents with letters whose main language has at least half of the text; the others go, null texts among them."""
+    bounded_batches(spark)
     return langid.in_known_language(docs, langid.train_on_open(docs), LEAST_LANGUAGE_SHARE)
 
 
@@ -26,6 +27,7 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     A row without an id is known by its text; rows that share an id and a text are one document. Of several texts with
     the smallest id the one with the smallest hash stays.
     """
+    bounded_batches(spark)
     own = F.coalesce(F.col("doc_id"), -1 - F.shiftrightunsigned(F.xxhash64(text_of()), 2))
     keyed = docs.withColumns({"_own": own, "_key": F.xxhash64(own, text_of())})
     groups = setjoin.join(keyed.select(F.col("_key").alias("doc_id"), text_of().alias("text")), SHINGLE_WORDS, PERCENT)
@@ -35,12 +37,14 @@ def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, personal data replaced by the name of its kind."""
+    """All documents, personal data replaced by the name of its kind; a null text stays null, no rows give no rows."""
+    bounded_batches(spark)
     return pii.redacted(docs, pii.learn(docs))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences."""
+    """Pieces of all documents in sequences; a null text is empty and has the end id alone, no rows give no rows."""
+    bounded_batches(spark)
     return packing.op5_harmonic_packing(docs)
 
 

@@ -480,3 +480,21 @@ def test_passages_of_equal_first_names():
     names, also = np.array([7, 7, 7, 9], "<u8"), np.array([1, 2, 1, 1], "<u4")
     rows = pa.table({"names": [names.tobytes()], "also": [also.tobytes()], "owners": [_owner_runs(np.array([3, 4, 4, 4]))]})
     assert _later(rows).tolist() == [False, False, True, False]
+
+
+def test_long_runs_and_numbers_of_any_length():
+    """An address with thousands of digits, and a million characters around a sign, take no more than reading them."""
+    import time
+
+    from thawline.llm import pii
+    assert pii.base_spans("1.2.3." + "0" * 5000) == [(1, 0, 5006)] and pii.base_spans("1.2.3." + "9" * 5000) == []
+    begin = time.time()
+    text = "a@b " + "x" * 1_000_000 + " y"
+    assert pii.wide_mails(text) == [] and len(pii.wide_mails(text + " me (at) here (dot) org")) == 1
+    assert time.time() - begin < 5
+
+
+def test_vectors_without_id(spark):
+    rows = [(None, [1.0, 0.0]), (None, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.001]), (3, [0.0, 1.0])]
+    got = vector_dups.op2_vector_near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, [(None, 0, None, True)] * 2 + [(1, 1, 1, True), (2, 1, 1, False), (3, 0, 3, True)]))

@@ -436,7 +436,7 @@ def canopy_grid(spark, d):
 def predict_cells_q(spark, d):
     stack = cells(spark, d).withColumn("ndvi", F.when(F.col("water") == 0, F.col("ndvi")))
     data = stack.select(*CELL, "z", "elev", "ndvi").na.drop()
-    model = M.fit_forest(data, "z", ["elev", "ndvi"], trees=5, depth=5)
+    model = M.fit_forest(data, "z", ["elev", "ndvi"])
     return M.predict_cells(model, stack, ["elev", "ndvi"])
 
 

@@ -407,17 +407,18 @@ def impute_forest_known(spark, d):
         "date", "site", F.when(F.col("value").isNotNull(), F.col("imp")).alias("value"), F.col("imp").isNotNull().alias("filled"))
 
 
-@query("planted_importance", "select 'x5' as predictor")
+@query("planted_importance", f"with {ROWS_SQL}, raw as (" + " union all ".join(
+    f"select '{x}' as predictor, corr(x5 * 3 + x9 * 0.2, {x}) as r from mrows" for x in XS) + ") select predictor from raw order by abs(r) desc limit 1")
 def planted_importance(spark, d):
     """The predictor that makes the response is ranked first on rows the forest has not seen."""
     rows = M.with_fold(model_rows(spark, d).withColumn("label", F.col("x5") * 3 + F.col("x9") * 0.2), ["vec_id"], 4, 1)
-    model = M.fit_forest(rows.filter("_fold <> 0"), "label", XS[:12], trees=20, depth=6)
-    found = M.permutation_importance(model, rows.filter("_fold = 0"), "label", XS[:12], ["vec_id"])
+    model = M.fit_forest(rows.filter("_fold <> 0"), "label", XS)
+    found = M.permutation_importance(model, rows.filter("_fold = 0"), "label", XS, ["vec_id"])
     return found.orderBy(F.desc("varimp")).limit(1).select("predictor")
 
 
-@query("grid_search_settings", "select * from (values (2, 1, true), (8, 5, true)) t(mtry, min_node_size, scored)")
+@query("grid_search_settings", "select m::integer as mtry, n::integer as min_node_size, (select count(*) from embeddings where label is not null) > 0 as scored "
+       "from range(2, 9) a(m), range(1, 6) b(n)")
 def grid_search_settings(spark, d):
-    """One scored row per setting, for the two settings its SQL names; grid_search has all of them."""
-    scores = M.tune_forest(model_rows(spark, d).persist(), "label", XS, ((2, 1), (8, 5)), ["vec_id"])
-    return scores.select("mtry", "min_node_size", F.col("RMSE").isNotNull().alias("scored"))
+    """One scored row for every setting."""
+    return grid_search(spark, d).select("mtry", "min_node_size", F.col("RMSE").isNotNull().alias("scored"))

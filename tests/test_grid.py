@@ -294,9 +294,27 @@ def test_points_in_polygons_equals_brute_force(spark):
     assert {r["site"] for r in V.points_in_polygons(points, shape, "out").collect()} == {f"p{i}" for i in range(400)} - want
 
 
-def test_proximity_in_pieces(spark):
+@pytest.mark.parametrize("band", [1, 7, 62])
+def test_proximity_in_bands(spark, band):
     rng = np.random.default_rng(2)
     flag = (rng.random((60, 5)) < 0.04).astype(float)
     whole = array(R.proximity(table(spark, flag=flag)), "distance", flag.shape)
-    cut = array(R.proximity(table(spark, flag=flag), piece=7), "distance", flag.shape)
+    cut = array(R.proximity(table(spark, flag=flag), band=band), "distance", flag.shape)
     np.testing.assert_allclose(whole, cut)
+
+
+@pytest.mark.parametrize("band", [1, 3, 8])
+def test_proximity_with_absent_cells(spark, band):
+    rng = np.random.default_rng(5)
+    for keep, share in [(0.3, 0.1), (0.05, 0.5), (0.6, 0.01)]:
+        at = [(int(i) - 9, int(j) - 4) for i, j in np.argwhere(rng.random((40, 31)) < keep)]
+        rows = [(i, j, int(rng.random() < share)) for i, j in at]
+        marks = np.array([(i, j) for i, j, f in rows if f])
+        out = R.proximity(spark.createDataFrame(rows, "row int, col int, flag int"), band=band).collect()
+        assert sorted((r.row, r.col) for r in out) == sorted(at)
+        for r in out:
+            want = np.sqrt(((marks - (r.row, r.col)) ** 2).sum(axis=1).min()) if len(marks) else None
+            assert r.distance == pytest.approx(want)
+    lone = spark.createDataFrame([(0, 0, 1), (0, 5, 0), (5, 5, 0)], "row int, col int, flag int")
+    assert {(r.row, r.col): round(r.distance, 6) for r in R.proximity(lone, band=band).collect()} == {
+        (0, 0): 0.0, (0, 5): 5.0, (5, 5): 7.071068}

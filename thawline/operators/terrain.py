@@ -42,39 +42,67 @@ def _nearest(col: np.ndarray, at: np.ndarray, g2: np.ndarray) -> np.ndarray:
     return best
 
 
-def _row_distance(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("col")
-    col, g = pdf["col"].to_numpy(dtype=float), pdf["_g"].to_numpy(dtype=float)
-    known = ~np.isnan(g)
-    if not known.any():
-        dist = np.full(len(col), np.nan)
-    else:
-        dist = np.sqrt(_nearest(col, col[known], g[known] ** 2))
+BAND = 8  # rows of the grid that one task of the row pass looks at
+
+
+def _band_distance(pdf: pd.DataFrame, spans: pd.DataFrame, first: int, band: int) -> pd.DataFrame:
+    """Distances of a band's cells, from the flagged rows before, in and behind the band of every column with a flag."""
+    if not len(pdf) or not len(spans):
+        return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "distance": np.full(len(pdf), np.nan)})
+    pdf, spans = pdf.sort_values(["row", "col"]), spans.sort_values("_at")
+    at, bits = spans["_at"].to_numpy(dtype=float), spans["_bits"].to_numpy(dtype=np.int64)
+    rows, col = pdf["row"].to_numpy(), pdf["col"].to_numpy(dtype=float)
+    offsets = range(band)
+    hit = [(bits >> o) & 1 == 1 for o in offsets]
+    under = spans["_behind"].fillna(np.inf).to_numpy(dtype=float)
+    behind = {}
+    for o in reversed(offsets):
+        under = behind[o] = np.where(hit[o], first + o, under)
+    above, dist = spans["_before"].fillna(-np.inf).to_numpy(dtype=float), np.empty(len(col))
+    for o in offsets:
+        above = np.where(hit[o], first + o, above)
+        lo, hi = np.searchsorted(rows, [first + o, first + o + 1])
+        if hi > lo:
+            g = np.minimum(first + o - above, behind[o] - first - o)
+            dist[lo:hi] = np.sqrt(_nearest(col[lo:hi], at, g ** 2))
     return pd.DataFrame({"row": pdf["row"], "col": pdf["col"], "distance": dist})
 
 
-PIECE = 4096  # rows of a grid column that one window looks at
+def proximity(cells: DataFrame, flag: str = "flag", cell_size: float = 1.0, band: int = BAND) -> DataFrame:
+    """Exact straight distance of every cell to the nearest flagged one (null without any). Cells may be absent.
 
-
-def proximity(cells: DataFrame, flag: str = "flag", cell_size: float = 1.0, piece: int = PIECE) -> DataFrame:
-    """Exact straight distance of every cell to the nearest flagged one (null without any).
-
-    Two passes: the nearest flagged cell within the column, then the best column for each row. Columns are cut into
-    pieces; the nearest flagged rows before and behind a piece come from a table with one row per piece, so a window
-    holds one piece. A column needs its cells present for the rows it should serve, as grids have.
+    Two passes: the nearest flagged cell within each column, then the best column for each row. Bands of `band` rows
+    (62 at most) meet every column that has a flag anywhere: its last flagged row before the band, its first one behind
+    it, and a bit for each row inside, whether or not the column has a cell there. A task holds one band's cells and
+    one row per flagged column; columns with flags times bands is what is shuffled beside the cells.
     """
-    hit = F.when(F.col(flag) == 1, F.col("row"))
-    rows = cells.select(*CELL, hit.alias("_hit"), F.floor(F.col("row") / piece).alias("_piece"))
-    ends = rows.groupBy("col", "_piece").agg(F.min("_hit").alias("_low"), F.max("_hit").alias("_high"))
-    up, down = W.partitionBy("col").orderBy("_piece"), W.partitionBy("col").orderBy(F.desc("_piece"))
-    before = lambda c, w: F.last(c, ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))
-    ends = ends.select("col", "_piece", before("_high", up).alias("_before"), before("_low", down).alias("_behind"))
-    up, down = (W.partitionBy("col", "_piece").orderBy(o).rowsBetween(W.unboundedPreceding, 0) for o in ("row", F.desc("row")))
-    above = F.coalesce(F.last("_hit", ignorenulls=True).over(up), F.col("_before"))
-    under = F.coalesce(F.last("_hit", ignorenulls=True).over(down), F.col("_behind"))
-    gaps = (rows.join(ends, ["col", "_piece"])
-            .select(*CELL, F.least(F.col("row") - above, under - F.col("row")).cast("double").alias("_g")))
-    out = gaps.groupBy("row").applyInPandas(_row_distance, "row int, col int, distance double")
+    if not 1 <= band <= 62:
+        raise ValueError("a band has 1 to 62 rows")
+    work = cells.select(*CELL, flag, F.floor(F.col("row") / band).alias("_band"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("row") - F.col("_band") * band).cast("int"))
+    flagged = (work.filter(F.col(flag) == 1).groupBy("col", "_band")
+               .agg(F.min("row").alias("_low"), F.max("row").alias("_high"), F.bit_or(bit).alias("_bits")))
+    order = W.partitionBy("col").orderBy("_band")
+    flagged = flagged.withColumns({"_last": F.lag("_high").over(order), "_next": F.lead("_low").over(order),
+                                   "_until": F.lead("_band").over(order)})
+    bands = work.select("_band").distinct()
+    ends = bands.agg(F.struct(F.min("_band").alias("low"), F.max("_band").alias("high"))).scalar()
+    span = lambda of, before, behind, bits: F.struct(of.alias("_of"), before.cast("int").alias("_before"),
+                                                     behind.cast("int").alias("_behind"), bits.cast("long").alias("_bits"))
+    spread = lambda low, high, *rest: F.when(low <= high, F.transform(F.sequence(low, high), lambda x: span(x, *rest)))
+    own, none = F.col("_band"), F.lit(0)
+    here = F.array(span(own, F.col("_last"), F.col("_next"), F.col("_bits")))
+    later = spread(own + 1, F.coalesce(F.col("_until") - 1, F.col("_ends.high")), F.col("_high"), F.col("_next"), none)
+    first = F.when(F.col("_last").isNull(), spread(F.col("_ends.low"), own - 1, F.lit(None), F.col("_low"), none))
+    spans = (flagged.withColumn("_ends", ends)
+             .select(F.col("col").alias("_at"), F.explode(F.concat(here, *[F.coalesce(x, F.slice(here, 1, 0)) for x in (later, first)])))
+             .select("_at", "col.*").join(bands.select(F.col("_band").alias("_of")), "_of", "left_semi"))
+
+    def kernel(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        return _band_distance(left, right, int(key[0]) * band, band)
+
+    out = (work.select(*CELL, "_band").groupBy("_band").cogroup(spans.groupBy("_of"))
+           .applyInPandas(kernel, "row int, col int, distance double"))
     return out.withColumn("distance", finite("distance") * cell_size)
 
 

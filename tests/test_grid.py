@@ -94,6 +94,19 @@ def test_cost_distance_equals_dijkstra(spark, tile, cap):
     np.testing.assert_allclose(array(out, "effect", cost.shape), cap - np.where(np.isnan(want), cap, want), atol=1e-9)
 
 
+def test_cost_distance_moves_only_the_frontier(spark):
+    cost = np.ones((4, 48))
+    flag = np.zeros(cost.shape)
+    flag[0, 0] = 1
+    active = []
+    out = R.cost_distance(table(spark, flag=flag, cost=cost), cap=60.0, tile=4, trace=active)
+    np.testing.assert_allclose(array(out, "cost_distance", cost.shape), dijkstra(flag, cost, 60.0), atol=1e-9)
+    # 12 tiles in a row: a round wakes the next tile, and the one behind when its margin improves.
+    assert len(active) >= 12 and max(active) <= 9 and sum(active[1:]) < 12 * len(active) / 2
+    none = R.cost_distance(table(spark, flag=flag * 0, cost=cost), tile=4).collect()
+    assert len(none) == cost.size and all(r.cost_distance is None and r.effect == 0 for r in none)
+
+
 def test_proximity_equals_brute_force_and_without_flags(spark):
     flag = (RNG.random((17, 23)) < 0.03).astype(float)
     flag[2, 20] = 1

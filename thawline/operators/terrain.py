@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from thawline.functions import finite
-from thawline.operators.grid import CELL, TILE, dense, invert, map_tiles
+from thawline.operators.grid import CELL, TILE, dense, invert, map_tiles, with_tiles
 from thawline.sources import cut_lineage
 
 # Neighbours in the order that decides equal slopes: row offset, column offset, distance.
@@ -129,24 +129,64 @@ def _relax(a: dict[str, np.ndarray], cap: float) -> dict[str, np.ndarray]:
     return {"dist": np.where(np.isinf(dist), np.nan, dist), "moved": moved}
 
 
+MOST_SENT = 1 << 20  # active tiles, two numbers each, that are broadcast; more are joined by exchange
+MERGE_EVERY = 8  # rounds after which the improvements are reduced to one row per cell
+
+
+def _settled(pdf: pd.DataFrame, tile_row: int, tile_col: int, tile: int, cap: float) -> pd.DataFrame:
+    """The own cells of a tile that improve, from its cells' costs and all costs to reach known so far."""
+    shape = (tile + 2, tile + 2)
+    cost, dist = np.full(shape, np.nan), np.full(shape, np.inf)
+    r, c = (pdf[k].to_numpy() - at * tile + 1 for k, at in (("row", tile_row), ("col", tile_col)))
+    price, reach = pdf["cost"].to_numpy(dtype=float), pdf["dist"].to_numpy(dtype=float)
+    priced, reached = ~np.isnan(price), ~np.isnan(reach)
+    cost[r[priced], c[priced]] = price[priced]
+    np.minimum.at(dist, (r[reached], c[reached]), reach[reached])
+    done = _relax({"cost": cost, "dist": dist}, cap)
+    i, j = np.nonzero(done["moved"][1:-1, 1:-1])
+    return pd.DataFrame({"row": i + tile_row * tile, "col": j + tile_col * tile, "dist": done["dist"][i + 1, j + 1]})
+
+
 def cost_distance(cells: DataFrame, flag: str = "flag", cost: str = "cost", cap: float = 100.0, cell_size: float = 1.0,
-                  tile: int = TILE) -> DataFrame:
+                  tile: int = TILE, trace: list[int] | None = None) -> DataFrame:
     """Least accumulated cost to a flagged cell, up to `cap`, and its reversed effect.
 
-    A step costs the mean of the two cells' costs times its length. Each round settles
-    whole tiles and then passes on their margins, so the number of rounds is the number
-    of tiles the longest path crosses, not of cells. Ends when no cell improves.
+    A step costs the mean of the two cells' costs times its length. A round settles whole tiles, but only those whose
+    margin holds a cell that improved in the round before; the cells of all others stay where they are. It yields the
+    improved cells alone, so what moves falls with the frontier, and the number of rounds is the number of tiles the
+    longest path crosses. Ends when no cell improves. `trace` gets the number of active tiles of each round.
     """
-    state = cells.select(*CELL, (F.col(cost) * cell_size).cast("double").alias("cost"),
-                         F.when((F.col(flag) == 1) & F.col(cost).isNotNull(), F.lit(0.0)).alias("dist"))
+    key = ["_tr", "_tc"]
+    base = cut_lineage(cells.select(*CELL, (F.col(cost) * cell_size).cast("double").alias("cost"),
+                                    (F.col(flag) == 1).alias("_start")))
+    known = base.filter("_start and cost is not null").select(*CELL, F.lit(0.0).alias("dist"))
+    prices = with_tiles(base.filter("cost is not null").select(*CELL, "cost", F.lit(None).cast("double").alias("dist")), 1, tile)
+    tiles = cut_lineage(with_tiles(base.filter("cost is not null").select(*CELL), 0, tile).select(*key).distinct())
+    front, rounds = with_tiles(known, 1, tile), 0
+
+    def settle(at: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _settled(pdf, at[0], at[1], tile, cap)
+
     while True:
-        done = map_tiles(state, ["cost", "dist"], {"dist": "double", "moved": "int"}, 1, lambda a: _relax(a, cap), tile)
-        state = cut_lineage(done.join(state.select(*CELL, "cost"), CELL))
-        if state.filter("moved = 1").limit(1).count() == 0:
+        active = cut_lineage(front.select(*key).distinct().join(tiles, key, "left_semi"))
+        n = active.count()
+        if trace is not None:
+            trace.append(n)
+        if not n:
             break
-        state = state.drop("moved")
-    reached = F.coalesce("dist", F.lit(cap))
-    return state.select(*CELL, F.col("dist").alias("cost_distance"), (cap - F.least(reached, F.lit(cap))).alias("effect"))
+        chosen = F.broadcast(active) if n <= MOST_SENT else active
+        reached = with_tiles(known.select(*CELL, F.lit(None).cast("double").alias("cost"), "dist"), 1, tile)
+        work = prices.join(chosen, key, "left_semi").unionByName(reached.join(chosen, key, "left_semi"))
+        better = cut_lineage(work.groupBy(*key).applyInPandas(settle, "row int, col int, dist double"))
+        known, rounds = known.unionByName(better), rounds + 1
+        if rounds % MERGE_EVERY == 0:
+            known = cut_lineage(known.groupBy(*CELL).agg(F.min("dist").alias("dist")))
+        own = (F.floor(F.col("row") / tile) == F.col("_tr")) & (F.floor(F.col("col") / tile) == F.col("_tc"))
+        front = with_tiles(better, 1, tile).filter(~own)
+    least = known.groupBy(*CELL).agg(F.min("dist").alias("dist"))
+    return (base.select(*CELL).join(least, CELL, "left")
+            .select(*CELL, F.col("dist").alias("cost_distance"),
+                    (cap - F.least(F.coalesce("dist", F.lit(cap)), F.lit(cap))).alias("effect")))
 
 
 def d8(dem: DataFrame, value: str = "value", tile: int = TILE) -> DataFrame:

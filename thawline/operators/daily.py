@@ -2,13 +2,14 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from thawline.functions import calibrate_moisture, clock_seconds, finite, mask_frozen, month_index, one_decimal_share
 from thawline.functions.ordered import home, with_halo
 from thawline.functions.tables import STUDY
-from thawline.operators.filters import covered, drop_prefixes, half_hours, in_window, keep_codes, season
+from thawline.operators.filters import code_kept, drop_prefixes, half_hours, in_window, is_covered
 
 TEMPS = ("T1", "T3")
 # Measure name -> (variable whose codes apply, coverage column, months kept or None).
@@ -69,13 +70,18 @@ def daily(readings: DataFrame, keep_all: bool = False) -> DataFrame:
         F.avg(x["moist"]).alias("moist_mean"), F.max("probl").alias("probl"))
 
 
-def usable(days: DataFrame, measure: str, stage: str = "impute", gate_season: bool = True) -> DataFrame:
-    """(site, date, value) of the days a measure may be used on."""
+def is_usable(measure: str, stage: str = "impute", gate_season: bool = True) -> Column:
+    """Days a measure may be used on: enough coverage, accepted code, its months; unknown counts as no."""
     variable, prop, months = MEASURES[measure]
-    out = keep_codes(covered(days, prop), stage, variable)
+    test = is_covered(prop) & code_kept(stage, variable)
     if months and gate_season:
-        out = season(out, months)
-    return out.select("site", "date", F.col(measure).alias("value"))
+        test = test & F.month("date").isin(*months)
+    return F.coalesce(test, F.lit(False))
+
+
+def usable(days: DataFrame, measure: str, stage: str = "impute", gate_season: bool = True) -> DataFrame:
+    """(site, date, value) of the days a measure may be used on."""
+    return days.filter(is_usable(measure, stage, gate_season)).select("site", "date", F.col(measure).alias("value"))
 
 
 def daily_range(df: DataFrame, cols: tuple[str, str, str], floor0: bool = False) -> DataFrame:
@@ -91,16 +97,17 @@ def availability(days: DataFrame, measures: tuple[str, ...] = ("T1_mean", "T3_me
     """Share of sites with data per date and variable.
 
     The denominator is the number of sites that ever pass the variable's filter. A
-    date that only some variables reach has a null share for the others.
+    date that only some variables reach has a null share for the others. All variables are counted together: one
+    aggregate per date and one per site, whose counts are a single row.
     """
-    out = None
-    for m in measures:
-        # A (site, date) is unique in days, so counting rows counts sites.
-        good = usable(days, m)
-        n_sites = good.agg(F.count_distinct("site")).scalar()
-        part = (good.groupBy("date").agg(F.count(F.col("value")).alias("_n"))
-                .select("date", F.lit(MEASURES[m][0]).alias("var"), (F.col("_n") / n_sites).alias("_share")))
-        out = part if out is None else out.unionByName(part)
     names = [MEASURES[m][0] for m in measures]
-    wide = out.groupBy("date").pivot("var", names).agg(F.first("_share"))
+    tests = {v: is_usable(m) for v, m in zip(names, measures)}
+    reached = (days.filter("site is not null").groupBy("site").agg(*[F.max(t).alias(v) for v, t in tests.items()])
+               .agg(F.struct(*[F.count_if(F.col(v)).alias(v) for v in names])).scalar())
+    # A (site, date) is unique in days, so counting rows counts sites.
+    counts = [c for m, (v, t) in zip(measures, tests.items())
+              for c in (F.count_if(t).alias(f"_rows_{v}"), F.count(F.when(t, F.col(m))).alias(f"_known_{v}"))]
+    dates = (days.filter(reduce(lambda a, b: a | b, tests.values())).groupBy("date").agg(*counts)
+             .withColumn("_sites", reached))
+    wide = dates.select("date", *[F.when(F.col(f"_rows_{v}") > 0, F.col(f"_known_{v}") / F.col(f"_sites.{v}")).alias(v) for v in names])
     return wide.unpivot("date", names, "var", "proportion")

@@ -29,12 +29,20 @@ def drop_prefixes(df: DataFrame, prefixes: tuple[str, ...] = OTHER_AREAS, site:
     return df.filter(~other)
 
 
+def code_kept(stage: str, variable: str, network: str = "*", probl: str = "probl") -> Column:
+    return F.col(probl).isin(*keep_codes_for(stage, network, variable))
+
+
 def keep_codes(df: DataFrame, stage: str, variable: str, network: str = "*", probl: str = "probl") -> DataFrame:
-    return df.filter(F.col(probl).isin(*keep_codes_for(stage, network, variable)))
+    return df.filter(code_kept(stage, variable, network, probl))
+
+
+def is_covered(prop: str, min_pct: float = 90) -> Column:
+    return F.col(prop) >= min_pct
 
 
 def covered(df: DataFrame, prop: str, min_pct: float = 90) -> DataFrame:
-    return df.filter(F.col(prop) >= min_pct)
+    return df.filter(is_covered(prop, min_pct))
 
 
 def season(df: DataFrame, months: tuple[int, ...], max_doy: int | None = None, date: str = "date") -> DataFrame:

@@ -77,6 +77,28 @@ def test_exact_median_of_heavy_ties_and_small_groups(spark):
     assert out == pytest.approx(want)
 
 
+def test_order_statistics_narrow_until_few_values_remain(spark, monkeypatch):
+    monkeypatch.setattr(T, "SELECT_FEW", 8)
+    monkeypatch.setattr(T, "SELECT_CUTS", 4)
+    rounds, narrowed = [], T._narrowed
+    monkeypatch.setattr(T, "_narrowed", lambda *a: rounds.append(1) or narrowed(*a))
+    rng = np.random.default_rng(3)
+    values = {"hot": np.r_[np.zeros(4000), rng.normal(size=8000)], "heavy": np.exp(rng.normal(scale=100, size=9000)),
+              "few": np.array([3.0, 1.0, 2.0]), "one": np.array([5.0])}
+    df = spark.createDataFrame([(g, float(v)) for g, vs in values.items() for v in vs] + [("gap", None)], "g string, x double").repartition(5)
+    ranks = [(0.1, lambda n: F.greatest(F.ceil(n * 0.1), F.lit(1))), (0.5, lambda n: F.ceil(n * 0.5)), (1.0, lambda n: n)]
+    out = {(r["g"], r["place"]): r["value"] for r in T.order_statistics(df, ["g"], "x", ranks, accuracy=50).collect()}
+    want = {(g, i): np.sort(vs)[max(int(np.ceil(len(vs) * q - 1e-9)), 1) - 1] for g, vs in values.items() for i, q in enumerate((0.1, 0.5, 1.0))}
+    assert out == want and len(rounds) > 1
+
+
+def test_summary_has_exact_quartiles_and_keeps_columns_without_values(spark):
+    x = pd.DataFrame({"a": np.random.default_rng(4).normal(size=1001), "b": [None] * 1001}).astype(float)
+    rows = {r["name"]: r for r in T.summary(spark.createDataFrame([(float(a), None) for a in x["a"]], "a double, b double"), ["a", "b"]).collect()}
+    assert [rows["a"][c] for c in ("q25", "median", "q75")] == [np.sort(x["a"])[k - 1] for k in (251, 501, 751)]
+    assert rows["b"]["n"] == 0 and rows["b"]["median"] is None
+
+
 def test_correlation_matrix_pairs_and_constants(spark):
     rng = np.random.default_rng(2)
     x = pd.DataFrame(rng.normal(size=(300, 4)) + 1e6, columns=list("abcd"))

@@ -1,11 +1,17 @@
 """Reshaping, sampling, error and correlation tables shared by several steps."""
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from thawline.functions.joins import salted_join
+from thawline.sources import cut_lineage
+
+SELECT_FEW = 65_536  # distinct values of a group that one task may order
+SELECT_CUTS = 256
 
 
 def select_as(df: DataFrame, mapping: dict[str, str]) -> DataFrame:
@@ -50,30 +56,57 @@ def count_desc(df: DataFrame, key: str) -> DataFrame:
     return df.groupBy(key).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), key)
 
 
-def exact_median(df: DataFrame, by: list[str], col: str, accuracy: int = 10000) -> DataFrame:
-    """Exact median per group for groups of any size.
+def order_statistics(df: DataFrame, by: list[str], col: str, at: list[tuple[float, Callable[[Column], Column]]],
+                     accuracy: int = 10000) -> DataFrame:
+    """(by, place, value): exact values at given ranks of each group, for groups of any size.
 
-    A bounded sketch brackets the median (its rank error is at most n / accuracy);
-    then only the distinct values inside the bracket are counted and ordered.
+    `at` lists (share, rank of the group's number of known values); `place` is the position in it. A bounded sketch of
+    the values brackets each rank (its error is at most n / accuracy). What lies inside is counted by distinct value.
+    While a bracket holds more than SELECT_FEW distinct values, it is cut at SELECT_CUTS of their quantiles, and the
+    part that holds the rank is kept. No task orders more than SELECT_FEW values of a group. A group without known
+    values has no rows; a null group key names no group.
     """
     slack = 2.0 / accuracy
     ok = df.filter(F.col(col).isNotNull()).select(*by, F.col(col).cast("double").alias("_x"))
-    bounds = ok.groupBy(*by).agg(
-        F.percentile_approx("_x", [0.5 - slack, 0.5 + slack], accuracy).alias("_b"), F.count(F.lit(1)).alias("_n"))
-    bounds = bounds.select(*by, "_n", F.col("_b")[0].alias("_lo"), F.col("_b")[1].alias("_hi"))
-    # Equal values are merged first, so neither a hot group nor a hot value is moved row by row.
+    shares = [min(max(share + s, 0.0), 1.0) for share, _ in at for s in (-slack, slack)]
+    bounds = ok.groupBy(*by).agg(F.percentile_approx("_x", shares, accuracy).alias("_b"), F.count(F.lit(1)).alias("_n"))
+    ranges = F.array(*[F.struct(F.lit(i).alias("place"), rank(F.col("_n")).cast("long").alias("_rank"),
+                                F.col("_b")[2 * i].alias("_lo"), F.col("_b")[2 * i + 1].alias("_hi"))
+                       for i, (_, rank) in enumerate(at)])
+    key = [*by, "place", "_rank"]
+    # Equal values are merged first, so neither a hot group nor a hot value is moved row by row. Null: below the bracket.
     merged = ok.groupBy(*by, "_x").agg(F.count(F.lit(1)).alias("_m"))
-    counts = (salted_join(merged, bounds, by, ["_x"]).filter(F.col("_x") <= F.col("_hi"))
-              .groupBy(*by, "_n", F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_x"))
-              .agg(F.sum("_m").alias("_k")))
-    w = W.partitionBy(*by).orderBy(F.col("_x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
-    counts = counts.withColumn("_c", F.sum("_k").over(w))
+    counts = (salted_join(merged, bounds.select(*by, ranges.alias("_at")), by, ["_x"])
+              .select(*by, "_x", "_m", F.inline("_at")).filter(F.col("_x") <= F.col("_hi"))
+              .groupBy(*key, F.when(F.col("_x") >= F.col("_lo"), F.col("_x")).alias("_x")).agg(F.sum("_m").alias("_k")))
+    counts = cut_lineage(counts)
+    while (counts.groupBy(*key).agg(F.count("_x").alias("n")).agg(F.max("n")).first()[0] or 0) > SELECT_FEW:
+        counts = cut_lineage(_narrowed(counts, key))
+    picked = _holding(counts, key, "_x")
+    return picked.select(*by, "place", F.col("_x").alias("value"))
+
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_c") >= rank) & (F.col("_c") - F.col("_k") < rank), F.col("_x")))
+def _holding(counts: DataFrame, key: list[str], part: str) -> DataFrame:
+    """The row of each key whose part holds the rank: counts of the parts before it stay below the rank."""
+    w = W.partitionBy(*key).orderBy(F.col(part).asc_nulls_first()).rowsBetween(W.unboundedPreceding, 0)
+    upto = counts.withColumn("_c", F.sum("_k").over(w))
+    return upto.filter((F.col("_c") >= F.col("_rank")) & (F.col("_c") - F.col("_k") < F.col("_rank")))
 
-    lower, upper = F.floor((F.col("_n") + 1) / 2), F.floor(F.col("_n") / 2) + 1
-    return counts.groupBy(*by).agg(((at(lower) + at(upper)) / 2).alias("median"))
+
+def _narrowed(counts: DataFrame, key: list[str]) -> DataFrame:
+    """The counts of the part that holds the rank, and one count of all that lies below it."""
+    cuts = counts.groupBy(*key).agg(F.percentile_approx("_x", [i / SELECT_CUTS for i in range(1, SELECT_CUTS)], 10000).alias("_s"))
+    parts = (salted_join(counts, cuts, key, ["_x"])
+             .withColumn("_p", F.when(F.col("_x").isNotNull(), F.size(F.filter("_s", lambda s: s < F.col("_x"))))).drop("_s"))
+    held = _holding(parts.groupBy(*key, "_p").agg(F.sum("_k").alias("_k")), key, "_p").select(*key, F.col("_p").alias("_held"))
+    kept = salted_join(parts, held, key, ["_x"]).filter(F.col("_p").isNull() | (F.col("_p") <= F.col("_held")))
+    return kept.groupBy(*key, F.when(F.col("_p") == F.col("_held"), F.col("_x")).alias("_x")).agg(F.sum("_k").alias("_k"))
+
+
+def exact_median(df: DataFrame, by: list[str], col: str, accuracy: int = 10000) -> DataFrame:
+    """Exact median per group for groups of any size: the mean of the two middle values."""
+    middle = [(0.5, lambda n: F.floor((n + 1) / 2)), (0.5, lambda n: F.floor(n / 2) + 1)]
+    return order_statistics(df, by, col, middle, accuracy).groupBy(*by).agg((F.sum("value") / 2).alias("median"))
 
 
 def center(df: DataFrame, col: str) -> DataFrame:
@@ -148,10 +181,11 @@ def small_matrix(r: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def summary(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(name, n, mean, sd, min, q25, median, q75, max) per column; quartiles are values of the column, found by a
-    bounded sketch that is exact up to a million rows."""
+    """(name, n, mean, sd, min, q25, median, q75, max) per column; quartiles are exact values of the column."""
     long = lengthen(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), [], cols, "name", "value")
-    q = F.percentile_approx("value", [0.25, 0.5, 0.75], 1_000_000)
     out = long.groupBy("name").agg(F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-                                   F.min("value").alias("min"), q.alias("_q"), F.max("value").alias("max"))
-    return out.select("name", "n", "mean", "sd", "min", *[F.col("_q")[i].alias(c) for i, c in enumerate(("q25", "median", "q75"))], "max")
+                                   F.min("value").alias("min"), F.max("value").alias("max"))
+    names = ("q25", "median", "q75")
+    quartiles = (order_statistics(long, ["name"], "value", [(q, lambda n, q=q: F.greatest(F.ceil(n * q), F.lit(1))) for q in (0.25, 0.5, 0.75)])
+                 .groupBy("name").agg(*[F.max(F.when(F.col("place") == i, F.col("value"))).alias(c) for i, c in enumerate(names)]))
+    return out.join(quartiles, "name", "left").select("name", "n", "mean", "sd", "min", *names, "max")

@@ -230,3 +230,20 @@ def test_forest_leaves_out_unknown_columns(spark):
     wide = spark.createDataFrame(rows, "date date, A double, B double, C double")
     full, _ = I.impute_forest(wide, trees=3, depth=3, max_sweeps=1, report_error=False)
     assert full.columns == ["date", "A", "B"] and full.filter("B is null").count() == 0
+
+
+def test_logger_files_and_results_are_written_whole_and_read_back(spark, tmp_path):
+    rows = spark.createDataFrame([(7, "2021-01-31 23:00:00", 4, 1.5, None, -2.0, 900.0, 2), (7, "2021-01-31 23:00:00", 4, 9.5, 1.0, 1.0, 901.0, 1),
+                                  (7, "2021-02-01 00:00:00", 4, 2.5, 1.0, 1e-7, 902.0, 3), (None, "2021-02-01 00:00:00", 4, 3.5, 1.0, 1.0, 903.0, 4)],
+                                 "tomst_id long, t string, zone int, T1 double, T2 double, T3 double, moist double, at int")
+    rows = rows.withColumn("datetime", F.col("t").cast("timestamp_ntz"))
+    assert X.write_loggers(rows, str(tmp_path / "raw"), F.lit("10.41"), "at") == 2  # months
+    back = [(r["site"], r["tomst_id"], r["T1"], r["T2"], r["T3"], r["moist"]) for r in X.read_loggers(spark, str(tmp_path / "raw"), "oulu").orderBy("datetime").collect()]
+    assert back == [("Haap.10/41", 7, 1.5, None, -2.0, 900.0), ("Haap.10/41", 7, 2.5, 1.0, 1e-7, 902.0)]
+    res = spark.createDataFrame([("a/b", 'x, "y"', 1.0), ("a/b", None, 2.0), ("c", "z", None)], "unit string, name string, v double")
+    for _ in range(2):  # a repeated run replaces its files
+        assert X.write_results(res, str(tmp_path / "res"), "varimp", "unit", ["unit", "name", "v"]) == 2
+    assert sorted(p.name for p in (tmp_path / "res").iterdir()) == ["varimp_a_b.csv", "varimp_c.csv"]
+    found = X.read_results(spark, str(tmp_path / "res"), "varimp", "unit string, name string, v double")
+    assert {(r["unit"], r["name"], r["v"]) for r in found.collect()} == {tuple(r) for r in res.collect()}
+    assert X.write_files(res.limit(0).select(F.col("unit").alias("file"), F.col("name").alias("body")), str(tmp_path / "none")) == 0

@@ -141,8 +141,9 @@ def test_language_mixture(spark):
 def test_overlaps_counts_in_slices(monkeypatch):
     from thawline.llm import setjoin
     monkeypatch.setattr(setjoin, "SLICE", 3)
+    monkeypatch.setattr(setjoin, "COUNTED", 10)
     rng = np.random.default_rng(1)
-    own = [np.unique(rng.integers(0, 40, n).astype(np.uint64)) for n in (1, 5, 20, 30, 12)]
+    own = [np.unique(rng.integers(0, 60, n).astype(np.uint64) << np.uint64(58)) for n in (1, 5, 20, 30, 12)]
     want = [[len(np.intersect1d(a, b)) for b in own] for a in own]
     got = setjoin.overlaps(own)
     assert all(got[i, j] == want[i][j] for i in range(5) for j in range(5) if i != j)
@@ -325,6 +326,7 @@ def test_jaccard_open_pairs(spark, monkeypatch, lot):
     from thawline.llm import setjoin
     monkeypatch.setattr(setjoin, "LOT", lot)
     monkeypatch.setattr(setjoin, "SLICE", 37 * lot)
+    monkeypatch.setattr(setjoin, "LOT_MEMBERS", 125 * lot)
     rng, docs = random.Random(3), []
     for c in range(2):
         words = [f"w{c}_{i}" for i in range(120)]

@@ -28,6 +28,8 @@ FREQUENT = 24  # from so many documents on a shingle counts as frequent
 TABLE_BITS = 18  # the table of frequent shingles has a fixed size
 FILTER_BITS = 21
 LOT = 512  # open sets of a lot
+LOT_MEMBERS = 1 << 22  # members of the open sets of a lot, as dealt by hash
+COUNTED = 1 << 20  # members that are counted at once
 SLICE = 4096  # members of sets that one product counts
 
 
@@ -194,22 +196,30 @@ def verify(pairs: DataFrame, docs: DataFrame, rows: DataFrame, k: int) -> DataFr
 
 
 def overlaps(own: list[np.ndarray]) -> np.ndarray:
-    """Common members of every two sets. Members of a single set are left out and the rest taken in slices."""
-    sizes = np.array(list(map(len, own)))
-    owner = np.repeat(np.arange(len(own)), sizes)
+    """Common members of every two sorted sets, range of hashes by range of hashes."""
+    out = np.zeros((len(own), len(own)), np.float32)
+    ranges = max(1, -(-sum(map(len, own)) // COUNTED))
+    cuts = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    places = [[0, *np.searchsorted(h, cuts).tolist(), len(h)] for h in own]
+    for r in range(ranges):
+        _add_overlaps(out, [h[p[r]:p[r + 1]] for h, p in zip(own, places)])
+    return out
+
+
+def _add_overlaps(out: np.ndarray, own: list[np.ndarray]) -> None:
+    """Members of a single set are left out and the rest taken in slices."""
+    owner = np.repeat(np.arange(len(own)), list(map(len, own)))
     _, member, n = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
     shared = n[member] > 1
     owner, member = owner[shared], np.unique(member[shared], return_inverse=True)[1]
     order = np.argsort(member, kind="stable")
     owner, member = owner[order], member[order]
-    out = np.zeros((len(own), len(own)), np.float32)
     wide = int(member[-1]) + 1 if len(member) else 0
     for s in range(0, wide, SLICE):
         a, b = np.searchsorted(member, [s, s + SLICE])
         m = np.zeros((len(own), min(SLICE, wide - s)), np.float32)
         m[owner[a:b], member[a:b] - s] = 1
         out += m @ m.T
-    return out
 
 
 def joining_links(names: list[int], own: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -228,9 +238,13 @@ def joining_links(names: list[int], own: list[np.ndarray], percent: int) -> list
 
 
 def compare_open(open_rows: DataFrame, docs: DataFrame, rows: DataFrame, k: int, percent: int) -> DataFrame:
-    """(a, b): links that connect the open sets around each pivot `p`. A lot meets each other lot of its pivot once."""
-    sizes = open_rows.groupBy("p").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    members = open_rows.join(sizes, "p").withColumn("lots", F.ceil(F.col("n") / LOT).cast("int"))
+    """(a, b): links that connect the open sets (p, sid, n) around each pivot `p`.
+
+    A lot meets each other lot of its pivot once; lots are bounded by their sets and by their sets' members.
+    """
+    lots = F.greatest(F.ceil(F.count(F.lit(1)) / LOT), F.ceil(F.sum("n") / LOT_MEMBERS)).cast("int")
+    sizes = open_rows.groupBy("p").agg(F.count(F.lit(1)).alias("sets"), lots.alias("lots")).filter("sets > 1")
+    members = open_rows.join(sizes.select("p", "lots"), "p")
     mine = F.pmod(F.xxhash64("sid"), F.col("lots")).cast("int")
     meets = F.transform(F.sequence(F.lit(0), F.col("lots") - 1), lambda o: F.struct(F.least(o, mine).alias("i"), F.greatest(o, mine).alias("j")))
     dealt = members.select("p", "sid", F.inline(meets))
@@ -263,7 +277,7 @@ def linked(percent: int) -> Column:
 
 
 def open_sets(members: DataFrame, pivots: DataFrame, checked: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """(p, sid): the sets around each pivot that may link with another of its block and are not yet connected to it.
+    """(p, sid, n): the sets around each pivot that may link with another of its block and are not yet connected to it.
 
     low and high bound a set's distance to the pivot: the distance itself where it was counted, else what sizes say.
     """
@@ -285,7 +299,7 @@ def open_sets(members: DataFrame, pivots: DataFrame, checked: DataFrame, labels:
     # Sets near the pivot are connected; one matters only to a set outside that is close enough to it.
     return (rows.join(state, ["token", "block"])
             .filter(~near & ((F.col("outs") > 1) | (F.col("low") - F.col("edge") <= far)) | near & (F.col("closest") - F.col("high") <= far))
-            .select("p", "sid").distinct())
+            .select("p", "sid", "n").distinct())
 
 
 def join(docs: DataFrame, k: int, percent: int) -> DataFrame:

@@ -95,6 +95,56 @@ def test_pii_sample_is_bounded_and_distinct(spark):
     assert pii.learn(spark.createDataFrame(odd, "doc_id long, text string")).trees is None
 
 
+def test_pii_trees_find_disguised_spans_and_leave_look_alikes(spark):
+    """Learned from plain spans and look-alikes; 200 disguised spans and 200 other look-alikes were never seen."""
+    import random
+
+    from thawline.llm import pii
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdeinorst") for _ in range(rng.randrange(2, 9)))
+    number = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+
+    def card():
+        body = number(15)
+        return next(body + c for c in "0123456789" if pii.luhn(body + c))
+
+    make = (lambda: f"{word()}.{word()}@{word()}.example.org", lambda: ".".join(str(rng.randrange(1, 255)) for _ in range(4)),
+            card, lambda: f"+{number(1)} ({number(3)}) {number(3)}-{number(4)}")
+
+    def like():
+        bad = next(c for c in (number(16) for _ in range(99)) if not pii.luhn(c))
+        return rng.choice([bad, f"{number(2)},{number(2)}", f"20{number(2)}-0{number(1)}-1{number(1)} 1{number(1)}:2{number(1)}", f"{number(3)}.99 (at) {word()}",
+                           f"v{number(1)}.{number(2)}.{number(1)}", f"no. {number(9)}"])
+
+    say = lambda middle: " ".join(word() for _ in range(8)) + f" {middle} " + " ".join(word() for _ in range(8))
+    train = [say(make[i % 4]()) for i in range(1200)] + [say(like()) for _ in range(1200)]
+    model = pii.learn(spark.createDataFrame(list(enumerate(train)), "doc_id long, text string").repartition(5))
+    assert model.trees is not None and max(model.thresholds) < 1
+    found, right, added = 0, 0, 0
+    for i in range(200):
+        span = make[i % 4]()
+        new = rng.choice(pii.disguised(i % 4, span))
+        text = say(new)
+        start = text.index(new)
+        base, every = pii.all_spans(model, text)
+        assert set(pii.base_spans(text)) == set(base) <= set(every)
+        more = [s for s in every if s not in base]
+        added += len(more)
+        right += sum(s[1] < start + len(new) and start < s[2] for s in more)
+        found += any(s[1] <= start and start + len(new) <= s[2] for s in every)
+    wrong = sum(len(e) > len(b) for b, e in (pii.all_spans(model, say(like())) for _ in range(200)))
+    assert found >= 180 and right >= 0.98 * added and wrong <= 4, (found, right, added, wrong)
+
+
+def test_pii_disguises_are_the_same_and_differ_from_the_span():
+    from thawline.llm import pii
+    for kind, span in ((0, "a.b@c.example.com"), (1, "1.2.3.44"), (2, "4785-3805 9239 1139"), (3, "+1 (743) 555-3824")):
+        new = pii.disguised(kind, span)
+        assert new and new == pii.disguised(kind, span) and span not in new and len(set(new)) == len(new) <= pii.DISGUISES
+        keep = lambda t: [c for c in t if c.isdigit() or kind == 0 and c in "bcemx"]
+        assert all(keep(t)[-4:] == keep(span)[-4:] for t in new)
+
+
 def test_secret_base(results):
     for r in results("op3"):
         want = brute.secret_base(texts()[r.doc_id])

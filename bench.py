@@ -28,7 +28,8 @@ def main() -> None:
     names = os.environ.get("BENCH_QUERIES", "").split() or HEADLINE
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("thawline-bench")
              .config("spark.sql.shuffle.partitions", cpus).config("spark.driver.memory", "8g")
-             .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
+             .config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", os.environ.get("THAWLINE_SHARED", "/tmp/thawline-shared")).config("spark.ui.showConsoleProgress", "false")
              .config("spark.sql.session.timeZone", "UTC").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")
     spark.read.parquet(f"{sf_dir}/events.parquet").groupBy("event_type").count().collect()  # start the executor

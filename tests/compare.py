@@ -18,6 +18,7 @@ def session(cpus: int = int(os.environ.get("THAWLINE_CPUS", "8"))):
     from pyspark.sql import SparkSession
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("thawline")
              .config("spark.sql.shuffle.partitions", "8").config("spark.ui.enabled", "false")
+             .config("spark.checkpoint.dir", os.environ.get("THAWLINE_SHARED", "/tmp/thawline-shared"))
              .config("spark.driver.memory", "8g").config("spark.sql.session.timeZone", "UTC")
              .config("spark.ui.showConsoleProgress", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

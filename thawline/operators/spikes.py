@@ -6,7 +6,7 @@ thresholds come from a table, and every window is one (site, month, sensor).
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from thawline.functions import clock_seconds, if_known, month_index
@@ -40,35 +40,47 @@ def own_rows(rows: DataFrame, network: str) -> DataFrame:
     return rows.filter(_allowed("spike_own", network) & F.col("value").isNotNull())
 
 
-def _block_peers(pdf: pd.DataFrame) -> pd.DataFrame:
+PEERS = "site string, my int, sensor string, peer string, cor double"
+
+
+def _flat(table: pa.Table, column: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place in `rows`, value) of the array column of the given rows; an unknown value is NaN."""
+    lists = table[column].take(pa.array(rows)).combine_chunks()
+    return np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _block_peers(table: pa.Table) -> pa.Table:
     """Best peer of each own site among one block of sites, per sensor, by matrix products."""
-    columns = ["site", "my", "sensor", "peer", "cor"]
-    own, peer = pdf[pdf["own"]], pdf[~pdf["own"]]
-    if own.empty or peer.empty:
-        return pd.DataFrame(columns=columns)
-    stamp = pd.Index(own["stamp"].unique())
-    peer_row = stamp.get_indexer(peer["stamp"])
-    peer, peer_row = peer[peer_row >= 0], peer_row[peer_row >= 0]
-    own_row = stamp.get_indexer(own["stamp"])
-    own_col, a_sites = pd.factorize(own["site"], sort=True)
-    peer_col, b_sites = pd.factorize(peer["site"], sort=True)
-    if len(b_sites) == 0:
-        return pd.DataFrame(columns=columns)
-    found = []
-    for sensor in SENSORS:
-        def dense(row, col, width, values, present):
+    sites, sensors = np.array(table["site"].to_pylist(), object), np.array(table["sensor"].to_pylist(), object)
+    mine = np.flatnonzero([s is not None for s in sensors])
+    theirs = np.flatnonzero([s is None for s in sensors])
+    found = {c: [] for c in ("site", "my", "sensor", "peer", "cor")}
+    if len(mine) and len(theirs):
+        theirs = theirs[np.argsort(sites[theirs])]  # the first of equals counts: peers are in name order
+        stamp = np.unique(_flat(table, "stamp", mine)[1])
+        peer_col, peer_stamp = _flat(table, "stamp", theirs)
+        peer_row = np.minimum(np.searchsorted(stamp, peer_stamp), len(stamp) - 1)
+        met = stamp[peer_row] == peer_stamp
+        peer_row, peer_col = peer_row[met], peer_col[met]
+    for sensor in SENSORS if len(mine) and len(theirs) else ():
+        rows = mine[sensors[mine] == sensor]
+        if not len(rows):
+            continue
+
+        def dense(row, col, width, values):
             here, x = np.zeros((len(stamp), width)), np.full((len(stamp), width), np.nan)
-            here[row[present], col[present]] = 1.0
-            x[row, col] = values
+            here[row, col] = 1.0
+            np.fmax.at(x, (row, col), values)
             known = here * ~np.isnan(x)
             # Centred on the site's mean so that the sums of products keep their digits.
             mean = np.nansum(x, axis=0) / np.maximum(known.sum(axis=0), 1)
             return here, known, np.where(known > 0, x - mean, 0.0)
 
-        mine = own[sensor].to_numpy(dtype=float)
-        a_here, _, a = dense(own_row, own_col, len(a_sites), mine, ~np.isnan(mine))
-        theirs = peer[sensor].to_numpy(dtype=float)
-        b_here, b_known, b = dense(peer_row, peer_col, len(b_sites), theirs, np.ones(len(theirs), dtype=bool))
+        own_col, own_stamp = _flat(table, "stamp", rows)
+        values = _flat(table, "T1", rows)[1]
+        good = ~np.isnan(values)
+        a_here, _, a = dense(np.searchsorted(stamp, own_stamp)[good], own_col[good], len(rows), values[good])
+        b_here, b_known, b = dense(peer_row, peer_col, len(theirs), _flat(table, sensor, theirs)[1][met])
         n = a_here.T @ b_here
         unknown = a_here.T @ (b_here - b_known) > 0
         sx, sy, sxy = a.T @ b_here, a_here.T @ b, a.T @ b
@@ -80,12 +92,16 @@ def _block_peers(pdf: pd.DataFrame) -> pd.DataFrame:
             cor = np.where(unknown | flat | (n < 2), np.nan, (n * sxy - sx * sy) / np.sqrt(vx * vy))
         cor = np.round(cor, 12)  # equal correlations must not be told apart by the last bits
         rank = np.where(np.isnan(cor), -2.0, cor)
-        rank[(n == 0) | (np.asarray(a_sites)[:, None] == np.asarray(b_sites)[None, :])] = -np.inf
-        best = rank.argmax(axis=1)  # the first of equals: peers are in name order
-        i = np.flatnonzero(np.isfinite(rank[np.arange(len(a_sites)), best]))
-        found.append(pd.DataFrame({"site": a_sites[i], "my": pdf["my"].iloc[0], "sensor": sensor,
-                                   "peer": b_sites[best[i]], "cor": cor[i, best[i]]}, columns=columns))
-    return pd.concat(found)
+        rank[(n == 0) | (sites[rows][:, None] == sites[theirs][None, :])] = -np.inf
+        best = rank.argmax(axis=1)
+        i = np.flatnonzero(np.isfinite(rank[np.arange(len(rows)), best]))
+        found["site"] += sites[rows[i]].tolist()
+        found["my"] += [table["my"][0].as_py()] * len(i)
+        found["sensor"] += [sensor] * len(i)
+        found["peer"] += sites[theirs[best[i]]].tolist()
+        found["cor"] += cor[i, best[i]].tolist()
+    return pa.table({c: pa.array(found[c], t) for c, t in (("site", pa.string()), ("my", pa.int32()), ("sensor", pa.string()),
+                                                           ("peer", pa.string()), ("cor", pa.float64()))})
 
 
 def best_peer(own: DataFrame, every: DataFrame, network: str, n_blocks: int | None = None) -> DataFrame:
@@ -95,26 +111,27 @@ def best_peer(own: DataFrame, every: DataFrame, network: str, n_blocks: int | No
     correlation uses the stamps of the own readings the peer has too and is unknown if
     the peer has an unknown or unusable value there; unknown ones come last, equal ones
     by name. Every site is compared with every other, but no pair of readings is ever
-    formed: sites are cut into blocks, each task multiplies two blocks' (stamp x site)
-    matrices of one month and returns the best per own site. A reading is copied once
-    per block, and a task holds two blocks of logger months.
+    formed: a site's month is packed into one row of arrays, sites are cut into blocks,
+    each task multiplies two blocks' (stamp x site) matrices of one month and returns
+    the best per own site. A packed month is copied once per block, and a task holds
+    two blocks of logger months.
     """
     if n_blocks is None:
         n_blocks = max(1, -(-every.select("site").distinct().count() // BLOCK_SITES))
     codes = {s: keep_codes_for("spike_peer", network, s) for s in SENSORS}
     blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
     block = F.pmod(F.xxhash64("site"), F.lit(n_blocks)).cast("int")
-    theirs = every.select("site", F.lit(False).alias("own"), month_index("datetime").alias("my"), "datetime",
-                          *[F.when(F.col("probl").isin(*codes[s]), F.col(s)).alias(s) for s in SENSORS],
-                          block.alias("_b"), blocks.alias("_a"))
-    # One row per reading again: its three sensors share the stamp.
-    mine = own.groupBy("site", "my", "datetime").agg(
-        *[F.max(F.when(F.col("sensor") == s, F.col("value"))).alias(s) for s in SENSORS])
-    mine = mine.select("site", F.lit(True).alias("own"), "my", "datetime", *SENSORS, block.alias("_a"), blocks.alias("_b"))
-    both = mine.unionByName(theirs)
-    both = both.select("my", "_a", "_b", "own", "site", clock_seconds("datetime").alias("stamp"), *SENSORS)
-    found = both.groupBy("my", "_a", "_b").applyInPandas(
-        _block_peers, "site string, my int, sensor string, peer string, cor double")
+    stamp = clock_seconds("datetime").cast("long").alias("stamp")
+    usable = [F.when(F.col("probl").isin(*codes[s]), F.col(s)).cast("double").alias(s) for s in SENSORS]
+    theirs = (every.groupBy("site", month_index("datetime").alias("my")).agg(F.collect_list(F.struct(stamp, *usable)).alias("_r"))
+              .select("site", F.lit(None).cast("string").alias("sensor"), "my", *[F.col("_r")[c].alias(c) for c in ("stamp", *SENSORS)],
+                      block.alias("_b"), blocks.alias("_a")))
+    mine = (own.groupBy(*GROUP).agg(F.collect_list(F.struct(stamp, F.col("value").cast("double").alias("value"))).alias("_r"))
+            .select("site", "sensor", "my", F.col("_r")["stamp"].alias("stamp"), F.col("_r")["value"].alias("T1"),
+                    block.alias("_a"), blocks.alias("_b")))
+    both = mine.unionByName(theirs, allowMissingColumns=True)
+    both = both.select(F.col("my").cast("int").alias("my"), "_a", "_b", "site", "sensor", "stamp", *SENSORS)
+    found = both.groupBy("my", "_a", "_b").applyInArrow(_block_peers, PEERS)
     found = found.withColumn("cor", F.nanvl("cor", F.lit(None).cast("double")))
     order = F.struct((-F.coalesce("cor", F.lit(-2.0))).alias("k"), "peer", "cor")
     return found.groupBy(*GROUP).agg(F.min(order).alias("_m")).select(*GROUP, "_m.peer", "_m.cor")

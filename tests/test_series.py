@@ -184,6 +184,19 @@ def test_best_peer_order(spark, blocks):
     assert out["D"][0] == "A" and out["D"][1] == pytest.approx(1.0)
 
 
+def test_a_month_is_stored_once_whatever_the_blocks(spark, monkeypatch, tmp_path):
+    rng = np.random.default_rng(3)
+    data = [(f"s{i}", 0, [None if rng.random() < 0.02 else float(v) for v in rng.normal(size=30)]) for i in range(20)]
+    every, found, stored = all_readings(spark, data), [], []
+    for blocks in (1, 7):
+        monkeypatch.setattr(S, "new_folder", lambda spark, name, b=blocks: f"{tmp_path}/{b}")
+        plan = S.best_peer(soil_rows(every, "site < 's15'"), every, "oulu", blocks)
+        found.append({(r.site, r.my): (r.peer, r.cor) for r in plan.collect()})
+        stored.append(spark.read.parquet(f"{tmp_path}/{blocks}").count())
+    assert found[0] == found[1] and len(found[0]) > 0
+    assert stored == [every.select("site", month_index("datetime")).distinct().count()] * 2
+
+
 def test_unknown_correlations_still_choose_by_name(spark):
     every = all_readings(spark, [("A", 0, [1.0, 2.0, 3.0]), ("C", 0, [None, 1.0, 2.0]), ("B", 1, [1.0, 2.0, 3.0])])
     out = S.best_peer(soil_rows(every, "site = 'A'"), every, "oulu", 3).first()

@@ -15,10 +15,11 @@ from thawline.functions.tables import (
     SPIKE_HUGE, SPIKE_QUIET, SPIKE_RATIO_RULES, SPIKE_STEP_LIMIT, keep_codes_for,
 )
 from thawline.operators.filters import supported
+from thawline.sources import new_folder, read_part
 
 SENSORS = ("T1", "T2", "T3")
 GROUP = ["site", "my", "sensor"]
-BLOCK_SITES = 64  # sites per side of one correlation task
+BLOCK_SITES = 64  # own sites of a month from which on a block of them is divided
 
 
 def _allowed(stage: str, network: str) -> Column:
@@ -41,67 +42,104 @@ def own_rows(rows: DataFrame, network: str) -> DataFrame:
 
 
 PEERS = "site string, my int, sensor string, peer string, cor double"
+BLOCK_READINGS = 1 << 18  # readings of a month in one block of sites
+CELLS = 1 << 21  # cells of a (stamp x site) matrix
 
 
-def _flat(table: pa.Table, column: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(place in `rows`, value) of the array column of the given rows; an unknown value is NaN."""
-    lists = table[column].take(pa.array(rows)).combine_chunks()
-    return np.repeat(np.arange(len(rows)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
-
-
-def _block_peers(table: pa.Table) -> pa.Table:
-    """Best peer of each own site among one block of sites, per sensor, by matrix products."""
-    sites, sensors = np.array(table["site"].to_pylist(), object), np.array(table["sensor"].to_pylist(), object)
-    mine = np.flatnonzero([s is not None for s in sensors])
-    theirs = np.flatnonzero([s is None for s in sensors])
-    found = {c: [] for c in ("site", "my", "sensor", "peer", "cor")}
-    if len(mine) and len(theirs):
-        theirs = theirs[np.argsort(sites[theirs])]  # the first of equals counts: peers are in name order
-        stamp = np.unique(_flat(table, "stamp", mine)[1])
-        peer_col, peer_stamp = _flat(table, "stamp", theirs)
-        peer_row = np.minimum(np.searchsorted(stamp, peer_stamp), len(stamp) - 1)
-        met = stamp[peer_row] == peer_stamp
-        peer_row, peer_col = peer_row[met], peer_col[met]
-    for sensor in SENSORS if len(mine) and len(theirs) else ():
-        rows = mine[sensors[mine] == sensor]
-        if not len(rows):
-            continue
-
-        def dense(row, col, width, values):
-            here, x = np.zeros((len(stamp), width)), np.full((len(stamp), width), np.nan)
-            here[row, col] = 1.0
-            np.fmax.at(x, (row, col), values)
-            known = here * ~np.isnan(x)
-            # Centred on the site's mean so that the sums of products keep their digits.
-            mean = np.nansum(x, axis=0) / np.maximum(known.sum(axis=0), 1)
-            return here, known, np.where(known > 0, x - mean, 0.0)
-
-        own_col, own_stamp = _flat(table, "stamp", rows)
-        values = _flat(table, "T1", rows)[1]
-        good = ~np.isnan(values)
-        a_here, _, a = dense(np.searchsorted(stamp, own_stamp)[good], own_col[good], len(rows), values[good])
-        b_here, b_known, b = dense(peer_row, peer_col, len(theirs), _flat(table, sensor, theirs)[1][met])
-        n = a_here.T @ b_here
-        unknown = a_here.T @ (b_here - b_known) > 0
+def _flat(table: pa.Table, column: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of an array column; an unknown value is NaN."""
+    lists = table[column].combine_chunks()
+    return np.repeat(np.arange(len(table)), lists.value_lengths().to_numpy()), lists.flatten().to_numpy(zero_copy_only=False)
+
+
+def _dense(row: np.ndarray, col: np.ndarray, values: np.ndarray, shape: tuple[int, int]):
+    """Which (stamp, site) is there, which of them is known, and the known values."""
+    at = row * shape[1] + col
+    times = np.bincount(at, minlength=shape[0] * shape[1])
+    x = np.full(len(times), np.nan)
+    if len(times) and times.max() > 1:
+        np.fmax.at(x, at, values)
+    else:
+        x[at] = values
+    here, x = (times > 0).reshape(shape), x.reshape(shape)
+    known = here & ~np.isnan(x)
+    # Centred on the site's mean so that the sums of products keep their digits.
+    mean = np.nansum(x, axis=0) / np.maximum(known.sum(axis=0), 1)
+    return here, known, np.where(known, x - mean, 0.0)
+
+
+def _ranked(mine, theirs, same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(rank, correlation) of each own site with each peer; no rank where they share no stamp.
+
+    Counts of stamps tell first which pairs have a correlation at all; sums of products are formed for their sites only.
+    """
+    (a_here, _, a), (b_here, b_known, b) = mine, theirs
+    few = a_here.astype(np.float32).T
+    n = few @ b_here.astype(np.float32)
+    met = (n > 0) & ~same
+    open_ = met & (n >= 2) & ~(few @ (b_here & ~b_known).astype(np.float32) > 0)
+    cor = np.full(n.shape, np.nan)
+    i, j = np.flatnonzero(open_.any(axis=1)), np.flatnonzero(open_.any(axis=0))
+    if len(i):
+        n, a_here, a, b_here, b = n[np.ix_(i, j)].astype(float), a_here[:, i].astype(float), a[:, i], b_here[:, j].astype(float), b[:, j]
         sx, sy, sxy = a.T @ b_here, a_here.T @ b, a.T @ b
         sxx, syy = (a * a).T @ b_here, a_here.T @ (b * b)
         with np.errstate(all="ignore"):
             vx, vy = n * sxx - sx * sx, n * syy - sy * sy
             # A constant series leaves rounding noise in place of a zero variance.
             flat = (vx <= 1e-12 * np.maximum(n * sxx, 1e-300)) | (vy <= 1e-12 * np.maximum(n * syy, 1e-300))
-            cor = np.where(unknown | flat | (n < 2), np.nan, (n * sxy - sx * sy) / np.sqrt(vx * vy))
-        cor = np.round(cor, 12)  # equal correlations must not be told apart by the last bits
-        rank = np.where(np.isnan(cor), -2.0, cor)
-        rank[(n == 0) | (sites[rows][:, None] == sites[theirs][None, :])] = -np.inf
-        best = rank.argmax(axis=1)
-        i = np.flatnonzero(np.isfinite(rank[np.arange(len(rows)), best]))
-        found["site"] += sites[rows[i]].tolist()
-        found["my"] += [table["my"][0].as_py()] * len(i)
-        found["sensor"] += [sensor] * len(i)
-        found["peer"] += sites[theirs[best[i]]].tolist()
-        found["cor"] += cor[i, best[i]].tolist()
-    return pa.table({c: pa.array(found[c], t) for c, t in (("site", pa.string()), ("my", pa.int32()), ("sensor", pa.string()),
-                                                           ("peer", pa.string()), ("cor", pa.float64()))})
+            found = np.where(flat | ~open_[np.ix_(i, j)], np.nan, (n * sxy - sx * sy) / np.sqrt(vx * vy))
+        cor[np.ix_(i, j)] = np.round(found, 12)  # equal correlations must not be told apart by the last bits
+    return np.where(met, np.where(np.isnan(cor), -2.0, cor), -np.inf), cor
+
+
+def _best_peers(my: int, own: pa.Table, blocks) -> pa.Table:
+    """Best peer of each own site and sensor of a month among all blocks of peers, by matrix products."""
+    sites, sensors = np.array(own["site"].to_pylist(), object), np.array(own["sensor"].to_pylist(), object)
+    col, stamp = _flat(own, "stamp")
+    values = _flat(own, "value")[1]
+    good = ~np.isnan(values)
+    stamps, row = np.unique(stamp, return_inverse=True)
+    width = max(1, CELLS // max(1, len(stamps)))
+
+    def own_parts():
+        for sensor in SENSORS:
+            rows = np.flatnonzero(sensors == sensor)
+            for k in range(0, len(rows), width):
+                part = rows[k:k + width]
+                place = np.full(len(sites), -1)
+                place[part] = np.arange(len(part))
+                mine = good & (place[col] >= 0)
+                yield sensor, part, _dense(row[mine], place[col[mine]], values[mine], (len(stamps), len(part)))
+
+    kept = list(own_parts()) if len(stamps) * len(sites) <= 2 * CELLS else None
+    best, cor, peer = np.full(len(sites), -np.inf), np.full(len(sites), np.nan), np.full(len(sites), None, object)
+    for block in blocks:
+        names = np.array(block["site"].to_pylist(), object)
+        block = block.take(pa.array(np.argsort(names)))  # the first of equals counts: peers are in name order
+        names = np.sort(names)
+        peer_col, peer_stamp = _flat(block, "stamp")
+        peer_row = np.minimum(np.searchsorted(stamps, peer_stamp), len(stamps) - 1)
+        met = stamps[peer_row] == peer_stamp
+        theirs = {s: _flat(block, s)[1] for s in SENSORS}
+        for k in range(0, len(names), width):
+            part = np.flatnonzero(met & (peer_col >= k) & (peer_col < k + width))
+            at, few = (peer_row[part], peer_col[part] - k), names[k:k + width]
+            dense: dict[str, tuple] = {}
+            for sensor, rows, mine in kept or own_parts():
+                if sensor not in dense:
+                    dense = {sensor: _dense(*at, theirs[sensor][part], (len(stamps), len(few)))}
+                rank, r = _ranked(mine, dense[sensor], sites[rows][:, None] == few[None, :])
+                first = rank.argmax(axis=1)
+                top = rank[np.arange(len(rows)), first]
+                better = top > best[rows]
+                for i in np.flatnonzero((top == best[rows]) & np.isfinite(top)):
+                    better[i] = few[first[i]] < peer[rows[i]]
+                i = np.flatnonzero(better)
+                best[rows[i]], cor[rows[i]], peer[rows[i]] = top[i], r[i, first[i]], few[first[i]]
+    i = np.flatnonzero(np.isfinite(best))
+    return pa.table({"site": pa.array(sites[i], pa.string()), "my": pa.array(np.full(len(i), my), pa.int32()), "sensor": pa.array(sensors[i], pa.string()),
+                     "peer": pa.array(peer[i], pa.string()), "cor": pa.array(cor[i], pa.float64(), mask=np.isnan(cor[i]))})
 
 
 def best_peer(own: DataFrame, every: DataFrame, network: str, n_blocks: int | None = None) -> DataFrame:
@@ -111,30 +149,39 @@ def best_peer(own: DataFrame, every: DataFrame, network: str, n_blocks: int | No
     correlation uses the stamps of the own readings the peer has too and is unknown if
     the peer has an unknown or unusable value there; unknown ones come last, equal ones
     by name. Every site is compared with every other, but no pair of readings is ever
-    formed: a site's month is packed into one row of arrays, sites are cut into blocks,
-    each task multiplies two blocks' (stamp x site) matrices of one month and returns
-    the best per own site. A packed month is copied once per block, and a task holds
-    two blocks of logger months.
+    formed and no reading is copied: a site's month is packed into one row of arrays,
+    and all sites' months are written once, by month and block of sites, to the shared
+    folder. A task holds one block of own months, reads the blocks of its month one
+    after the other, multiplies the (stamp x site) matrices and keeps the best so far.
     """
+    spark = every.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    my = month_index("datetime").cast("int").alias("my")
+    every, own = (df.filter("site is not null and datetime is not null") for df in (every, own))
+    sizes = every.groupBy(my).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("site").alias("sites"))
+    size = sizes.agg(F.max("n").alias("n"), F.max("sites").alias("sites"), F.count(F.lit(1)).alias("months")).first()
+    months = max(1, size["months"])
     if n_blocks is None:
-        n_blocks = max(1, -(-every.select("site").distinct().count() // BLOCK_SITES))
+        n_blocks = max(1, -(-(size["n"] or 0) // BLOCK_READINGS))
+    n_own = max(n_blocks, min(-(-(size["sites"] or 0) // BLOCK_SITES), 3 * cores))  # small tables keep all cores busy
     codes = {s: keep_codes_for("spike_peer", network, s) for s in SENSORS}
-    blocks = F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)))
-    block = F.pmod(F.xxhash64("site"), F.lit(n_blocks)).cast("int")
+    block = lambda n: F.pmod(F.xxhash64("site"), F.lit(n)).cast("int").alias("_b")
     stamp = clock_seconds("datetime").cast("long").alias("stamp")
     usable = [F.when(F.col("probl").isin(*codes[s]), F.col(s)).cast("double").alias(s) for s in SENSORS]
-    theirs = (every.groupBy("site", month_index("datetime").alias("my")).agg(F.collect_list(F.struct(stamp, *usable)).alias("_r"))
-              .select("site", F.lit(None).cast("string").alias("sensor"), "my", *[F.col("_r")[c].alias(c) for c in ("stamp", *SENSORS)],
-                      block.alias("_b"), blocks.alias("_a")))
-    mine = (own.groupBy(*GROUP).agg(F.collect_list(F.struct(stamp, F.col("value").cast("double").alias("value"))).alias("_r"))
-            .select("site", "sensor", "my", F.col("_r")["stamp"].alias("stamp"), F.col("_r")["value"].alias("T1"),
-                    block.alias("_a"), blocks.alias("_b")))
-    both = mine.unionByName(theirs, allowMissingColumns=True)
-    both = both.select(F.col("my").cast("int").alias("my"), "_a", "_b", "site", "sensor", "stamp", *SENSORS)
-    found = both.groupBy("my", "_a", "_b").applyInArrow(_block_peers, PEERS)
-    found = found.withColumn("cor", F.nanvl("cor", F.lit(None).cast("double")))
-    order = F.struct((-F.coalesce("cor", F.lit(-2.0))).alias("k"), "peer", "cor")
-    return found.groupBy(*GROUP).agg(F.min(order).alias("_m")).select(*GROUP, "_m.peer", "_m.cor")
+    folder = new_folder(spark, "peers")
+    theirs = every.select(my, block(n_blocks), "site", stamp, *usable).repartition(min(months * n_blocks, 2000), "my", "_b")
+    theirs = theirs.groupBy("my", "_b", "site").agg(F.collect_list(F.struct("stamp", *SENSORS)).alias("_r"))
+    theirs.select("my", "_b", "site", *[F.col("_r")[c].alias(c) for c in ("stamp", *SENSORS)]).write.partitionBy("my", "_b").parquet(folder)
+
+    def search(key, table):
+        month = key[0].as_py()
+        found = (read_part(f"{folder}/my={month}/_b={b}") for b in range(n_blocks))
+        return _best_peers(month, table, (t for t in found if t is not None))
+
+    mine = own.select(F.col("my").cast("int").alias("my"), block(n_own), "site", "sensor", stamp, F.col("value").cast("double").alias("value"))
+    mine = mine.repartition(min(months * n_own, 2000), "my", "_b").groupBy("my", "_b", "site", "sensor").agg(F.collect_list(F.struct("stamp", "value")).alias("_r"))
+    mine = mine.select("my", "_b", "site", "sensor", F.col("_r")["stamp"].alias("stamp"), F.col("_r")["value"].alias("value"))
+    return mine.groupBy("my", "_b").applyInArrow(search, PEERS)
 
 
 def with_peer(own: DataFrame, every: DataFrame, peers: DataFrame) -> DataFrame:

@@ -247,3 +247,19 @@ def test_logger_files_and_results_are_written_whole_and_read_back(spark, tmp_pat
     found = X.read_results(spark, str(tmp_path / "res"), "varimp", "unit string, name string, v double")
     assert {(r["unit"], r["name"], r["v"]) for r in found.collect()} == {tuple(r) for r in res.collect()}
     assert X.write_files(res.limit(0).select(F.col("unit").alias("file"), F.col("name").alias("body")), str(tmp_path / "none")) == 0
+
+
+def test_cells_of_many_sites_are_made_by_many_tasks(spark, monkeypatch):
+    """Every date with every site without a column per site, and no task makes all cells of a run."""
+    monkeypatch.setattr(I, "CELLS_A_TASK", 500)
+    day = [dt.date(2021, 6, 1) + dt.timedelta(days=i) for i in range(10)]
+    rows = [(f"S{s}", day[(s + i) % 10], 100.0, 0, float(s + i)) for s in range(1500) for i in range(4)]
+    days = spark.createDataFrame(rows, "site string, date date, T1_prop double, probl int, T1_mean double")
+    known = {(r[1], r[0]): r[4] for r in rows}
+    long = I.impute_matrix(days, "T1_mean", wide=False)
+    got = {(r.date, r.site): r.value for r in long.collect()}
+    assert got == {(d, f"S{s}"): known.get((d, f"S{s}")) for d in day for s in range(1500)} and long.count() == 15_000
+    cells = I.dense_cells(I.measured_cells(days, ["T1_mean"]))
+    assert cells.count() == 15_000 and max(r.n for r in cells.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()) < 2_000
+    wide = I.impute_matrix(days.filter("site in ('S1', 'S2')"), "T1_mean")
+    assert {(r.date, s): r[s] for r in wide.collect() for s in ("S1", "S2")} == {k: v for k, v in got.items() if k[1] in ("S1", "S2") and k[0] in {r[1] for r in rows if r[0] in ("S1", "S2")}}

@@ -136,6 +136,51 @@ def test_pii_trees_find_disguised_spans_and_leave_look_alikes(spark):
     assert found >= 180 and right >= 0.98 * added and wrong <= 4, (found, right, added, wrong)
 
 
+def test_pii_learns_from_every_text(spark):
+    """More texts than a sample held, and more spans in a text; copies count once wherever they lie."""
+    from thawline.llm import pii
+    many = 20_500
+    rows = [(i, f"mail a{i}@b.de") for i in range(many)] * 2 + [(None, " ".join(f"c{i}@d.org" for i in range(80))), (None, None)]
+    table = pii.training_table(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    got = {(r.y, r.beyond): r.n for r in table.groupBy("y", "beyond").agg({"n": "sum"}).toDF("y", "beyond", "n").collect()}
+    assert got[True, False] == many + 80 and got[True, True] > many
+
+
+def test_pii_thresholds_equal_brute_force(spark):
+    from thawline.llm import pii
+    rng = np.random.default_rng(3)
+    rows = []
+    for kind, clean in ((0, 0.99), (1, 0.8), (3, 0.0)):
+        p = rng.choice([1e-9, 0.02, 0.5, 0.7, 0.9, 0.97, 0.999, 1.0], 400)
+        rows += [(kind, float(q), int(n), int(n) if rng.random() < (clean if q > 0.6 else 0.3) else 0) for q, n in zip(p, rng.integers(1, 4, 400))]
+    want = {}
+    for k in (0, 1, 3):
+        for q in sorted({r[1] for r in rows}):
+            own = [r for r in rows if r[0] == k and r[1] >= q]
+            hits = sum(r[3] for r in own)
+            if k not in want and hits >= pii.LEAST_CALIBRATION and hits / sum(r[2] for r in own) >= 0.9:
+                want[k] = q
+    got = pii.calibrated(spark.createDataFrame(rows, "kind int, p double, n long, hits long").repartition(7), 0.9).collect()
+    assert want and {r.kind: r.p for r in got} == want
+
+
+def test_trees_do_not_depend_on_how_rows_are_dealt(spark):
+    from pyspark.sql import functions as F
+
+    from thawline.llm.boost import BoostedTrees
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, 30, (1500, 3))
+    y = (x[:, 0] > 12) & (x[:, 1] < 20)
+    rows = spark.createDataFrame([(a, bool(b), 1) for a, b in zip(x.tolist(), y)], "x array<int>, y boolean, n long")
+    trees = BoostedTrees(rounds=10).fit(rows.repartition(6), 3)
+    again = BoostedTrees(rounds=10).fit(rows.groupBy("x", "y").agg(F.sum("n").alias("n")).repartition(2), 3)
+    for j in range(3):
+        edges = trees.edges[j][np.isfinite(trees.edges[j])]
+        assert edges.tolist() == np.unique(np.quantile(x[:, j], np.arange(1, 16) / 16)).tolist()
+    assert all((getattr(trees, a) == getattr(again, a)).all() for a in ("feature", "cut", "value"))
+    assert ((trees.probability(x) > 0.5) == y).mean() > 0.97
+
+
 def test_pii_disguises_are_the_same_and_differ_from_the_span():
     from thawline.llm import pii
     for kind, span in ((0, "a.b@c.example.com"), (1, "1.2.3.44"), (2, "4785-3805 9239 1139"), (3, "+1 (743) 555-3824")):

@@ -1,10 +1,10 @@
 """Personal data: overlapping candidate spans, boosted trees over format and context, calibrated thresholds.
 
 Base spans follow fixed rules and are always kept. Generators propose further spans with high recall, overlapping
-each other and the base. Boosted trees learn from a bounded sample of candidates and see format and context, never the
-outcome of a rule. Positives are base spans and the same spans disguised in their place (written signs, other
-separators, a missing plus), which the rules no longer find; negatives are all other candidates. On the part of the
-sample that was not fitted, each kind gets the lowest threshold at which the candidates beyond the base keep its
+each other and the base. Boosted trees learn from the candidates of all distinct texts and see format and context,
+never the outcome of a rule. Positives are base spans and the same spans disguised in their place (written signs, other
+separators, a missing plus), which the rules no longer find; negatives are all other candidates. On the half of the
+texts that was not fitted, each kind gets the lowest threshold at which the candidates beyond the base keep its
 precision; a kind that never reaches it adds nothing.
 """
 from __future__ import annotations
@@ -15,14 +15,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .boost import BoostedTrees
-from .common import giving_back, text_of
+from .common import dropping_exchanges, giving_back, stored, text_of
 
 KINDS = ("email", "ip", "card", "phone")
-SAMPLE_DOCS = 20_000  # at most so many distinct texts give training candidates
-SAMPLE_PER_DOC = 50
+AT_ONCE = 4096  # spans of a text whose features are taken at once
 PRECISION = 0.98
 LEAST_CALIBRATION = 20  # disguised positives a kind needs on the calibration part
 DISGUISES = 3  # at most so many of each base span
@@ -134,13 +133,15 @@ def disguised(kind: int, span: str) -> list[str]:
     return out
 
 
-def training_rows(text: str) -> tuple[list[np.ndarray], list[bool], list[bool]]:
-    """(features, positive, beyond the base) of the candidates of a text and of its base spans in disguise."""
-    base = list(dict.fromkeys(base_spans(text)))[:SAMPLE_PER_DOC]
+def training_rows(text: str):
+    """Pieces (features, positive, beyond the base) of all candidates of a text and of its base spans in disguise."""
+    base = list(dict.fromkeys(base_spans(text)))
     known = set(base)
-    others = [s for s in dict.fromkeys(candidates(text)) if s not in known][:SAMPLE_PER_DOC]
-    xs = [features(text, base + others)] if base or others else []
-    ys, beyond = [True] * len(base) + [False] * len(others), [False] * len(base) + [True] * len(others)
+    others = [s for s in dict.fromkeys(candidates(text)) if s not in known]
+    for spans, plain in ((base, True), (others, False)):
+        for i in range(0, len(spans), AT_ONCE):
+            own = spans[i:i + AT_ONCE]
+            yield features(text, own), [plain] * len(own), [not plain] * len(own)
     for kind, a, b in base:
         left, right = text[max(0, a - AROUND):a], text[b:b + AROUND]
         for new in disguised(kind, text[a:b]):
@@ -148,10 +149,7 @@ def training_rows(text: str) -> tuple[list[np.ndarray], list[bool], list[bool]]:
             rules = set(base_spans(near))
             spans = [s for s in dict.fromkeys(candidates(near)) if s not in rules and s[1] < end and start < s[2]]
             if spans:
-                xs.append(features(near, spans))
-                ys += [s == (kind, start, end) for s in spans]
-                beyond += [True] * len(spans)
-    return xs, ys, beyond
+                yield features(near, spans), [s == (kind, start, end) for s in spans], [True] * len(spans)
 
 
 def candidates(text: str) -> list[tuple[int, int, int]]:
@@ -203,73 +201,100 @@ class PiiModel:
     thresholds: tuple[float, ...] = field(default=(2.0,) * len(KINDS))  # above 1: the kind adds nothing
 
 
-def sampled(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> DataFrame:
-    """(_h, text): at most `sample_docs` distinct texts, those first in hash order; copies are one text.
+def hash_of_text():
+    return F.shiftrightunsigned(F.xxhash64(text_of(), F.lit("pii")), 1)
 
-    Only hashes are counted over all rows. Copies are folded in each task before the few texts are exchanged.
-    """
-    rows = docs.select(F.shiftrightunsigned(F.xxhash64(text_of(), F.lit("pii")), 1).alias("_h"), text_of().alias("text"))
-    n = rows.select("_h").distinct().count()
-    share = min(1.0, (sample_docs + 6 * sample_docs ** 0.5 + 20) / max(n, 1))  # hardly ever too few; the first are taken
 
-    def fold(batches):
-        have = set()
-        for batch in batches:
-            own = batch.column("_h").to_pylist()
-            new = []
-            for i, h in enumerate(own):
-                if h not in have:
-                    have.add(h)
-                    new.append(i)
-            if new:
-                yield batch.take(pa.array(new, pa.int64()))
+def sampled(docs: DataFrame, sample_docs: int) -> DataFrame:
+    """(_h, text): at most `sample_docs` distinct texts, those first in hash order, to look at. Nothing is learned from it."""
+    rows = docs.select(hash_of_text().alias("_h"), text_of().alias("text"))
+    return rows.dropDuplicates(["_h"]).orderBy("_h").limit(sample_docs)
 
-    near = rows.filter(F.col("_h") <= min((1 << 63) - 1, int(share * (1 << 63))))
-    return near.mapInArrow(fold, "_h long, text string").dropDuplicates(["_h"]).orderBy("_h").limit(sample_docs)
 
+def training_table(docs: DataFrame) -> DataFrame:
+    """(x, y, beyond, fold, n): the training rows of all distinct texts, equal ones counted; a text lies in one fold.
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> PiiModel:
-    """Trees and thresholds from a bounded sample of distinct texts, chosen by their hash."""
+    Copies of a text are folded in each task, where it remembers them, and then by the text's hash; no text is exchanged.
+    """
     width = features("", []).shape[1]
 
-    def sample(batches):
+    def counted(batches):
+        met: set = set()
         for batch in batches:
-            xs, ys, beyond, folds = [], [], [], []
             for text, h in zip(batch.column("text").to_pylist(), batch.column("_h").to_pylist()):
-                x, y, far = training_rows(text)
-                xs += x
-                ys += y
-                beyond += far
-                folds += [h % 2] * len(y)
-            if xs:
-                yield pa.record_batch({"x": pa.array(list(np.concatenate(xs)), pa.list_(pa.float64())), "y": pa.array(ys),
-                                       "beyond": pa.array(beyond), "fold": pa.array(folds, pa.int32())})
-
-    texts = sampled(docs, sample_docs).repartition(64, "_h")
-    got = texts.mapInArrow(sample, "x array<double>, y boolean, beyond boolean, fold int").toArrow()
-    y, beyond, fold = got["y"].to_numpy().astype(float), got["beyond"].to_numpy().astype(bool), got["fold"].to_numpy()
-    x = np.concatenate([np.empty(0), *[c.flatten().to_numpy() for c in got["x"].chunks]]).reshape(-1, width)
-    order = np.lexsort([*x.T, y, beyond, fold])  # the fit does not depend on the order of tasks
-    x, y, beyond, fold = x[order], y[order], beyond[order], fold[order]
-    fit = fold == 0
-    if (fit & ~(beyond & (y == 1))).sum() < 20 or len(set(y[fit])) < 2:
+                if h in met:
+                    continue
+                if len(met) > 200_000:
+                    met.clear()
+                met.add(h)
+                got = [np.column_stack([x, y, far]).astype(np.int32) for x, y, far in training_rows(text)]
+                if got:
+                    yield h, *np.unique(np.concatenate(got), axis=0, return_counts=True)
+
+    def run(batches):
+        kept, size = [], 0
+
+        def taken():
+            rows = np.concatenate([r for _, r, _ in kept])
+            x = pa.FixedSizeListArray.from_arrays(pa.array(rows[:, :width].ravel()), width).cast(pa.list_(pa.int32()))
+            return pa.record_batch({"_h": pa.array(np.repeat([h for h, _, _ in kept], [len(r) for _, r, _ in kept]), pa.int64()), "x": x,
+                                    "y": pa.array(rows[:, width] == 1), "beyond": pa.array(rows[:, width + 1] == 1),
+                                    "n": pa.array(np.concatenate([n for _, _, n in kept]), pa.int64())})
+
+        for one in counted(batches):
+            kept.append(one)
+            size += len(one[1])
+            if size >= AT_ONCE:
+                yield taken()
+                kept, size = [], 0
+        if kept:
+            yield taken()
+
+    rows = (docs.select(hash_of_text().alias("_h"), text_of().alias("text"))
+            .mapInArrow(giving_back(run), "_h long, x array<int>, y boolean, beyond boolean, n long"))
+    once = rows.groupBy("_h", "x", "y", "beyond").agg(F.max("n").alias("n"))
+    return once.groupBy("x", "y", "beyond", (F.col("_h") % 2).cast("int").alias("fold")).agg(F.sum("n").alias("n"))
+
+
+def learn(docs: DataFrame) -> PiiModel:
+    """Trees from one half of all distinct texts, thresholds from the other."""
+    width = features("", []).shape[1]
+    table = stored(training_table(docs), "pii-training")
+    fit = table.filter("fold = 0")
+    seen = fit.agg(F.sum(F.when(~(F.col("beyond") & F.col("y")), F.col("n"))).alias("n"), F.count_distinct("y").alias("answers")).first()
+    if (seen["n"] or 0) < 20 or seen["answers"] < 2:
         return PiiModel()
-    trees = BoostedTrees().fit(x[fit], y[fit])
-    p, out = trees.probability(x[~fit]), []
-    for k in range(len(KINDS)):
-        own = (x[~fit][:, k] == 1) & beyond[~fit]
-        out.append(calibrate(p[own], y[~fit][own]))
-    return PiiModel(trees, tuple(out))
-
-
-def calibrate(p: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> float:
-    """The lowest threshold from which on at least `precision` of the candidates are positives; 2 if there is none."""
-    order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
-    good = (hits / np.arange(1, len(p) + 1) >= precision) & (hits >= LEAST_CALIBRATION)
-    last = np.r_[p[order][1:] < p[order][:-1], True] if len(p) else np.empty(0, bool)
-    good = np.flatnonzero(good & last)
-    return float(p[order][good[-1]]) if len(good) else 2.0
+    trees = BoostedTrees().fit(fit, width)
+
+    def score(batches):
+        for batch in batches:
+            x = batch.column("x").flatten().to_numpy().reshape(-1, width)
+            hits = np.where(batch.column("y").to_numpy(zero_copy_only=False), batch.column("n").to_numpy(), 0)
+            yield pa.record_batch({"kind": pa.array(x[:, :len(KINDS)].argmax(1), pa.int32()), "p": pa.array(trees.probability(x)),
+                                   "n": batch.column("n"), "hits": pa.array(hits, pa.int64())})
+
+    scored = table.filter("fold = 1 and beyond").mapInArrow(giving_back(score), "kind int, p double, n long, hits long")
+    with dropping_exchanges(docs.sparkSession):
+        got = {r["kind"]: r["p"] for r in calibrated(scored).collect()}
+    return PiiModel(trees, tuple(got.get(k, 2.0) for k in range(len(KINDS))))
+
+
+def calibrated(scored: DataFrame, precision: float = PRECISION) -> DataFrame:
+    """(kind, p): the lowest threshold from which on at least `precision` of a kind's candidates are positives.
+
+    Candidates (kind, p, n, hits) are counted by their score; running sums go over ranges of scores, then within each.
+    A kind that never reaches the precision, or with fewer positives than LEAST_CALIBRATION, has no row.
+    """
+    part = F.floor(32 * (F.log(F.col("p") + 1e-12) - F.log(1 - F.col("p") + 1e-12))).alias("part")
+    sums = [F.sum("n").alias("n"), F.sum("hits").alias("hits")]
+    scores = scored.groupBy("kind", "p").agg(*sums).select("kind", "p", part, "n", "hits")
+    above = Window.partitionBy("kind").orderBy(F.desc("part")).rowsBetween(Window.unboundedPreceding, -1)
+    parts = scores.groupBy("kind", "part").agg(*sums).select(
+        "kind", "part", *[F.coalesce(F.sum(c).over(above), F.lit(0)).alias(f"{c}_above") for c in ("n", "hits")])
+    within = Window.partitionBy("kind", "part").orderBy(F.desc("p")).rowsBetween(Window.unboundedPreceding, 0)
+    upto = scores.join(parts, ["kind", "part"]).select(
+        "kind", "p", *[(F.col(f"{c}_above") + F.sum(c).over(within)).alias(c) for c in ("n", "hits")])
+    return upto.filter((F.col("hits") / F.col("n") >= precision) & (F.col("hits") >= LEAST_CALIBRATION)).groupBy("kind").agg(F.min("p").alias("p"))
 
 
 def all_spans(model: PiiModel, text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:

@@ -307,6 +307,32 @@ def test_points_in_polygons_equals_brute_force(spark):
     assert {r["site"] for r in V.points_in_polygons(points, shape, "out").collect()} == {f"p{i}" for i in range(400)} - want
 
 
+def test_points_in_many_overlapping_polygons(spark, monkeypatch):
+    """Cut tiles give what every point against every edge gives; comparisons do not grow with points x edges."""
+    from collections import Counter
+    rng = np.random.default_rng(6)
+    shapes = [[(float(cx + rx * np.cos(a)), float(cy + ry * np.sin(a))) for a in np.arange(0, 6.2, 0.9)]
+              for cx, cy, rx, ry in zip(rng.uniform(0, 9, 60), rng.uniform(0, 9, 60), rng.uniform(0.2, 2.5, 60), rng.uniform(0.2, 2.5, 60))]
+    rows = [(f"f{i}", 0, j, *v) for i, pts in enumerate(shapes) for j, v in enumerate(pts)]
+    rows += [r for r in rows if r[0] in ("f3", "f4")]  # a shape that came twice has each edge an even number of times
+    probe = [(f"p{i}", float(x), float(y)) for i, (x, y) in enumerate(rng.uniform(-2, 11, (900, 2)))]
+    probe += probe[:5] + [("p9", 4.0, 4.0), (None, 4.0, 4.0), ("none", None, 4.0)]
+
+    def around(x, y):
+        crossings = lambda pts: sum((y1 <= y) != (y2 <= y) and x1 + (y - y1) * (x2 - x1) / (y2 - y1) > x for (x1, y1), (x2, y2) in zip(pts, pts[1:] + pts[:1]))
+        return {i for i, pts in enumerate(shapes) if i not in (3, 4) and crossings(pts) % 2}
+
+    hits = Counter((k, f) for k, x, y in probe if k and x is not None for f in around(x, y))
+    want = {k for (k, _), n in hits.items() if n % 2}
+    shape = spark.createDataFrame(rows, "feature_id string, part_id int, seq int, x double, y double")
+    points = spark.createDataFrame(probe, "site string, x double, y double")
+    for pairs in (64, 1):
+        monkeypatch.setattr(V, "PAIRS", pairs)
+        monkeypatch.setattr(V, "CUTS", 2)
+        assert {r["site"] for r in V.points_in_polygons(points, shape).collect()} == want
+    assert sorted(r["site"] or "" for r in V.points_in_polygons(points, shape, "out").collect()) == sorted(k or "" for k, _, _ in probe if k not in want)
+
+
 @pytest.mark.parametrize("band", [1, 7, 62])
 def test_proximity_in_bands(spark, band):
     rng = np.random.default_rng(2)

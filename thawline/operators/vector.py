@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from thawline.functions import conform_site
 from thawline.operators.grid import CELL, Grid, ceil_int
+from thawline.sources import cut_lineage
 
 PART = ["feature_id", "part_id"]
 
@@ -112,6 +113,11 @@ def edges(vertices: DataFrame, closed: bool) -> DataFrame:
     return start.join(ends, [*PART, "_next"]).drop("_next")
 
 
+def worked_out(df: DataFrame) -> DataFrame:
+    """The same rows; what follows reads the columns instead of working out their expressions again wherever they are named."""
+    return df.select(F.inline(F.array(F.struct(*df.columns))))
+
+
 def clip_lines(vertices: DataFrame, box: tuple[float, float, float, float]) -> DataFrame:
     """The parts of line segments inside the box, cut at its border."""
     e = edges(vertices, closed=False)
@@ -122,7 +128,7 @@ def clip_lines(vertices: DataFrame, box: tuple[float, float, float, float]) -> D
         enter = F.when(p < 0, F.greatest(enter, t)).otherwise(enter)
         leave = F.when(p > 0, F.least(leave, t)).otherwise(leave)
         outside = outside | ((p == 0) & (q < 0))
-    e = e.withColumns({"_t0": enter, "_t1": leave, "_out": outside}).filter(~F.col("_out") & (F.col("_t0") <= F.col("_t1")))
+    e = worked_out(e.withColumns({"_t0": enter, "_t1": leave, "_out": outside})).filter(~F.col("_out") & (F.col("_t0") <= F.col("_t1")))
     return e.select(*PART, "seq", *[(F.col(f"{c}1") + F.col(t) * d).alias(f"{c}{i}")
                                     for i, t in ((1, "_t0"), (2, "_t1")) for c, d in (("x", dx), ("y", dy))])
 
@@ -165,7 +171,7 @@ def line_cells(vertices: DataFrame, grid: Grid) -> DataFrame:
     lies in one cell, the one of its middle.
     """
     box = (grid.x0, grid.y0, grid.x0 + grid.cols * grid.size, grid.y0 + grid.rows * grid.size)
-    e = clip_lines(vertices, box)
+    e = worked_out(clip_lines(vertices, box))
 
     def borders(a, b, origin, count):
         low, high = F.least(a, b), F.greatest(a, b)
@@ -177,7 +183,7 @@ def line_cells(vertices: DataFrame, grid: Grid) -> DataFrame:
     cuts = F.concat(borders(F.col("x1"), F.col("x2"), grid.x0, grid.cols), borders(F.col("y1"), F.col("y2"), grid.y0, grid.rows),
                     F.array(F.lit(0.0), F.lit(1.0)))
     inner = F.filter(cuts, lambda t: t.isNotNull() & (t >= 0) & (t <= 1))
-    e = e.withColumn("_t", F.array_sort(F.array_distinct(inner)))
+    e = worked_out(e.withColumn("_t", F.array_sort(F.array_distinct(inner))))
     middles = F.zip_with(F.slice("_t", F.lit(1), F.size("_t") - 1), F.slice("_t", F.lit(2), F.size("_t") - 1), lambda a, b: (a + b) / 2)
     m = e.withColumn("_m", F.explode(middles))
     cells = m.select("feature_id", grid.row_of(F.col("y1") + F.col("_m") * (F.col("y2") - F.col("y1"))).alias("row"),
@@ -198,12 +204,42 @@ def mask_polygons(cells: DataFrame, vertices: DataFrame, grid: Grid, inverse: bo
     return cells.join(inside, CELL, "left_anti" if inverse else "left_semi")
 
 
+def odd(df: DataFrame, by: list[str], count: str | None = None) -> DataFrame:
+    """The groups with an odd number of rows, or an odd sum of `count`."""
+    return df.groupBy(*by).agg((F.count(F.lit(1)) if count is None else F.sum(count)).alias("_odd")).filter("_odd % 2 = 1").select(*by)
+
+
+def way_out(grid: Grid) -> Column:
+    """How often the way from (x, y) to the right border of its tile, and down it to the tile's corner, crosses an edge."""
+    x, y = F.col("x"), F.col("y")
+    border, floor_y = grid.x0 + (F.col("col") + 1) * grid.size, grid.y0 + F.col("row") * grid.size
+    at = F.col("x1") + (y - F.col("y1")) * F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    below = F.col("y1") + (border - F.col("x1")) * F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
+    along = ((F.col("y1") <= y) != (F.col("y2") <= y)) & (at > x) & (at <= border)
+    down = ((F.col("x1") <= border) != (F.col("x2") <= border)) & (below > floor_y) & (below <= y)
+    return F.coalesce(along, F.lit(False)).cast("int") + F.coalesce(down, F.lit(False)).cast("int")
+
+
+def around(points: DataFrame, by: list[str], tiled: DataFrame, corners: DataFrame, grid: Grid) -> DataFrame:
+    """(by, feature_id): the polygons around each point (by, x, y, row, col), from the edges and the corner of its tile."""
+    hits = points.join(tiled, CELL).select(*by, "feature_id", way_out(grid).alias("_n")).filter("_n > 0")
+    hits = hits.unionByName(points.join(corners, CELL).select(*by, "feature_id", F.lit(1).alias("_n")))
+    return odd(hits, [*by, "feature_id"], "_n")
+
+
+PAIRS = 64  # a tile is cut when points x edges are more than so many for each of its points and edges
+CUTS = 8
+PARTS = 4  # a tile is cut into so many rows and columns
+
+
 def points_in_polygons(points: DataFrame, vertices: DataFrame, keep: str = "in", key: str = "site", tile: float = 4.0) -> DataFrame:
     """Points inside any polygon, or outside all of them (keep = 'out').
 
     A point meets only the edges of its own tile: the way from the point to the right border of its tile and along it
     to the tile's lower corner crosses a polygon once for each of them, and whether the corner is inside is known from
-    the rows of corners the polygon covers.
+    the rows of corners the polygon covers. All points of a tile that lies within one polygon are inside and meet no edge.
+    Other tiles with many points and many edges are cut further; corners of the pieces are points of the tile.
+    Points that share a key count together, as crossings: an even number of equal ones is outside.
     """
     # Borders off round coordinates, so that vertices hardly ever lie on them.
     span = points.agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
@@ -211,22 +247,46 @@ def points_in_polygons(points: DataFrame, vertices: DataFrame, keep: str = "in",
         return points
     x0, y0 = span["x0"] - 0.5390817 * tile, span["y0"] - 0.4719263 * tile
     grid = Grid(x0, y0, tile, int((span["y1"] - y0) / tile) + 2, int((span["x1"] - x0) / tile) + 2)
-    border, floor_y = grid.x0 + (F.col("col") + 1) * tile, grid.y0 + F.col("row") * tile
-    p = points.withColumns({"row": grid.row_of(F.col("y")), "col": grid.col_of(F.col("x"))})
+
+    def placed(df: DataFrame) -> DataFrame:
+        return df.withColumns({"row": grid.row_of(F.col("y")), "col": grid.col_of(F.col("x"))})
+
+    def in_tiles(e: DataFrame) -> DataFrame:
+        ends = F.array(*[F.struct(F.lit(i).alias("seq"), F.col(f"_e.x{i + 1}").alias("x"), F.col(f"_e.y{i + 1}").alias("y")) for i in (0, 1)])
+        segments = e.select(F.col("_e").alias("feature_id"), F.lit(0).alias("part_id"), F.inline(ends))
+        cells = line_cells(segments, grid).withColumnRenamed("feature_id", "_e")
+        return cells.select(*CELL, "_e", F.col("_e.feature_id").alias("feature_id"), *[F.col(f"_e.{c}").alias(c) for c in ("x1", "y1", "x2", "y2")])
+
+    known = points.filter("x is not null and y is not null").withColumns({"x": F.col("x").cast("double"), "y": F.col("y").cast("double")})
+    places = known.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct("x", "y")).alias("_a"), F.max(F.struct("x", "y")).alias("_b"))
+    single = places.filter("_a = _b and _n % 2 = 1").select(key, "_a.x", "_a.y")
+    several = placed(known.join(places.filter("_a <> _b").select(key), key).select(key, "x", "y"))
     # Corners are the cell centres of a grid shifted by half a tile.
-    corners = polygon_cells(vertices, Grid(x0 + tile / 2, y0 - tile / 2, tile, grid.rows, grid.cols)).withColumn("_n", F.lit(1))
+    corners = cut_lineage(odd(polygon_cells(vertices, Grid(x0 + tile / 2, y0 - tile / 2, tile, grid.rows, grid.cols)), [*CELL, "feature_id"]))
     ring = edges(vertices, closed=True).filter((F.col("x1") != F.col("x2")) | (F.col("y1") != F.col("y2")))
-    numbered = ring.select("feature_id", F.struct(*PART, "seq").alias("_e"), "x1", "y1", "x2", "y2")
-    ends = F.array(F.struct(F.lit(0).alias("seq"), F.col("x1").alias("x"), F.col("y1").alias("y")),
-                   F.struct(F.lit(1).alias("seq"), F.col("x2").alias("x"), F.col("y2").alias("y")))
-    segments = numbered.select(F.col("_e").alias("feature_id"), F.lit(0).alias("part_id"), F.inline(ends))
-    tiled = line_cells(segments, grid).withColumnRenamed("feature_id", "_e").join(numbered, "_e").drop("_e")
-    x, y = F.col("x"), F.col("y")
-    at = F.col("x1") + (y - F.col("y1")) * F.try_divide(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-    below = F.col("y1") + (border - F.col("x1")) * F.try_divide(F.col("y2") - F.col("y1"), F.col("x2") - F.col("x1"))
-    along = ((F.col("y1") <= y) != (F.col("y2") <= y)) & (at > x) & (at <= border)
-    down = ((F.col("x1") <= border) != (F.col("x2") <= border)) & (below > floor_y) & (below <= y)
-    hits = p.join(tiled, CELL).select(key, "feature_id", (F.coalesce(along, F.lit(False)).cast("int") + F.coalesce(down, F.lit(False)).cast("int")).alias("_n"))
-    hits = hits.unionByName(p.join(corners, CELL).select(key, "feature_id", "_n"))
-    inside = (hits.filter("_n > 0").groupBy(key, "feature_id").agg(F.sum("_n").alias("_n")).filter("_n % 2 = 1").select(key).distinct())
-    return points.join(inside, key, "left_semi" if keep == "in" else "left_anti")
+    tiled = cut_lineage(in_tiles(odd(ring.select(F.struct(*PART, "seq", "x1", "y1", "x2", "y2").alias("_e")), ["_e"])))
+    inside = around(several, [key], tiled, corners, grid).select(key)
+    left = cut_lineage(placed(single.select("x", "y").distinct()))
+    for cuts in range(CUTS + 1):
+        full = corners.join(tiled, [*CELL, "feature_id"], "left_anti").select(*CELL).distinct()
+        within = left.join(full, CELL, "left_semi").select("x", "y")
+        left = left.join(full, CELL, "left_anti")
+        p, e = F.col("_p"), F.col("_c")
+        load = (left.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_p")).join(tiled.groupBy(*CELL).agg(F.count(F.lit(1)).alias("_c")), CELL)
+                .select(*CELL, ((p * e > PAIRS * (p + e)) & (cuts < CUTS)).alias("heavy")))
+        left = left.join(load, CELL)
+        found = around(left.filter("not heavy"), ["x", "y"], tiled, corners, grid).select("x", "y")
+        inside = inside.unionByName(single.join(cut_lineage(within.unionByName(found).distinct()), ["x", "y"]).select(key))
+        left = cut_lineage(left.filter("heavy").drop("heavy"))
+        if left.isEmpty():
+            break
+        whole, grid = grid, Grid(x0, y0, grid.size / PARTS, grid.rows * PARTS, grid.cols * PARTS)
+        pieces = cut_lineage(placed(left.select("x", "y")).select(*CELL).distinct())
+        as_points = pieces.select(F.col("row").alias("_r"), F.col("col").alias("_k"), F.expr(f"row div {PARTS}").cast("int").alias("row"),
+                                  F.expr(f"col div {PARTS}").cast("int").alias("col"), (grid.x0 + (F.col("col") + 1) * grid.size).alias("x"),
+                                  (grid.y0 + F.col("row") * grid.size).alias("y"))
+        new = around(as_points, ["_r", "_k"], tiled, corners, whole).withColumnsRenamed({"_r": "row", "_k": "col"})
+        mine = tiled.join(left.select(*CELL).distinct(), CELL, "left_semi").select("_e").distinct()
+        tiled, corners = cut_lineage(in_tiles(mine).join(pieces, CELL, "left_semi")), cut_lineage(new)
+        left = placed(left.select("x", "y"))
+    return points.join(inside.distinct(), key, "left_semi" if keep == "in" else "left_anti")

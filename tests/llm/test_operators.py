@@ -164,6 +164,19 @@ def test_pii_thresholds_equal_brute_force(spark):
     assert want and {r.kind: r.p for r in got} == want
 
 
+def test_global_order_is_by_level_then_hash():
+    from thawline.llm import setjoin, words
+    rng = np.random.default_rng(8)
+    table = rng.choice([0, 0, 0, 4, 5, 17], 1 << setjoin.TABLE_BITS).astype(np.uint8)
+    for text in ("", "one two", " ".join(f"w{i}" for i in rng.integers(0, 900, 5000))):
+        h = words.shingle_set(text, 4)
+        assert h.tolist() == sorted(set(words.shingles(text, 4).tolist()))
+        rare = h % np.uint64(setjoin.RARE_PART) == 0
+        level = table[(h >> np.uint64(64 - setjoin.TABLE_BITS)).astype(int)].astype(int)
+        want = np.lexsort([h, np.where(rare, np.where(level == 0, 0, 1 + level), 1)])
+        assert setjoin.global_order(h, table).tolist() == want.tolist()
+
+
 def test_trees_do_not_depend_on_how_rows_are_dealt(spark):
     from pyspark.sql import functions as F
 

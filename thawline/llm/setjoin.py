@@ -21,9 +21,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import chunks, dropping_exchanges, giving_back, stored, text_of
 from .components import components
-from .words import shingle_set
+from .words import shingle_set, shingles
 
-RARE_PART = 4  # frequencies are counted for shingles whose hash is 0 modulo this; these come first in the order
+RARE_PART = 4  # (a power of two) frequencies are counted for shingles whose hash is 0 modulo this; these come first in the order
 FREQUENT = 24  # from so many documents on a shingle counts as frequent
 TABLE_BITS = 18  # the table of frequent shingles has a fixed size
 FILTER_BITS = 21
@@ -35,8 +35,20 @@ SLICE = 4096  # members of sets that one product counts
 
 def _level_key(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     """0: counted and not frequent; 1: not counted; above: frequent, by the log of its documents."""
-    level = table[(h >> np.uint64(64 - TABLE_BITS)).astype(np.int64)].astype(np.int64)
-    return np.where(h % np.uint64(RARE_PART) == 0, np.where(level == 0, 0, 1 + level), 1)
+    key = np.ones(len(h), np.uint8)
+    own = counted(h)
+    level = table[(h[own] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+    key[own] = level + (level > 0)
+    return key
+
+
+def counted(h: np.ndarray) -> np.ndarray:
+    return h & np.uint64(RARE_PART - 1) == 0
+
+
+def global_order(h: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Places of sorted hashes in the global order: by level, then by hash. Small whole keys sort in linear time."""
+    return np.argsort(_level_key(h, table), kind="stable")
 
 
 def frequent(docs: DataFrame, k: int) -> np.ndarray:
@@ -45,9 +57,8 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
         for batch in batches:
             texts = batch.column("text").to_pylist()
             for a, b in chunks(texts, 1 << 22):
-                own = [shingle_set(t, k) for t in texts[a:b]]
-                h = np.concatenate(own)
-                h, n = np.unique(h[h % np.uint64(RARE_PART) == 0], return_counts=True)
+                own = [shingles(t, k) for t in texts[a:b]]
+                h, n = np.unique(np.concatenate([np.unique(h[counted(h)]) for h in own]), return_counts=True)
                 yield pa.record_batch({"h": pa.array(h.view(np.int64), pa.int64()), "n": pa.array(n, pa.int32())})
 
     place = F.shiftrightunsigned("h", 64 - TABLE_BITS)
@@ -91,7 +102,7 @@ def sets(docs: DataFrame, k: int, percent: int, table: np.ndarray) -> DataFrame:
                 if len(met) > 200_000:
                     met.clear()
                 met.add(sid)
-                order = np.lexsort([h, _level_key(h, table)])[:prefix_length(n, percent)]
+                order = global_order(h, table)[:prefix_length(n, percent)]
                 prefixes.append(h[order].view(np.int64))
             yield pa.record_batch({"doc_id": ids, "n": pa.array(sizes, pa.int64()), "sid": pa.array(names, pa.int64()),
                                    "prefix": pa.array(prefixes, pa.list_(pa.int64()))})

@@ -177,6 +177,23 @@ def test_global_order_is_by_level_then_hash():
         assert setjoin.global_order(h, table).tolist() == want.tolist()
 
 
+def test_table_of_frequent_shingles_grows_with_them(spark):
+    """Few places are taken whatever the number of frequent shingles, so few rare ones pass for frequent; the least frequent go last."""
+    from thawline.llm import setjoin
+    text = " ".join(f"w{i}" for i in range(70_000))
+    docs = spark.createDataFrame([(i, text) for i in range(setjoin.FREQUENT)] + [(100, "a b c d e f g")], "doc_id long, text string")
+    table = setjoin.frequent(docs.repartition(4), 4)
+    taken = np.count_nonzero(table)
+    assert taken > 16_000 and taken * setjoin.FREE <= len(table) > 1 << 18
+    places = np.random.default_rng(2).choice(1 << setjoin.MOST_BITS, 400_000, replace=False)
+    level = np.where(np.arange(400_000) < 150_000, 7, 4)
+    full = setjoin.level_table(places, level)
+    assert len(full) == 1 << setjoin.MOST_BITS and np.count_nonzero(full) == 150_000 and (full[places[:150_000]] == 7).all()
+    few = setjoin.level_table(places[:1000], level[:1000])
+    assert len(few) == 1 << setjoin.TABLE_BITS and (few[places[:1000] >> (setjoin.MOST_BITS - setjoin.TABLE_BITS)] == 7).all()
+    assert not setjoin.level_table(places[:0], level[:0]).any()
+
+
 def test_trees_do_not_depend_on_how_rows_are_dealt(spark):
     from pyspark.sql import functions as F
 

@@ -25,8 +25,9 @@ from .words import shingle_set, shingles
 
 RARE_PART = 4  # (a power of two) frequencies are counted for shingles whose hash is 0 modulo this; these come first in the order
 FREQUENT = 24  # from so many documents on a shingle counts as frequent
-TABLE_BITS = 18  # the table of frequent shingles has a fixed size
-FILTER_BITS = 21
+TABLE_BITS, MOST_BITS = 18, 22  # least and most places of the table of frequent shingles, as powers of two
+FREE = 16  # places of that table for each taken one, at least: a shingle in a taken place passes for frequent
+FILTER_BITS = 24
 LOT = 512  # open sets of a lot
 LOT_MEMBERS = 1 << 22  # members of the open sets of a lot, as dealt by hash
 COUNTED = 1 << 20  # members that are counted at once
@@ -37,7 +38,7 @@ def _level_key(h: np.ndarray, table: np.ndarray) -> np.ndarray:
     """0: counted and not frequent; 1: not counted; above: frequent, by the log of its documents."""
     key = np.ones(len(h), np.uint8)
     own = counted(h)
-    level = table[(h[own] >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
+    level = table[(h[own] >> np.uint64(65 - len(table).bit_length())).astype(np.int64)]
     key[own] = level + (level > 0)
     return key
 
@@ -52,7 +53,7 @@ def global_order(h: np.ndarray, table: np.ndarray) -> np.ndarray:
 
 
 def frequent(docs: DataFrame, k: int) -> np.ndarray:
-    """Log2 of the documents of frequent shingles, in a table of 2^TABLE_BITS places, from all documents."""
+    """`level_table` of all documents."""
     def run(batches):
         for batch in batches:
             texts = batch.column("text").to_pylist()
@@ -61,14 +62,27 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
                 h, n = np.unique(np.concatenate([np.unique(h[counted(h)]) for h in own]), return_counts=True)
                 yield pa.record_batch({"h": pa.array(h.view(np.int64), pa.int64()), "n": pa.array(n, pa.int32())})
 
-    place = F.shiftrightunsigned("h", 64 - TABLE_BITS)
-    levels = (docs.mapInArrow(giving_back(run), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
-              .groupBy(place.cast("int").alias("p")).agg(F.max(F.log2("n")).cast("int").alias("level")))
-    with dropping_exchanges(docs.sparkSession):
-        got = levels.toArrow()
-    table = np.zeros(1 << TABLE_BITS, np.uint8)
-    table[got["p"].to_numpy()] = got["level"].to_numpy()
-    return table
+    place = F.shiftrightunsigned("h", 64 - MOST_BITS)
+    with dropping_exchanges(docs.sparkSession):  # a table made before this line would keep its exchanges
+        got = (docs.mapInArrow(giving_back(run), "h long, n int").groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= FREQUENT)
+               .groupBy(place.cast("int").alias("p")).agg(F.max(F.log2("n")).cast("int").alias("level"))).toArrow()
+    return level_table(got["p"].to_numpy(), got["level"].to_numpy())
+
+
+def level_table(place: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """Log2 of the documents of frequent shingles by the first bits of their hashes, 0 for others; `place` is of MOST_BITS.
+
+    The table grows with the number of frequent shingles, so that few others share a place with one. Where the largest
+    is too small, the least frequent ones are left out.
+    """
+    table = np.zeros(1 << MOST_BITS, np.uint8)
+    table[place] = level
+    above = np.append(np.bincount(level, minlength=1)[::-1].cumsum()[::-1], 0)  # places of at least this level
+    table[table < np.argmax(above <= len(table) // FREE)] = 0
+    taken, bits = np.count_nonzero(table), TABLE_BITS
+    while bits < MOST_BITS and taken * FREE > 1 << bits:
+        bits += 1
+    return table.reshape(1 << bits, -1).max(1)
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -163,10 +177,12 @@ def with_texts(work: DataFrame, docs: DataFrame, rows: DataFrame) -> DataFrame:
     bits = np.zeros(1 << FILTER_BITS, bool)
     with dropping_exchanges(docs.sparkSession):
         bits[wanted.select(place.alias("p")).distinct().toArrow()["p"].to_numpy()] = True
+    bits = np.packbits(bits)
 
     def keep(batches):
         for batch in batches:
-            batch = batch.filter(pa.array(bits[batch.column("p").to_numpy()]))
+            p = batch.column("p").to_numpy()
+            batch = batch.filter(pa.array((bits[p >> 3] >> (7 - (p & 7)) & 1).astype(bool)))
             yield batch.select(["doc_id", "text"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
